@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .token_output import op3_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

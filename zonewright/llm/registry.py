@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .mixing import op10_mixing
 from .token_output import op3_token_output
+from .topk import OP8_SQL, op8_topk
+from .url_filter import OP4_SQL, op4_url_filter
+
+_QUERIES = (op1_decontaminate, op2_line_dedup, op3_token_output, op4_url_filter, op6_chat_format, op8_topk, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_token_output)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_line_dedup": OP2_SQL}
+    """Encoding, learnt scores and random rounding have no SQL; tests hold them against brute force."""
+    return {"op1_decontaminate": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_topk": OP8_SQL}

@@ -12,9 +12,10 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op10_mixing
 from .token_output import op3_token_output
 from .topk import OP8_SQL, op8_topk
+from .toxicity import op5_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
-_QUERIES = (op1_decontaminate, op2_line_dedup, op3_token_output, op4_url_filter, op6_chat_format, op8_topk, op10_mixing)
+_QUERIES = (op1_decontaminate, op2_line_dedup, op3_token_output, op4_url_filter, op5_toxicity, op6_chat_format, op8_topk, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .lm_score import op7_lm_score
 from .mixing import op10_mixing
 from .ngram_join import OP9_SQL, op9_ngram_join
 from .token_output import op3_token_output
@@ -16,7 +17,7 @@ from .topk import OP8_SQL, op8_topk
 from .toxicity import op5_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
-_QUERIES = (op1_decontaminate, op2_line_dedup, op3_token_output, op4_url_filter, op5_toxicity, op6_chat_format, op8_topk, op9_ngram_join, op10_mixing)
+_QUERIES = (op1_decontaminate, op2_line_dedup, op3_token_output, op4_url_filter, op5_toxicity, op6_chat_format, op7_lm_score, op8_topk, op9_ngram_join, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

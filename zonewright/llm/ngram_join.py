@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored, text_hash, word_hashes
+from .common import BROADCAST_BYTES, read, stored, text_hash, word_hashes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 32, 8
@@ -138,19 +138,21 @@ def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     depth = prefix_depth(threshold, recall)
     m = TREES * DEPTH
     least = int(np.ceil(m * (threshold - 6 * np.sqrt(threshold * (1 - threshold) / m))))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = sets.select("sid", "sig", trees).withColumn("prefix", F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * DEPTH + 1, F.lit(depth))))
-    keys = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = rows.join(keys, ["tree", "prefix"])
+    of_tree = lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * DEPTH + 1, F.lit(depth)))
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), of_tree)
+    # One narrow row for each set and tree; only those that share a prefix get their signature back.
+    rows = sets.select("sid", prefixes.alias("p")).select("sid", F.explode("p").alias("prefix"))
+    keys = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = rows.join(keys, "prefix").join(sets, "sid")
     # A prefix with many members is cut into blocks, and every pair of its blocks meets.
     blocks = F.ceil(F.col("members") / F.lit(PREFIX_BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     shared = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    shared = shared.select("sid", "sig", "tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = shared.repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j", "sid")
+    shared = shared.select("sid", "sig", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = shared.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, ["tree", "prefix", "i", "j"]):
+        for table in _by_group(batches, ["prefix", "i", "j"]):
             group, n = table["__group"], len(table["sid"])
             sig = np.frombuffer(b"".join(table["sig"]), np.uint8).reshape(n, m)
             ends = np.searchsorted(group, group, side="right")
@@ -241,7 +243,8 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) ->
     blocks = F.greatest(F.ceil(F.col("sets") / F.lit(BLOCK)), F.ceil(F.col("total") / F.lit(BLOCK_GRAMS)), F.lit(1)).cast("int")
     placed = members.join(sizes.select("group", blocks.alias("blocks")), "group")
     text = docs.select(F.col("doc_id").alias("__id"), text_hash(F.col("text")).alias("__hash"), "text")
-    joined = placed.join(text, placed["doc_id"].eqNullSafe(text["__id"]) & (placed["hash"] == text["__hash"])).dropDuplicates(["sid"])
+    placed = F.broadcast(placed) if members.count() * 96 <= BROADCAST_BYTES else placed
+    joined = text.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).dropDuplicates(["sid"])
     rows = joined.select("sid", "group", "blocks", word_hashes(F.col("text")).alias("h"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

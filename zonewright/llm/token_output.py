@@ -160,9 +160,10 @@ class Encoder:
         # A comma or full stop behind a letter or digit is a piece of its own.
         ended = {a: a[:-1] for a in atoms if a[-1] in ",." and a[-2:-1].isalnum()}
         fresh = list({ended.get(a, a) for a in atoms}.difference(known))
-        for at in range(0, len(fresh), 5000):
-            part = fresh[at : at + 5000]
-            ids = np.array(self._ids("\n".join(part)), "<u4")
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            # Without offsets, which only the batch call can leave out.
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
             data, ends = ids.tobytes(), np.flatnonzero(ids == _NEWLINE_ID).tolist() + [len(ids)]
             start = 0
             for atom, end in zip(part, ends, strict=True):

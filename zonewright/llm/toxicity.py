@@ -101,7 +101,7 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, f
         for width in np.geomspace(max(1e-4, x.std() / 300), max(1e-3, x.std()), 16):
             z = 1 / (1 + np.exp(-np.clip((x - middle) / width, -30, 30)))
             mean_z = (w * z).sum()
-            rise = (w * (z - mean_z) * (y - base)).sum() / max(1e-12, (w * (z - mean_z) ** 2).sum())
+            rise = max(0.0, (w * (z - mean_z) * (y - base)).sum() / max(1e-12, (w * (z - mean_z) ** 2).sum()))
             low = float(np.clip(base - rise * mean_z, 2e-3, 0.998))
             high = float(np.clip(base + rise * (1 - mean_z), low, 0.998))
             p = low + (high - low) * z

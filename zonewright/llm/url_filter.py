@@ -5,7 +5,7 @@ one byte is D = ((D << 1) & B[byte]) | (D & S[byte]), where S lets the states be
 steps run over whole Arrow batches of URLs at once, each URL leaving when its bytes end.
 
 A rule is `host/path`: it fits the host and all its subdomains when the path starts with the rule's. In
-the host `*` stands for any run of bytes without `/`, in the path for any run; `?` is one byte. The
+the host `*` stands for any run of bytes without `/`, in the path for any run; `?` is one such byte. The
 longest fitting rule wins, then the longer host, then block, then the earlier one.
 
 Defined results: a null URL or one without `://` has empty host and path and gets the default verdict;
@@ -33,7 +33,7 @@ class ShiftAnd:
     def __init__(self, rules: Sequence[Rule]):
         order = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]), -len(rules[i][1].split("/")[0]), rules[i][0] != "block", i))
         self.order = order
-        states: list[tuple[int | None, str | None]] = []  # the byte that enters it, the wildcard after it
+        states: list[tuple[int | None, str | None]] = []  # the byte that enters it (-1 any, -2 any but /), the wildcard after it
         starts, ends = [], []
         for i in order:
             host, slash, path = rules[i][1].partition("/")
@@ -44,7 +44,8 @@ class ShiftAnd:
                     if byte == ord("*"):
                         states[-1] = (states[-1][0], kind)
                     else:
-                        states.append((-1 if byte == ord("?") else byte, None))
+                        any_byte = -2 if kind == "host" else -1
+                        states.append((any_byte if byte == ord("?") else byte, None))
             states[-1] = (states[-1][0], "path")  # the rule's path is a prefix
             ends.append(len(states) - 1)
         self.width = max(1, -(-len(states) // 64))
@@ -53,6 +54,8 @@ class ShiftAnd:
             word, bit = s // 64, np.uint64(1 << s % 64)
             if byte is not None:
                 enter[slice(None) if byte < 0 else byte, word] |= bit
+                if byte == -2:
+                    enter[ord("/"), word] &= ~bit
             if star:
                 stay[:, word] |= bit
                 if star == "host":

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lake, monitoring, names, reports  # noqa: F401
+from . import lake, matches, monitoring, names, reports  # noqa: F401
 from .register import QUERIES, SQL
 
 

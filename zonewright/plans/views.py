@@ -133,3 +133,7 @@ def sql(query: str, *views: str) -> str:
     if {"zone_today", "zone_yesterday"} & set(wanted):
         wanted.insert(0, "token")
     return "WITH " + ", ".join(f"{v} AS {SQL[v]}" for v in dict.fromkeys(wanted)) + " " + query.strip()
+
+
+def _pick_array(values: tuple[tuple[str, ...], ...], at: Column) -> Column:
+    return F.element_at(F.array(*[F.array(*map(F.lit, v)) for v in values]), (at + 1).cast("int"))

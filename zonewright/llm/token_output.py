@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import read, shared_dir, text_hash
 
 END_ID = 2
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 20
 _BLOCK = 512
 
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
@@ -54,9 +54,9 @@ class WaveletMatrix:
             blocks = np.bitwise_count(np.pad(packed, (0, -len(packed) % (_BLOCK // 8))).reshape(-1, _BLOCK // 8)).sum(1)
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes())
             planes.append(packed.tobytes())
-            low = x[~bit]
+            low = np.compress(~bit, x)
             zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([low, np.compress(bit, x)])
         return cls(len(ids), zeros, planes, ranks)
 
     def _bit(self, level: int, i: int) -> int:

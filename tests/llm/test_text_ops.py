@@ -137,6 +137,24 @@ def test_masked_model_learns_order(spark):
     assert score(none, fit(none, zero)).count() == 0
 
 
+def test_bucketed_words_share_their_bucket(spark):
+    rows = [(i, "a " * 9 + "rare", "a") for i in range(3)] + [(7, "a common common common", "a"), (7, "once " + "a " * 3, "a"), (None, "common", "a"), (8, None, "a")]
+    enc, counts = encode(docs_of(spark, rows), frequent=1, buckets=1)
+    assert counts.tolist() == [31, 8]
+    own = sorted((r.doc_id or 0, round(r.own, 9)) for r in enc.collect())
+    log = lambda n, k=1: round(float(k * np.log(n / 8)), 9)
+    assert own == sorted([*[(i, log(3)) for i in range(3)], (7, log(4, 3)), (7, log(1)), (0, log(4)), (8, 0.0)])
+    got = {r.n_tokens: r.log_prob for r in score(enc, start_params(counts)).collect() if r.doc_id is None or r.doc_id == 8}
+    flat = {r.n_tokens: r.log_prob for r in score(enc.withColumn("own", enc.own * 0), start_params(counts)).collect() if r.doc_id is None or r.doc_id == 8}
+    assert abs(got[1] - flat[1] - np.log(4 / 8)) < 1e-9 and got[0] == 0
+
+
+def test_vocabulary_is_not_cut():
+    from zonewright.llm.lm_score import BUCKETS, FREQUENT
+
+    assert FREQUENT >= 192 and BUCKETS >= 64
+
+
 def brute_classes(rows, n=5, t=0.8):
     sets = []
     for _, text, _ in rows:

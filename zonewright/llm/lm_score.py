@@ -2,8 +2,12 @@
 
 The vocabulary is the corpus's most frequent words, counted over all documents, and hashed buckets for all
 others. A window network in numpy predicts each token from the two tokens on either side: one embedding
-table for every place of the window, summed, through tanh to a softmax over the vocabulary. A document's
-score is the sum of its tokens' log-probabilities.
+table for every place of the window, summed, through tanh to a softmax over the vocabulary. A bucket's
+probability is shared among its words by their corpus counts. A document's score is the sum of its tokens'
+log-probabilities.
+
+Counts of all words come by a packed join: blocks of documents send their different words to shards of
+the vocabulary, which return the corpus counts; no table of words reaches the driver or every task.
 
 Every window of the corpus is trained on once: round r takes the positions that are r modulo `rounds`.
 Within a round each task starts from the same parameters and takes Adagrad steps on its own documents;
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 from .common import read, shared_dir, stored, word_hashes
 
 #: Frequent words, buckets for the rest (256 ids together at most), embedding size, and tokens on either side.
-FREQUENT, BUCKETS, DIM, SIDE = 96, 32, 16, 2
-ROUNDS, BATCH, RATE = 4, 1024, 0.2
+FREQUENT, BUCKETS, DIM, SIDE = 192, 64, 16, 2
+ROUNDS, BATCH, RATE = 4, 2048, 0.1
 #: Partial sums of parameters that come to the driver in a round.
 FAN = 16
 _BLOCK = 2048
 #: Documents that a task unpacks at a time.
 _DOCS = 500
+#: Tokens of a block, about, and most tokens of a shard of the count, on average.
+_WORDS, _SHARD = 150_000, 2_000_000
 
 Params = dict[str, np.ndarray]
 
@@ -124,54 +130,120 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _DOCS)
 
 
-def encode(docs: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, ids as bytes) of every document, stored; and the corpus count of each id."""
-    if frequent + buckets > 256:
-        raise ValueError("ids are single bytes")
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
+def _binaries(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("h")
-            raw = (np.asarray(column.flatten(), np.int64).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
-            offsets = ((np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()) * 4).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["doc_id", "h"])
 
-    # Texts are cut into words once; what follows reads four bytes of hash a word.
-    words = stored(hashed.mapInArrow(narrow, "doc_id long, h binary"), "lm-words")
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h) rows as blocks: the different hashes of a block with their counts, and each token's place among them."""
+    from pyspark import TaskContext
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, n = np.unique(np.frombuffer(b"".join(v.as_buffer() for v in batch.column("h") if v.is_valid), "<u4"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        column = batch.column("h")
+        h, starts = np.asarray(column.flatten(), np.int64).view(np.uint64), np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
+        group = np.stack([np.arange(batch.num_rows) // _DOCS, starts[:-1] // _WORDS])
+        cuts = [0, *(np.flatnonzero((np.diff(group) != 0).any(0)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        kinds, counts, places = [], [], []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            w, at, n = np.unique(h[starts[i] : starts[j]], return_inverse=True, return_counts=True)
+            kinds.append(w)
+            counts.append(n.astype("<u4"))
+            places.append(at.astype("<u2" if len(w) <= 1 << 16 else "<u4"))
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), v)
+        ids = pa.array(block + np.arange(len(kinds)))
+        block += len(kinds)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array([len(x) for x in places], pa.int64()), lists(batch.column("doc_id")), lists(pa.array(np.diff(starts))), _binaries(places), _binaries(kinds), _binaries(counts)],
+            names=["block", "tokens", "doc_ids", "sizes", "at", "w", "n"],
+        )
+
+
+def _dealt(w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings hashes together by shard, and where each shard starts in it."""
+    shard = (w >> np.uint64(33)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
-    counted = words.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    # `frequent` rows come to the driver.
-    known = np.sort(np.array([r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(frequent).collect()], np.int64)).astype(np.uint32)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encode(docs: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, ids as bytes, own) of every document, stored; and the corpus count of each id.
+
+    own sums, over the tokens in buckets, the log of the word's share of its bucket.
+    """
+    if frequent + buckets > 256:
+        raise ValueError("ids are single bytes")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
+    # Texts are cut into words once.
+    blocks = stored(hashed.mapInArrow(_pack, "block long, tokens long, doc_ids array<long>, sizes array<long>, at binary, w binary, n binary"), "lm-words")
+    shards = 1 + (blocks.agg(F.sum("tokens")).first()[0] or 0) // _SHARD
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [v.as_buffer() for v in batch.column("h")]
-            h = np.frombuffer(b"".join(texts), "<u4")
-            ids = (frequent + (h >> np.uint32(7)) % np.uint32(buckets)).astype(np.uint8)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                ids = np.where(known[at] == h, at, ids).astype(np.uint8)
-            raw, offsets = ids.tobytes(), np.cumsum([0, *(t.size // 4 for t in texts)]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
-
-    encoded = stored(words.mapInArrow(work, "doc_id long, ids binary"), "lm-ids")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(frequent + buckets, np.int64)
+            for block, w, n in zip(batch.column("block").to_pylist(), batch.column("w"), batch.column("n"), strict=True):
+                w, n = np.frombuffer(w.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<u4")
+                order, ends = _dealt(w, shards)
+                full = np.flatnonzero(np.diff(ends))
+                parts = [order[ends[s] : ends[s + 1]] for s in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), _binaries([w[x] for x in parts]), _binaries([n[x] for x in parts])], names=["shard", "block", "w", "n"])
+
+    def total(table: pa.Table) -> pa.Table:
+        """Each block's words of this shard with their corpus counts; and, as block null, what the shard knows of the corpus."""
+        joined = lambda c, kind: np.frombuffer(b"".join(v.as_buffer() for v in table.column(c)), kind)
+        size = [v.as_buffer().size // 8 for v in table.column("w")]
+        kinds, back = np.unique(joined("w", "<u8"), return_inverse=True)
+        n = np.bincount(back, joined("n", "<u4"), len(kinds)).astype("<i8")
+        top = np.lexsort((kinds, -n))[:frequent]
+        held = np.bincount(((kinds >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64), n, buckets).astype("<i8")
+        counts = np.split(n[back], np.cumsum(size)[:-1])
+        shard = table.column("shard")[0].as_py()
+        return pa.table({
+            "block": pa.array([*table.column("block").to_pylist(), None, None], pa.int64()), "shard": pa.array([shard] * (len(size) + 2), pa.int32()),
+            "w": pa.array([None] * len(size) + [kinds[top].tobytes(), None], pa.binary()), "n": _binaries([*counts, n[top], held]),
+        })
+
+    known_counts = stored(blocks.select("block", "w", "n").mapInArrow(deal, "shard int, block long, w binary, n binary").groupBy("shard").applyInArrow(total, "block long, shard int, w binary, n binary"), "lm-counts")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total += np.bincount(_ids(batch)[0], minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["id", "n"])
-
+            for w, n in zip(batch.column("w"), batch.column("n"), strict=True):
+                n = np.frombuffer(n.as_buffer(), "<i8")
+                w, bucket = (np.frombuffer(w.as_buffer(), "<i8"), False) if w.is_valid else (np.arange(len(n)), True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), bucket)), pa.array(w), pa.array(n)], names=["bucket", "w", "n"])
+
+    corpus = known_counts.filter("block IS NULL").select("w", "n").mapInArrow(unpack, "bucket boolean, w long, n long")
+    # `frequent` and `buckets` rows come to the driver.
+    top = {r["w"]: r["n"] for r in corpus.filter("NOT bucket").orderBy(F.desc("n"), "w").limit(frequent).collect()}
+    known = np.sort(np.array(list(top), np.int64).view(np.uint64))
     counts = np.zeros(frequent + buckets)
-    for r in encoded.mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    return encoded, counts
+    for r in corpus.filter("bucket").groupBy("w").agg(F.sum("n").alias("n")).collect():
+        counts[frequent + r["w"]] = r["n"]
+    for at, w in enumerate(known):
+        counts[at] = top[int(w.astype(np.int64))]
+        counts[frequent + int(w >> np.uint64(7)) % buckets] -= counts[at]
+
+    def work(block: pa.Table, found: pa.Table) -> pa.Table:
+        w, raw = np.frombuffer(block.column("w")[0].as_buffer(), "<u8"), block.column("at")[0].as_buffer()
+        sizes = block.column("sizes")[0].values.to_numpy()
+        at = np.frombuffer(raw, "<u2" if raw.size == 2 * sizes.sum() else "<u4")
+        n, (order, _) = np.ones(len(w)), _dealt(w, shards)
+        by_shard = np.argsort(found.column("shard").to_numpy())
+        raws = found.column("n").to_pylist()
+        n[order] = np.frombuffer(b"".join(raws[i] for i in by_shard), "<i8")
+        ids = frequent + ((w >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+        if len(known):
+            near = np.minimum(np.searchsorted(known, w), len(known) - 1)
+            ids = np.where(known[near] == w, near, ids)
+        share = np.where(ids < frequent, 0.0, np.log(n / np.maximum(1, counts[ids])))
+        own = np.bincount(np.repeat(np.arange(len(sizes)), sizes), share[at], len(sizes)).astype(float)
+        raw, offsets = ids.astype(np.uint8)[at].tobytes(), np.cumsum([0, *sizes]).tolist()
+        doc_ids = block.column("doc_ids")[0].values
+        return pa.table({"doc_id": doc_ids, "ids": pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()), "own": own})
+
+    answers = known_counts.filter("block IS NOT NULL").select("block", "shard", "n")
+    packed = blocks.select("block", "doc_ids", "sizes", "at", "w")
+    encoded = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, "doc_id long, ids binary, own double")
+    return stored(encoded, "lm-ids"), counts
 
 
 def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Params:
@@ -200,7 +272,7 @@ def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Params:
             return pd.DataFrame({"n": [batch["n"].sum()], "total": [np.asarray(total, np.float64).tobytes()]})
 
         path = f"{folder}/{r}"
-        encoded.mapInArrow(work, "grp int, n long, params binary").write.parquet(path)
+        encoded.select("ids").mapInArrow(work, "grp int, n long, params binary").write.parquet(path)
         parts = spark.read.parquet(path).filter("n > 0").groupBy("grp").applyInPandas(add, "n long, total binary").collect()
         n = sum(p["n"] for p in parts)
         if n:
@@ -218,7 +290,7 @@ def score(encoded: DataFrame, params: Params) -> DataFrame:
             ids, ends = _ids(batch)
             total = np.concatenate([[0.0], np.cumsum(log_probabilities(held.value, ids, ends))])
             size = np.diff(ends, prepend=0)
-            summed = total[ends] - total[ends - size]
+            summed = total[ends] - total[ends - size] + np.asarray(batch.column("own"))
             mean = pa.array(np.where(size > 0, summed / np.maximum(1, size), np.nan), from_pandas=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(summed), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

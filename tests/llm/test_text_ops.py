@@ -123,6 +123,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity(d, table.limit(0)).collect()} == {0.0}
 
 
+def test_rare_toxic_words_count(spark):
+    """Each toxic word is in few texts: none follows 16 different words, as the four-sigma discount asked for."""
+    rng = np.random.default_rng(5)
+    calm, rude = [f"w{i}" for i in range(300)], [f"slur{i}" for i in range(16)]
+    rows, labels = [], []
+    for i in range(1200):
+        words, toxic = list(rng.choice(calm, 60)), int(i % 8 == 0)
+        if toxic:
+            words[rng.integers(60)] = words[rng.integers(60)] = rude[i // 8 % 16]
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, toxic))
+    got = [r for r in toxicity(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() if r.held_out]
+    assert sum(r.predicted for r in got if r.doc_id % 8 == 0) > 0.8 * sum(r.doc_id % 8 == 0 for r in got)
+    assert sum(r.predicted for r in got if r.doc_id % 8) < 0.02 * len(got)
+
+
 def test_masked_model_learns_order(spark):
     rows = [(i, "a b c d e f g h " * 12, "a") for i in range(60)] + [(100, "h c a f b g d e " * 12, "a"), (101, None, "a"), (102, "", "a")]
     enc, counts = encode(docs_of(spark, rows), frequent=20, buckets=4)

@@ -1,15 +1,14 @@
 """Operator 5: toxicity by class-conditional Kneser-Ney models.
 
 As in Kneser-Ney's lower orders, a word counts in a class as often as it follows different words there, so
-that copies and shared passages count once. From each class's count a discount is taken: what the other
-class's rate explains, and some standard errors of the count. What is left is the class's own; all that is
-taken off goes to one shared backoff model, which gives rare and ordinary expressions the same probability
-in both classes up to a constant. A text's toxic and ordinary log-likelihoods are divided by its length;
+that copies and shared passages count once. From each count an absolute discount below 1 is taken, which goes
+to one shared backoff model. Only words that the likelihood ratio shows to mark toxic texts have
+probabilities of their own, in both classes; all others are left to the backoff model, which gives them
+the same probability in both classes up to a constant. A text's toxic and ordinary log-likelihoods are divided by its length;
 their difference, through a logistic curve fitted on labelled texts that the counts don't hold, is the
 score.
 
-The learning sample is bounded: about `max_docs` texts of each class at most, and as many of either, chosen
-by a hash of doc_id. The curve is weighted back to the classes' true shares. Counting is done by Spark; one
+The learning sample is bounded: about `max_docs` texts of each class at most, chosen by a hash of doc_id. The curve is weighted back to the classes' true shares. Counting is done by Spark; one
 row per word of the bounded sample comes to the driver, and the words with a class of their own are
 broadcast.
 
@@ -32,8 +31,9 @@ from .common import read, stored, word_hashes
 
 MAX_DOCS = 2500
 THRESHOLD = 0.7
-#: The discount: so many times the other class's rate, and so many standard errors.
-RATIO, ERRORS = 2.0, 4.0
+#: The absolute discount; the least likelihood ratio statistic (chance of 0.001) of a toxic word, and how many
+#: times the ordinary rate it has at least.
+DISCOUNT, EVIDENCE, RATIO = 0.75, 11.0, 2.0
 
 
 def fold(doc_id: Column) -> Column:
@@ -43,7 +43,7 @@ def fold(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Hashes of the words that a class has more of, sorted, and both classes' probabilities; index 0 is
+    """Hashes of the words that mark toxic texts, sorted, and both classes' probabilities; index 0 is
     ordinary, 1 toxic. All other words have the same shared probability times a class's backoff mass."""
 
     words: np.ndarray
@@ -80,12 +80,14 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _smoothed(words: np.ndarray, counts: np.ndarray) -> Model:
     """counts: (2, n), how many different words each word follows in each class."""
-    n = counts.sum(1, keepdims=True)
-    other = counts[::-1] * n / n[::-1]
-    off = np.minimum(counts, RATIO * other + ERRORS * np.sqrt(counts))
+    n, both = counts.sum(1, keepdims=True), counts.sum(0)
+    expected = np.maximum(both * n / n.sum(), 1e-12)
+    evidence = 2 * (counts * np.log(np.maximum(counts, 1e-12) / expected)).sum(0)
+    marks = (evidence > EVIDENCE) & (counts[1] / n[1] > RATIO * counts[0] / n[0])
+    off = np.where(marks, np.minimum(counts, DISCOUNT), counts)
     shared = (off.sum(0) + 0.5) / (off.sum() + 0.5 * (counts.shape[1] + 1))
     backoff = off.sum(1, keepdims=True) / n
-    own = np.flatnonzero((counts > off).any(0))
+    own = np.flatnonzero(marks)
     own = own[np.argsort(words[own])]
     return Model(words[own], ((counts - off) / n + backoff * shared)[:, own], np.maximum(backoff[:, 0], 1e-6))
 
@@ -123,9 +125,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     if len(count) < 2:
         return float(next(iter(count), 0))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / (1 << 40)
-    # As many of either class: a larger sample would leave less mass to what it hasn't seen.
-    most = min(max_docs, *count.values())
-    keep = F.when(F.col("toxic") > 0, most / count[1]).otherwise(most / count[0])
+    # All labelled texts of either class up to the bound: rare toxic words show only against many ordinary texts.
+    most = {c: min(max_docs, n) for c, n in count.items()}
+    keep = F.when(F.col("toxic") > 0, most[1] / count[1]).otherwise(most[0] / count[0])
     # Ids of the bounded sample.
     chosen = known.filter(draw < keep).select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("t"))
     part = F.pmod(F.xxhash64(F.lit(1), F.col("__id").cast("string")), F.lit(4)) == 0
@@ -148,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     t, d = seen.column("t").to_numpy(), seen.column("d").to_numpy()
     if len(set(t.tolist())) < 2:
         return share
-    weight = np.where(t == 1, count[1] / most, count[0] / most)
+    weight = np.where(t == 1, count[1] / most[1], count[0] / most[0])
     model.slope, model.offset, model.low, model.high = _curve(d, t.astype(float), weight)
     return model
 

@@ -79,3 +79,15 @@ def test_upsert_guards_settled_matches(spark):
     new = spark.createDataFrame([("a", "new", 2, "y", "d2"), ("b", "new", 2, "y", "d2"), ("c", "new", 2, "y", "d2")], schema)
     got = {r.name: tuple(r)[1:] for r in O.upsert_matches(old, new, ["name"], ["status", "first"], ["bucket"]).collect()}
     assert got == {"a": ("dismissed", 2, "x", "d1"), "b": ("new", 2, "y", "d1"), "c": ("new", 2, "y", "d2")}
+
+
+def test_scan_finds_typo_variants(spark):
+    from zonewright.operators import candidates as C
+    from zonewright.plans import names as N
+    from zonewright.plans import views as V
+
+    names = spark.createDataFrame([("thstin.com", "com", "thstin", 20240120), ("qqqqqq.com", "com", "qqqqqq", 20240120)], "name string, tld string, label string, added_day int")
+    variants = C.typo_variants(V.brand(spark), "brand_label", N.KEYS).withColumnRenamed("brand_label", "seed_value")
+    without = C.brand_scan(names, N._seeds(spark, ""), N.as_of())
+    found = C.brand_scan(names, N._seeds(spark, ""), N.as_of(), variants=variants)
+    assert without.count() == 0 and [(r.name, r.seed_value) for r in found.collect()] == [("thstin.com", "thatin")]

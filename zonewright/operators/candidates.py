@@ -87,6 +87,13 @@ def typo_variants(brands: DataFrame, label: str, adjacent: dict[str, str]) -> Da
     return at.select(label, F.inline(made)).filter((F.col("variant") != x) & (F.length("variant") > 0)).distinct()
 
 
+def typo_candidates(names: DataFrame, variants: DataFrame) -> DataFrame:
+    """Pairs (name, seed) where the label is a variant of the seed, with sim; variants: seed_value, variant."""
+    v = variants.select("seed_value", "variant").distinct()
+    found = names.select("name", "tld", "label", "added_day").join(few(v), F.col("label") == F.col("variant"))
+    return found.withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value"))).drop("variant")
+
+
 def scored(candidates: DataFrame, seeds: DataFrame, as_of: Column) -> DataFrame:
     """Candidates (name, tld, label, added_day, seed_value, sim) with every score, rule and triage column.
 
@@ -110,15 +117,18 @@ def best_per_domain(matches: DataFrame) -> DataFrame:
     return matches.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def brand_scan(names: DataFrame, seeds: DataFrame, as_of: Column, official: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """All brands and endings in one job: fuzzy and exact candidates, scored, above the brand's threshold,
-    the best match of each name."""
+def brand_scan(names: DataFrame, seeds: DataFrame, as_of: Column, official: DataFrame | None = None, limit: int | None = None, variants: DataFrame | None = None) -> DataFrame:
+    """All brands and endings in one job: fuzzy, typo and exact candidates, scored, above the brand's threshold,
+    the best match of each name. variants: seed_value and variant, for the typo ring."""
     plain = without_subdomains(names)
     if official is not None:
         plain = plain.join(official, "name", "left_anti")
     fuzzy = seeds.filter(F.col("seed_type").isin("domain_label", "brand_primary", "brand_alias", "brand_phrase")).select("seed_value").distinct()
     others = seeds.filter(~F.col("seed_type").isin("domain_label", "brand_primary", "brand_alias", "brand_phrase")).select("seed_value").distinct()
-    near = per_seed_limit(best_by_name(trigram_candidates(plain, fuzzy).unionByName(substring_candidates(plain, fuzzy))), limit)
+    ring = trigram_candidates(plain, fuzzy).unionByName(substring_candidates(plain, fuzzy))
+    if variants is not None:
+        ring = ring.unionByName(typo_candidates(plain, variants.join(few(fuzzy), "seed_value", "left_semi")))
+    near = per_seed_limit(best_by_name(ring), limit)
     exact = exact_candidates(plain, others).select("name", "tld", "label", "added_day", "seed_value", F.lit(1.0).alias("sim"))
     found = scored(near.unionByName(exact), seeds, as_of)
     return best_per_domain(found.filter(F.col("score_final") >= S.noise_threshold(F.col("noise_mode"))))

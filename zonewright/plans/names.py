@@ -475,6 +475,18 @@ def job05(spark, d):
     return scan(spark, d).select("brand_id", "name", "seed_value", "score_final", "risk_level", "matched_rule", F.array_join("reasons", ",").alias("reasons"), "actionability_score", "attention_bucket")
 
 
+_SCAN_COLUMNS = f"SELECT brand_id, name, seed_value, score_final, risk_level, matched_rule, array_to_string(why, ',') AS reasons, {_Q4.format('act')} AS actionability_score, attention_bucket FROM best"
+_TYPO_UNION = f"{_TYPO}, u AS (SELECT DISTINCT name, tld, label, added_day, seed_value, sim FROM ({_NEAR}) WHERE sim >= {_LIMIT.format('seed_value')} OR contains(label, seed_value) OR (label, seed_value) IN (SELECT variant, x FROM v WHERE variant <> x))"
+
+
+@query("JOB05_brand_scan_typo_ring", _with_seeds("SELECT 1").removesuffix(" SELECT 1") + f", {_TYPO_UNION}, {_SCAN} {_SCAN_COLUMNS}")
+def job05_typo_ring(spark, d):
+    """The scan with the brands' typo variants among the candidates."""
+    variants = C.typo_variants(V.brand(spark), "brand_label", KEYS).withColumnRenamed("brand_label", "seed_value")
+    found = C.brand_scan(V.zone_today(spark, d), _seeds(spark, d), as_of(), variants=variants)
+    return found.select("brand_id", "name", "seed_value", "score_final", "risk_level", "matched_rule", F.array_join("reasons", ",").alias("reasons"), "actionability_score", "attention_bucket")
+
+
 @query("FN17_actionability", with_scan(f"SELECT brand_id, name, {_Q4.format('act')} AS actionability_score, attention_bucket FROM best"))
 def fn17(spark, d):
     return scan(spark, d).select("brand_id", "name", "actionability_score", "attention_bucket")

@@ -91,3 +91,11 @@ def test_scan_finds_typo_variants(spark):
     without = C.brand_scan(names, N._seeds(spark, ""), N.as_of())
     found = C.brand_scan(names, N._seeds(spark, ""), N.as_of(), variants=variants)
     assert without.count() == 0 and [(r.name, r.seed_value) for r in found.collect()] == [("thstin.com", "thatin")]
+
+
+def test_rescore_sums_all_rule_sets(spark, sf_dir):
+    from zonewright.plans import catalogue
+
+    codes = {c for r in catalogue.queries()["JOB09_enrichment_all_rules"](spark, sf_dir).collect() for c in r.codes.split(",")}
+    one_of_each = {"recent_registration", "no_active_dns", "https_live", "parked_page", "mail_spoofing_high", "risky_hosting_country", "certificate_revoked", "safe_browsing_listed", "urlhaus_listed", "website_clone"}
+    assert one_of_each <= codes

@@ -139,6 +139,44 @@ def job09(spark, d):
     return _t(spark, d).select("id", L.round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points + 0.4))).alias("score"))
 
 
+_ALL_RULES = (
+    ("k <= 30", 0.18, "recent_registration"), ("k > 30 AND k <= 90", 0.10, "fresh_registration"),
+    ("a <> 0 AND b <> 0 AND c <> 0", -0.08, "no_active_dns"), ("a <> 0 AND b <> 0 AND c = 0", 0.12, "mail_only_infrastructure"),
+    (f"{_STATUS_SQL} = 200", 0.05, "live_http_service"), (f"{_STATUS_SQL} IN (401, 403, 429, 503)", 0.06, "restricted_live_service"), ("b > 2", 0.03, "https_live"),
+    ("b = 0", -0.22, "parked_page"), ("b = 1", 0.05, "challenge_page"), ("c < 3", 0.26, "credential_collection_surface"),
+    ("a = 0", 0.22, "critical_page_risk"), ("a = 1", 0.14, "high_page_risk"), ("a = 2", 0.06, "medium_page_risk"), ("a = 3", 0.04, "low_page_risk"),
+    ("a = 0", 0.16, "mail_spoofing_critical"), ("a = 1", 0.09, "mail_spoofing_high"), ("a < 2", 0.12, "risky_hosting_country"), ("b = 3", 0.08, "bulletproof_hosting"),
+    ("a = 4", 0.25, "certificate_revoked"), ("b = 2", 0.30, "safe_browsing_listed"),
+    ("a = 0", 0.20, "urlhaus_listed"), ("b = 0 AND c < 5", 0.28, "phishtank_verified"), ("b = 0 AND c >= 5", 0.12, "phishtank_unverified"),
+    ("a = 0 OR c / 10.0 >= 0.75", 0.20, "website_clone"), ("NOT (a = 0 OR c / 10.0 >= 0.75) AND c / 10.0 >= 0.5", 0.10, "website_similar"),
+)
+_POINTS_SQL = " + ".join(f"CASE WHEN {c} THEN CAST({p} AS DOUBLE) ELSE 0 END" for c, p, _ in _ALL_RULES)
+_CODES_SQL = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, _, n in _ALL_RULES)
+_CLIP_SQL = "floor(greatest({0}, least(1.0, {1})) * 10000.0 + 0.5) / 10000.0"
+
+
+@query(
+    "JOB09_enrichment_all_rules",
+    _sql(f"""SELECT id, score, array_to_string(codes, ',') AS codes, {_CLIP_SQL.format('0.15', 'score * CAST(0.7 AS DOUBLE) + a * CAST(0.04 AS DOUBLE) - b * CAST(0.08 AS DOUBLE) + len(codes) * CAST(0.01 AS DOUBLE)')} AS confidence,
+  array_to_string(list_sort(list_distinct(list_concat(['lexical_similarity'], codes))), ',') AS reasons
+FROM (SELECT id, a, b, {_CLIP_SQL.format('0.0', f'CAST(0.4 AS DOUBLE) + ({_POINTS_SQL})')} AS score, list_filter([{_CODES_SQL}], lambda x: x IS NOT NULL) AS codes FROM t)"""),
+)
+def job09_all_rules(spark, d):
+    """All ten rule sets on one match; a tools completed, b degraded."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    rules = [
+        *E.whois_rules(F.col("k")), *E.dns_rules(a == 0, b == 0, c == 0), *E.http_rules(_status(), F.when(b > 2, "https://x/").otherwise("http://x/")),
+        *E.page_rules(F.when(b == 0, "parked").when(b == 1, "challenge").otherwise("live"), c < 3, V._pick(_LEVELS, a)), *E.email_rules(V._pick(_LEVELS, a)),
+        *E.geo_rules(V._pick(("RU", "IR", "DE", "BR", "US"), a), F.when(b == 3, "DDoS-Guard LTD").otherwise("Some Host")), *E.ssl_rules(a == 4), *E.safe_browsing_rules(b == 2),
+        *E.feed_rules(a == 0, b == 0, c < 5), *E.clone_rules(a == 0, c / 10.0),
+    ]
+    points, codes = E.adjustments(rules)
+    t = _t(spark, d).select("id", "a", "b", L.round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points + 0.4))).alias("score"), codes.alias("found"))
+    sure = L.round4(E.confidence(F.col("score"), a, b, F.size("found")))
+    reasons = E.merged_reasons(F.array(F.lit("lexical_similarity")), F.col("found"))
+    return t.select("id", "score", F.array_join("found", ",").alias("codes"), sure.alias("confidence"), F.array_join(reasons, ",").alias("reasons"))
+
+
 @query("FN25_parse_datetime", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE date_trunc('second', ts) END AS at FROM events")
 def fn25(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, "no date").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))

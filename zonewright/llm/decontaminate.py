@@ -1,12 +1,13 @@
 """Operator 1: benchmark decontamination.
 
-The windows of the benchmark items form a broadcast hash set of normalised n-grams. Every document is
-scanned once: its word windows stream through a hash join whose keys are the n-grams themselves, so a
-hit is verified byte by byte by the join. One row per document and hit then meets by document.
+The windows of the benchmark items form a broadcast set of 64-bit hashes of normalised n-grams. Every
+document is scanned once: each of its word windows is hashed inside generated code and looked up, and only
+where a hash is found are the words of both sides compared, so a hit is exact. One row per document and hit
+then meets by document.
 
 Defined results: null or empty text has no words and is never contaminated; a null item_id contaminates
 but isn't listed; an item without words has no window; rows that repeat (same doc_id, same text) are
-returned as often as they came; extra columns of either table are ignored.
+returned as often as they came; very long texts are scanned whole; extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -14,48 +15,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SALTS, WORD, read, text_hash, words
+from .common import BROADCAST_BYTES, SALTS, WORD, read, stored, text_hash, words
 
 
-def _windows(w: Column, k: int) -> Column:
-    """All windows of k words as structs (pos from 1, k, gram)."""
-    at = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("k"), F.array_join(F.slice(w, i, k), " ").alias("gram")))
+def _window(h: Column, at: Column, k: int) -> Column:
+    """Hash of the k words from position `at`, counted from 0; h holds the words' hashes."""
+    return F.xxhash64(*[F.get(h, at + i) for i in range(k)])
 
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """(gram, items): each different window with the ids of the items that hold it, as strings."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
-    by_length = [F.when(F.size("w") >= n, _windows(F.col("w"), n)).otherwise(F.array().cast("array<struct<pos:int,k:int,gram:string>>"))]
-    short = F.when(F.size("w").between(1, n - 1), F.array(F.struct(F.lit(1).alias("pos"), F.size("w").alias("k"), F.array_join("w", " ").alias("gram"))))
-    grams = items.select("item", F.inline(F.concat(*by_length, F.coalesce(short, F.array().cast("array<struct<pos:int,k:int,gram:string>>")))))
-    return grams.groupBy("gram").agg(F.collect_set("item").alias("items"), F.first("k").alias("bk"))
+    """(key, gram, bk, items): each different window, its hash, its length and the ids of the items that
+    hold it, as strings. A window has n words, or all of an item that has fewer."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    items = items.withColumn("bk", F.least(F.size("w"), F.lit(n)))
+    at = items.select("item", "bk", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("bk"))).alias("at"))
+    h = F.transform("w", lambda x: F.xxhash64(x))
+    key = F.coalesce(*[F.when(F.col("bk") == k, _window(h, F.col("at"), k)) for k in range(1, n + 1)])
+    grams = at.select("item", "bk", key.alias("key"), F.array_join(F.slice("w", F.col("at") + 1, F.col("bk")), " ").alias("gram"))
+    return grams.groupBy("key", "gram", "bk").agg(F.collect_set("item").alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document: doc_id, text_hash, n_words, n_hit, items (sorted), spans (pos, k) and contaminated.
+def _hits(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int, all_docs: bool) -> DataFrame:
+    """(doc_id, text_hash, n, pos, k, items): a row per document and window that it shares with the benchmark;
+    with all_docs also a row per document with k = 0 and no items.
 
     The hash set is broadcast while its estimated size stays below broadcast_bytes; a larger one is
-    joined by a shuffle on the n-gram, with both sides salted so that a common passage is split.
+    joined by a shuffle on the hash, with both sides salted so that a common passage is split.
     """
     bench = benchmark_windows(benchmark, n)
     # At most n lengths and one size come to the driver.
-    found = bench.groupBy("bk").agg(F.sum(F.octet_length("gram") + 24 * (F.size("items") + 2)).alias("bytes")).collect()
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 32)
+    found = bench.groupBy("bk").agg(F.sum(F.octet_length("gram") + ids + 64).alias("bytes")).collect()
     lengths, size = sorted(r["bk"] for r in found), sum(r["bytes"] for r in found)
+    bench = bench.select("key", F.col("gram").alias("bgram"), F.col("bk").alias("k"), "items")
 
     scanned = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), words(F.col("text")).alias("w"))
-    # A row of its own carries every document through the join: its gram is the empty string.
-    own = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("k"), F.lit("").alias("gram")))
-    rows = scanned.select("doc_id", "text_hash", F.size("w").alias("n"), F.inline(F.concat(own, *[_windows(F.col("w"), k) for k in lengths])))
-    bench = bench.select("gram", "items").unionByName(benchmark.sparkSession.createDataFrame([("", [])], "gram string, items array<string>"))
+    if all_docs:
+        # A row of its own carries every document through the join, at position -1.
+        bench = bench.unionByName(benchmark.sparkSession.createDataFrame([(0, "", 0, [])], "key long, bgram string, k int, items array<string>"))
+    scanned = scanned.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    shortest, own = (lengths[0] if lengths else n), -1 if all_docs else 0
+    # Positions from which a window fits.
+    places = F.sequence(F.lit(own), F.greatest(F.size("w") - shortest, F.lit(own)))
+    rows = scanned.select("doc_id", "text_hash", "w", "h", F.explode(places).alias("at"))
+    at, w = F.col("at"), F.col("w")
+
+    def key(k: int) -> Column:
+        return F.when(at < 0, F.lit(0 if k == shortest else None).cast("long")).otherwise(_window(F.col("h"), at, k))
+
+    # No list is made for each position where all windows are of one length; what runs over the end fails the comparison of words.
+    rows = rows.select("*", F.explode(F.array(*[key(k) for k in lengths])).alias("key")) if len(lengths) > 1 else rows.withColumn("key", key(shortest))
+    keys = rows.drop("h")
     if size <= broadcast_bytes:
-        hits = rows.join(F.broadcast(bench), "gram")
+        gram = F.when(at >= 0, F.array_join(F.slice(w, at + 1, F.greatest("k", F.lit(1))), " ")).otherwise("")
+        met = keys.join(F.broadcast(bench), "key").withColumn("n", F.size(w))
     else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(SALTS)).cast("int"))
-        bench = bench.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = rows.join(bench, ["gram", "salt"])
+        # The n words from a position on travel with its hash, and of those as many are compared as the window has.
+        ahead = F.when(at >= 0, F.array_join(F.slice(w, F.greatest(at, F.lit(0)) + 1, n), " ")).otherwise("")
+        salt = F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(SALTS)).cast("int")
+        keys = keys.select("doc_id", "text_hash", F.size(w).alias("n"), "at", "key", salt.alias("salt"), ahead.alias("ahead"))
+        gram = F.when(at >= 0, F.call_function("substring_index", F.col("ahead"), F.lit(" "), F.greatest("k", F.lit(1)))).otherwise("")
+        met = keys.join(bench.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
+    # Two prefix tests are an equality that the planner leaves out of the join's keys: words are compared only where hashes agree.
+    same = F.startswith(F.col("bgram"), gram) & F.startswith(gram, F.col("bgram"))
+    return met.filter(same).select("doc_id", "text_hash", "n", (at + 1).alias("pos"), "k", "items")
+
 
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per document: doc_id, text_hash, n_words, n_hit, items (sorted), spans (pos, k) and contaminated."""
+    per_doc = _hits(docs, benchmark, n, broadcast_bytes, True).groupBy("doc_id", "text_hash").agg(
         F.max("n").cast("long").alias("n_words"),
         F.sum(F.when(F.col("k") == 0, 1)).cast("int").alias("rows"),
         F.array_sort(F.collect_set(F.when(F.col("k") > 0, F.struct("pos", "k")))).alias("spans"),
@@ -73,8 +101,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the documents that hold a benchmark window; all columns and clean rows stay as they are."""
-    hit = contamination(docs, benchmark, n, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    """docs without the documents that hold a benchmark window; all columns and clean rows stay as they are.
+
+    The contaminated documents' names are written first; while few, they are broadcast, and no text is shuffled.
+    """
+    hit = _hits(docs, benchmark, n, broadcast_bytes, False).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hit = stored(hit, "contaminated")
+    if hit.count() * 64 <= broadcast_bytes:
+        hit = F.broadcast(hit)
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__id"]) & (text_hash(docs["text"]) == hit["__hash"]), "left_anti")
 
 

@@ -27,6 +27,8 @@ from .common import read, shared_dir, text_hash
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 _BLOCK = 512
+#: Documents that are encoded together.
+_DOCS = 256
 
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -117,79 +119,217 @@ class WaveletMatrix:
         """All ids in order: the levels are undone from the last to the first."""
         x = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            up = np.empty_like(x)
-            up[~bit], up[bit] = x[: self.zeros[level]], x[self.zeros[level] :]
-            up |= bit.astype(x.dtype) << np.array(len(self.zeros) - 1 - level, x.dtype)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            up, one = np.empty_like(x), np.array(1 << (len(self.zeros) - 1 - level), x.dtype)
+            up[np.flatnonzero(bit)] = x[self.zeros[level] :] | one
+            up[np.flatnonzero(~bit)] = x[: self.zeros[level]]
             x = up
         return x
 
 
-#: Texts with these go to the tokenizer whole: white space other than single blanks and line ends between words.
-_ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\0")
-_ODD_WIDE = re.compile(r"[^\S \n]")
 _NEWLINE_ID = 198
+#: Bytes with which a text isn't cut: control characters that are, or may be taken for, white space.
+_CONTROL = np.isin(np.arange(256), [0, 9, 11, 12, 13, 28, 29, 30, 31])
+#: UTF-8 of white space above ASCII, by lead byte: ranges of what follows.
+_WIDE_SPACE = {0xC2: [(0x85, 0x85), (0xA0, 0xA0)], 0xE1: [(0x9A80, 0x9A80)], 0xE2: [(0x8080, 0x808A), (0x80A8, 0x80A9), (0x80AF, 0x80AF), (0x819F, 0x819F)], 0xE3: [(0x8080, 0x8080)]}
+_LETTER = np.array([bytes([i]).isalnum() for i in range(256)])
+#: The low n bytes of a 64-bit word.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_PIECE = 16
+
+
+class _Pieces:
+    """A hash table from pieces of at most 16 bytes, held whole as two 64-bit words, to runs of ids; longer ones are in a dict."""
+
+    def __init__(self) -> None:
+        self.words, self.entry = np.zeros((2, 1 << 12), np.uint64), np.full(1 << 12, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.n, self.used = 0, 0
+        self.start, self.count, self.pool = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+
+    def _slots(self, w: np.ndarray) -> np.ndarray:
+        h = (w[0] ^ (w[1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((h ^ (h >> np.uint64(32))) & np.uint64(len(self.entry) - 1)).astype(np.int64)
+
+    def find(self, w: np.ndarray) -> np.ndarray:
+        """The entry of each piece, -1 where there is none."""
+        at, out = self._slots(w), np.full(w.shape[1], -1, np.int64)
+        todo = np.arange(w.shape[1])
+        while len(todo):
+            slot = at[todo]
+            e = self.entry[slot]
+            hit = (e >= 0) & (self.words[0, slot] == w[0, todo]) & (self.words[1, slot] == w[1, todo])
+            out[todo[hit]] = e[hit]
+            todo = todo[~hit & (e >= 0)]
+            at[todo] = (at[todo] + 1) & (len(self.entry) - 1)
+        return out
+
+    def _place(self, w: np.ndarray, e: np.ndarray) -> None:
+        """Different pieces that aren't in the table."""
+        at, todo = self._slots(w), np.arange(len(e))
+        while len(todo):
+            free = self.entry[at[todo]] < 0
+            mine, rest = todo[free], todo[~free]
+            self.entry[at[mine]] = e[mine]
+            won = self.entry[at[mine]] == e[mine]
+            self.words[:, at[mine[won]]] = w[:, mine[won]]
+            todo = np.concatenate([rest, mine[~won]])
+            at[todo] = (at[todo] + 1) & (len(self.entry) - 1)
+
+    def add(self, w: np.ndarray | None, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New entries of `counts` ids each; w has the words of those that go to the table."""
+        n, m = len(counts), len(ids)
+        grown = lambda a, size: a if size <= len(a) else np.concatenate([a, np.zeros(max(size - len(a), len(a)), a.dtype)])
+        self.start, self.count, self.pool = grown(self.start, self.n + n), grown(self.count, self.n + n), grown(self.pool, self.used + m)
+        self.pool[self.used : self.used + m] = ids
+        self.start[self.n : self.n + n] = self.used + np.cumsum(counts) - counts
+        self.count[self.n : self.n + n] = counts
+        entries = np.arange(self.n, self.n + n)
+        self.n, self.used = self.n + n, self.used + m
+        if w is not None:
+            if 2 * self.n > len(self.entry):
+                held = self.entry >= 0
+                old, size = (self.words[:, held], self.entry[held]), len(self.entry)
+                while 2 * self.n > size:
+                    size *= 2
+                self.words, self.entry = np.zeros((2, size), np.uint64), np.full(size, -1, np.int32)
+                self._place(*old)
+            self._place(w, entries)
+        return entries
 
 
 class Encoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer never joins across a blank or a line end, so the pieces between those are encoded
-    once by the library, several at a time, and remembered, `keep` of them at most. Texts for which that
-    isn't evident, and all texts of other tokenizers, are encoded in one go.
+    once by the library, several at a time, and remembered, `keep` of them at most. Texts are cut, and pieces
+    looked up, as arrays of bytes. Texts for which the cut isn't evident, and all texts of other tokenizers,
+    are encoded in one go.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special_starts = sorted({t.encode()[0] for t in added if t})
         probe = "a b\nc\nd e"
         pre = self.tok.pre_tokenizer
         self.pieces = self.tok.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self._ids("\n") == [_NEWLINE_ID] and [p for p, _ in pre.pre_tokenize_str(probe)] == ["a", "Ġb", "Ċ", "c", "Ċ", "d", "Ġe"]
-        self.marks = {m: np.array(self._ids(m), "<u4").tobytes() for m in ",."}
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces()
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, atoms: set[str]) -> None:
-        """Encodes atoms, joined by line ends, which stay tokens of their own."""
-        known = self.known
-        # A comma or full stop behind a letter or digit is a piece of its own.
-        ended = {a: a[:-1] for a in atoms if a[-1] in ",." and a[-2:-1].isalnum()}
-        fresh = list({ended.get(a, a) for a in atoms}.difference(known))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+    def _library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, which hold no line end, in a row, and how many each has. They are joined by line
+        ends, which stay tokens of their own; a few thousand at a time suit the library's cache."""
+        ids, counts = [], []
+        for at in range(0, len(parts), 4000):
+            text = b"\n".join(parts[at : at + 4000]).decode()
             # Without offsets, which only the batch call can leave out.
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            data, ends = ids.tobytes(), np.flatnonzero(ids == _NEWLINE_ID).tolist() + [len(ids)]
-            start = 0
-            for atom, end in zip(part, ends, strict=True):
-                known[atom] = data[4 * start : 4 * end]
-                start = end + 1
-        for atom, stem in ended.items():
-            known[atom] = known[stem] + self.marks[atom[-1]]
-
-    def _odd(self, t: str) -> bool:
-        return (
-            any(x in t for x in _ODD) or t[0] in " \n" or t[-1] in " \n"
-            or not t.isascii() and _ODD_WIDE.search(t) is not None
-            or self.special is not None and "<" in t and self.special.search(t) is not None
-        )
+            got = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            line = got == _NEWLINE_ID
+            ids.append(got[~line])
+            counts.append(np.diff(np.flatnonzero(line), prepend=-1, append=len(got)) - 1)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> np.ndarray:
+        """Which texts go to the library whole: white space other than single blanks and line ends between words, or special tokens."""
+        odd = np.zeros(len(ends), bool)
+        some = ends > starts
+        odd[some] = blank[starts[some]] | blank[ends[some] - 1]
+        marks = [np.flatnonzero(_CONTROL[b]), np.flatnonzero(blank[:-1] & blank[1:])]
+        for lead, ranges in _WIDE_SPACE.items():
+            at = np.flatnonzero(b == lead)
+            if len(at):
+                after = lambda k, at=at: b[np.minimum(at + k, len(b) - 1)].astype(np.int64)
+                follows = after(1) if lead == 0xC2 else after(1) << 8 | after(2)
+                marks.append(at[np.any([(follows >= low) & (follows <= high) for low, high in ranges], axis=0)])
+        odd[np.searchsorted(ends, np.concatenate(marks), side="right")] = True
+        for first in self.special_starts:
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(b == first), side="right")):
+                odd[i] |= self.special.search(raw[starts[i] : ends[i]].decode()) is not None
+        return odd
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has; null is the empty text."""
+        texts = pa.array(["" if t is None else t for t in texts.to_pylist()], pa.string()) if texts.null_count else texts.cast(pa.string())
+        if not self.pieces or not len(texts):
+            each = [np.array(self._ids(t), np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
+        if self.known.n > self.keep or not self.known.n:
+            self.known = _Pieces()
+            self.known.add(np.array([[10], [0]], np.uint64), np.array([_NEWLINE_ID], np.uint32), np.array([1]))
+        edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = bytes(memoryview(texts.buffers()[2])[edges[0] : edges[-1]]) if edges[-1] > edges[0] else b""
+        starts, ends = edges[:-1] - edges[0], edges[1:] - edges[0]
+        padded = np.frombuffer(raw + bytes(2 * _PIECE), np.uint8)
+        b = padded[: len(raw)]
+        blank = (b == 32) | (b == 10)
+        odd = self._odd(b, blank, starts, ends, raw) if raw else np.zeros(len(ends), bool)
+
+        new = blank.copy()
+        new[1:] |= b[:-1] == 10
+        new[starts[ends > starts]] = True
+        # A comma or full stop that ends a piece, behind a letter or digit, is a piece of its own.
+        last = np.zeros(len(b), bool)
+        last[:-1] = blank[1:]
+        last[ends[ends > starts] - 1] = True
+        mark = np.flatnonzero(last & ((b == 44) | (b == 46)) & ~new)
+        before, lead = b[mark - 1], b[np.maximum(mark - 2, 0)]
+        new[mark[_LETTER[before] | (lead == 0xC3) & (before != 0x97) & (before != 0xB7) & (before >= 0x80)]] = True
+
+        at = np.flatnonzero(new)
+        first, behind = np.searchsorted(at, starts), np.searchsorted(at, ends)
+        size = np.diff(at, append=len(b))
+        skip = np.zeros(len(at), bool)
+        for i in np.flatnonzero(odd):
+            skip[first[i] : behind[i]] = True
+        entry = self._entries(padded, raw, at, size, skip)
+        count = np.where(skip, 0, self.known.count[entry])
+        before = np.concatenate([[0], np.cumsum(count)])
+        flat = self.known.pool[np.repeat(self.known.start[entry] - before[:-1], count) + np.arange(before[-1])]
+        n = before[behind] - before[first]
+        if not odd.any():
+            return flat, n
+        parts, done = [], 0
+        for i in np.flatnonzero(odd).tolist():
+            whole = np.array(self._ids(raw[starts[i] : ends[i]].decode()), np.uint32)
+            parts += [flat[done : before[first[i]]], whole]
+            done, n[i] = before[first[i]], len(whole)
+        return np.concatenate([*parts, flat[done:]]), n
+
+    def _entries(self, padded: np.ndarray, raw: bytes, at: np.ndarray, size: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """The entry of each piece; what isn't known is learnt first."""
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        w = np.stack([eight[at] & _LOW[np.minimum(size, 8)], eight[at + 8] & _LOW[np.clip(size - 8, 0, 8)]])
+        entry, short = np.zeros(len(at), np.int64), (size <= _PIECE) & ~skip
+        mine = np.flatnonzero(short)
+        entry[mine] = self.known.find(w[:, mine])
+        fresh = mine[entry[mine] < 0]
+        if len(fresh):
+            fresh = fresh[np.lexsort(w[:, fresh])]
+            other = np.ones(len(fresh), bool)
+            other[1:] = (w[:, fresh[1:]] != w[:, fresh[:-1]]).any(0)
+            kinds = fresh[other]
+            got = self.known.add(w[:, kinds], *self._library([raw[a : a + n] for a, n in zip(at[kinds].tolist(), size[kinds].tolist(), strict=True)]))
+            entry[fresh] = got[np.cumsum(other) - 1]
+        long = np.flatnonzero((size > _PIECE) & ~skip)
+        if len(long):
+            parts = [raw[a : a + n] for a, n in zip(at[long].tolist(), size[long].tolist(), strict=True)]
+            missing = list(set(parts).difference(self.known.long))
+            if missing:
+                self.known.long.update(zip(missing, self.known.add(None, *self._library(missing)).tolist(), strict=True))
+            entry[long] = [self.known.long[x] for x in parts]
+        return entry
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.pieces:
-            return [np.array(self._ids(t), "<u4").tobytes() for t in texts]
-        if len(self.known) > self.keep:
-            self.known = {}
-        self.known["\n"] = np.array([_NEWLINE_ID], "<u4").tobytes()
-        cut = [None if not t or self._odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        self._learn(set().union(*filter(None, cut)).difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) if parts else np.array(self._ids(t), "<u4").tobytes() for t, parts in zip(texts, cut, strict=True)]
+        flat, n = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        return [flat[e - k : e].astype("<u4").tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -207,35 +347,50 @@ def encoder(path: str) -> Encoder:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes docs to the folder `out`, one file per shard; (part, seq) is the order of doc_id."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        ids: list = []
-        data: list[bytes] = []
+        ids: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        data: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            wm = WaveletMatrix.build(np.frombuffer(b"".join(data), "<u4"))
-            row = {"part": part, "seq": seq, "n_tokens": wm.n, "doc_ids": list(ids), "lengths": [len(x) // 4 for x in data], "zeros": wm.zeros, "planes": [p.tobytes() for p in wm.planes], "ranks": [r.tobytes() for r in wm.ranks]}
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
+            wm = WaveletMatrix.build(np.concatenate(data))
+            whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            row = {"part": part, "seq": seq, "n_tokens": wm.n, "zeros": wm.zeros, "planes": [p.tobytes() for p in wm.planes], "ranks": [r.tobytes() for r in wm.ranks]}
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+            made = {k: pa.array([v], t) for (k, v), t in zip(row.items(), types, strict=True)}
+            made |= {"doc_ids": whole(pa.concat_arrays(ids)), "lengths": whole(pa.array(np.concatenate(lengths), pa.int64()))}
+            names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
 
         enc = encoder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            doc_ids = batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc, code in zip(doc_ids[at : at + 256], enc.encode(texts[at : at + 256]), strict=True):
-                    ids.append(doc)
-                    data.append(code + end)
-                    held += len(code) // 4 + 1
+            for some in (batch.slice(at, _DOCS) for at in range(0, batch.num_rows, _DOCS)):
+                flat, n = enc.encode_column(some.column("text"))
+                ends = np.cumsum(n + 1)
+                out = np.full(len(flat) + len(n), end_id, np.uint32)
+                text = np.ones(len(out), bool)
+                text[ends - 1] = False
+                out[text] = flat
+                done = 0
+                while done < len(n):
+                    # A shard takes documents until it has its tokens.
+                    base = int(ends[done - 1]) if done else 0
+                    to = min(len(n), int(np.searchsorted(ends, base + shard_tokens - held)) + 1)
+                    ids.append(some.column("doc_id").slice(done, to - done))
+                    lengths.append(n[done:to] + 1)
+                    data.append(out[base : ends[to - 1]])
+                    held += int(ends[to - 1]) - base
+                    done = to
                     if held >= shard_tokens:
                         yield flush()
                         seq, held = seq + 1, 0
                         ids.clear()
+                        lengths.clear()
                         data.clear()
         if ids:
             yield flush()

@@ -83,3 +83,26 @@ def test_top_k_against_brute_force(spark, spread):
     got = sorted(map(tuple, top_k(table, "vec_id % 20 = 0", k=7).collect()))
     assert got == brute_top(v, 7, 20)
     assert top_k(table.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+@pytest.mark.parametrize("size", [3e5, 4e8, 3e15])
+def test_top_k_of_long_vectors(spark, size):
+    """Scores past 2**53, which a double doesn't hold, and self products past 2**63."""
+    rng = np.random.default_rng(7)
+    v = [(i, (rng.normal(0, 1, 6) * size * (0.001 if i % 3 else 1)).tolist()) for i in range(120)] + [(500, [1e308] * 6)]
+    table = spark.createDataFrame([*v, v[20], v[20]], "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(x * 64)) if abs(x * 64) < 2**53 else int(x * 64) for x in a] for i, a in v[:-1]}
+    want = []
+    for q in range(0, 120, 20):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[j], strict=True)))), j) for j in whole for _ in range(3 if j == 20 else 1) if j != q)[:9]
+        want += [(q, r + 1, j, -x) for r, (x, j) in enumerate(scores)]
+    got = sorted(map(tuple, top_k(table, "vec_id % 20 = 0", k=9, bucket=16, block=3).collect()))
+    assert got == want
+
+
+def test_top_k_in_many_shares(spark):
+    rng = np.random.default_rng(9)
+    v = [(int(i), (rng.normal(0, 1, 5) * np.exp(rng.normal(0, 2))).astype(np.float32).tolist()) for i in range(1500)]
+    table = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, top_k(table, "vec_id % 20 = 0", k=7, bucket=20, block=6).collect()))
+    assert got == brute_top(v, 7, 20)

@@ -233,6 +233,46 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in want}) and kept.columns[-2:] == ["h", "sid"]
 
 
+def test_recall_near_the_threshold(spark, monkeypatch):
+    """600 pairs of exact similarity 176/216, each in a family of its own, and hubs that are split."""
+    import zonewright.llm.ngram_join as J
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(600):
+        base = [f"g{g}w{i}" for i in range(200)]
+        other = list(base)
+        for k in range(4):
+            other[10 + 40 * k + int(rng.integers(20))] = f"other{k}"
+        rows += [(2 * g, " ".join(base), "a"), (2 * g + 1, " ".join(other), "a")]
+    monkeypatch.setattr(J, "HUB", 1)
+    got = jaccard_classes(docs_of(spark, rows)).collect()
+    linked = sum(r.n_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in got)
+    assert linked >= 0.99 * len(rows) and all(r.n_links <= 1 for r in got)
+
+
+def test_hubs_have_components(spark, monkeypatch):
+    import zonewright.llm.ngram_join as J
+
+    monkeypatch.setattr(J, "HUB", 5)
+    name = lambda i: i.to_bytes(4, "big")
+    edges = [(name(50), name(i)) for i in range(40) if i != 50] + [(name(100 + i), name(101 + i)) for i in range(30)] + [(name(7), name(200))]
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in J.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert got == {i: 0 for i in [*range(40), 50, 200]} | {100 + i: 100 for i in range(31)}
+
+
+def test_walk_stops_where_all_is_alike():
+    from zonewright.llm.ngram_join import DEPTH, TREES, _walk, met
+
+    rng = np.random.default_rng(12)
+    sig = np.repeat(rng.integers(0, 256, (1, TREES * DEPTH), np.uint8), 6, axis=0)
+    sig[3:, DEPTH - 1] += 1  # three rows part from the others at the last byte of the first tree
+    walk = lambda threshold, recall: _walk(sig, sig[:, :DEPTH], np.zeros(6, int), np.full(6, -1), 6, threshold, recall, 170)
+    assert len(walk(0.8, 0.9999)[0]) == 6  # 3 pairs on either side; the rest meet in other trees
+    assert len(walk(0.8, 1.1)[0]) == 15  # a recall out of reach walks on to the shortest prefix
+    assert met(0.8, 6) > 0.9999 > met(0.8, 8)
+
+
 def test_jaccard_edge_cases(spark):
     assert jaccard_classes(docs_of(spark, [])).count() == 0
     got = jaccard_classes(docs_of(spark, [(1, "a b c d e f", "a"), (1, "a b c d e f", "a"), (None, "a b c d e f", "a"), (None, None, "a")])).collect()

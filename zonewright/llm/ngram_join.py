@@ -1,10 +1,13 @@
 """Operator 9: n-gram Jaccard join by a MinHash LSH forest.
 
 Texts are sets of word 5-grams; those with equal sets are one class from the start. A signature holds
-`TREES` trees of `DEPTH` one-byte minima. In every tree the signatures form a prefix trie; its sorted order
-brings neighbours together. The matched prefix is shortened from the full depth until the chance that a
-pair at the threshold meets in some tree reaches the target recall. Signatures that share a prefix are
-compared whole; pairs whose agreement could come from the threshold, six standard errors below it, are
+`TREES` trees of `DEPTH` one-byte minima. In every tree the signatures form a prefix trie, which is worked through
+as sorted rows: a node is a run of rows that share a prefix. Rows alone below the shortest prefix that the target
+recall can ask for drop out first. Each remaining subtree is walked from its full depth: runs are compared, then the
+matched prefix is shortened by one, and only pairs that meet there for the first time are compared. A subtree is
+done when the chance that a pair as unlike as the least similar one found in it (the threshold at least) meets in
+some tree at this depth reaches the target recall; where nothing was found, the shortest prefix is reached. Compared
+means whole signatures: pairs whose agreement could come from the threshold, six standard errors below it, are
 candidates, and only a spanning forest of them is handed on. Each connected set of candidates then gathers
 its 5-gram sets once, in blocks, and all its pairs are verified exactly there: every link is counted and
 none is listed, so large groups of near copies cost no quadratic output.
@@ -35,14 +38,21 @@ TREES, DEPTH = 32, 8
 BLOCK, BLOCK_GRAMS = 1024, 1 << 21
 #: Rows of one prefix that are compared with each other in one go.
 PREFIX_BLOCK = 2048
+#: A node with more edges than this, and than a thousandth of all, is a hub: there are a thousand at most.
+HUB = 1000
 
 _ODD_32 = np.random.default_rng(9).integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD_32 = np.random.default_rng(10).integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 
 
+def met(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """The chance that a pair of this similarity shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that still meets the target recall at the threshold."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The longest prefix that still meets the target recall at the threshold: none is shortened beyond it."""
+    while depth > 1 and met(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -134,44 +144,75 @@ def fingerprints(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) of sids that span all pairs whose signatures agree enough."""
-    depth = prefix_depth(threshold, recall)
+    """Edges (a, b) of sids that span all pairs that meet in a trie and whose signatures agree enough."""
+    shortest = prefix_depth(threshold, recall)
     m = TREES * DEPTH
     least = int(np.ceil(m * (threshold - 6 * np.sqrt(threshold * (1 - threshold) / m))))
-    of_tree = lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * DEPTH + 1, F.lit(depth)))
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), of_tree)
-    # One narrow row for each set and tree; only those that share a prefix get their signature back.
-    rows = sets.select("sid", prefixes.alias("p")).select("sid", F.explode("p").alias("prefix"))
+    prefix = lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * DEPTH + 1, F.lit(shortest)))
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), prefix)
+    # One narrow row for each set and tree; only those that share the shortest prefix get their signature back.
+    rows = sets.select("sid", prefixes.alias("p")).select("sid", F.posexplode("p").alias("tree", "prefix"))
     keys = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = rows.join(keys, "prefix").join(sets, "sid")
-    # A prefix with many members is cut into blocks, and every pair of its blocks meets.
+    # A subtree with many members is cut into blocks, and every pair of its blocks meets.
     blocks = F.ceil(F.col("members") / F.lit(PREFIX_BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     shared = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    shared = shared.select("sid", "sig", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = shared.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "sid")
+    branch = F.substring(F.col("sig"), F.col("tree") * DEPTH + 1, F.lit(DEPTH))
+    shared = shared.select("sid", "sig", "prefix", "own", branch.alias("branch"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = shared.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j", "branch", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_group(batches, ["prefix", "i", "j"]):
-            group, n = table["__group"], len(table["sid"])
+            n, sid = len(table["sid"]), table["sid"]
             sig = np.frombuffer(b"".join(table["sig"]), np.uint8).reshape(n, m)
-            ends = np.searchsorted(group, group, side="right")
-            a, b = [], []
-            for lag in range(1, int((ends - np.arange(n)).max(initial=1))):
-                at = np.flatnonzero(np.arange(n) + lag < ends)
-                for part in np.array_split(at, max(1, len(at) // 20_000)):
-                    ok = part[(sig[part] == sig[part + lag]).sum(1) >= least]
-                    a.append(ok)
-                    b.append(ok + lag)
-            if a:
-                root = _roots(n, np.concatenate(a), np.concatenate(b))
+            branch = np.frombuffer(b"".join(table["branch"]), np.uint8).reshape(n, DEPTH)
+            own = np.where(np.array(table["i"]) == np.array(table["j"]), -1, np.array(table["own"]))
+            a, b = _walk(sig, branch, table["__group"], own, shortest, threshold, recall, least)
+            if len(a):
+                root = _roots(n, a, b)
                 kept = np.flatnonzero(root != np.arange(n))
-                sid = table["sid"]
                 yield pa.RecordBatch.from_arrays([pa.array([sid[i] for i in root[kept]], pa.binary()), pa.array([sid[i] for i in kept], pa.binary())], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def _walk(sig: np.ndarray, branch: np.ndarray, subtree: np.ndarray, own: np.ndarray, shortest: int, threshold: float, recall: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that agree in `least` bytes or more, from the deepest nodes of each subtree to the shortest prefix.
+
+    Rows come sorted by subtree and branch. own: block of a row where only pairs across blocks count, else -1.
+    """
+    n, m = sig.shape
+    new = np.ones(n, bool)
+    new[1:] = subtree[1:] != subtree[:-1]
+    number = np.cumsum(new) - 1
+    same = np.zeros(n, np.int64)  # how many bytes a row shares with the one before
+    same[1:] = np.cumprod(branch[1:] == branch[:-1], axis=1).sum(1)
+    node = lambda depth: np.cumsum(new | (same < depth))
+    active, lowest = np.ones(number[-1] + 1, bool), np.ones(number[-1] + 1)
+    found_a, found_b, deeper = [], [], np.arange(n)
+    for depth in range(branch.shape[1], shortest - 1, -1):
+        now = node(depth)
+        ends = np.searchsorted(now, now, side="right")
+        some = np.flatnonzero(active[number])
+        for lag in range(1, int((ends - np.arange(n))[some].max(initial=1))):
+            at = some[some + lag < ends[some]]
+            at = at[(deeper[at] != deeper[at + lag]) & ((own[at] < 0) | (own[at] != own[at + lag]))]
+            for part in np.array_split(at, max(1, len(at) // 20_000)):
+                agree = (sig[part] == sig[part + lag]).sum(1)
+                ok = part[agree >= least]
+                np.minimum.at(lowest, number[ok], agree[agree >= least] / m)
+                found_a.append(ok)
+                found_b.append(ok + lag)
+        deeper = now
+        hit = np.zeros(len(active), bool)
+        hit[number[np.concatenate(found_a)] if found_a else []] = True
+        active &= ~(hit & (met(np.maximum(lowest, threshold), depth) >= recall))
+        if not active.any():
+            break
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, int), np.zeros(0, int))
+
+
 def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 4096) -> Iterator[dict]:
     """Rows sorted by keys, cut only between groups: tables of `most` rows or one larger group.
 
@@ -217,25 +258,36 @@ def components(edges: DataFrame) -> DataFrame:
     Each round joins every node's larger neighbours to its smallest one, then every node's smaller ones;
     both only regroup edges, whose number never grows, until all are stars.
     """
-    spark = edges.sparkSession
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    mark = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    before = mark(now)
     while True:
         # Large star: all larger neighbours of a node point to the smallest of it and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _with_least(both, 2 * before["n"]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        after = stored(small, "edges")
-        marks = [d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for d in (now, after)]
-        now = after
-        if marks[0] == marks[1]:
+        low = _with_least(stored(large, "edges"), before["n"])
+        small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        now = stored(small, "edges")
+        after = mark(now)
+        if before == after:
             break
+        before = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): the n edges with the smallest v of each u. Edges of hubs stay where they are, and the hubs' rows,
+    a thousand at most, are broadcast; all others meet by u."""
+    degrees = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(HUB, -(-n // 1000))
+    hubs = degrees.filter(F.col("n") > limit).select("u", F.col("m").alias("hub"))
+    tagged = edges.join(F.broadcast(hubs), "u", "left")
+    rest = tagged.filter("hub IS NULL").select("u", "v").join(degrees.filter(F.col("n") <= limit).select("u", "m"), "u")
+    return rest.select("u", "v", "m").unionByName(tagged.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")))
+
+
 def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
     """(sid, links, root, whole): the links of each set within its blocks, and the smallest set it is
     joined to there. members: sid, group, doc_id, hash, grams (one document for each set)."""

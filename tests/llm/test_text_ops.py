@@ -300,6 +300,24 @@ def test_mix(spark):
     assert mix(docs_of(spark, [])).count() == 0 and mixed(docs_of(spark, [])).count() == 0
 
 
+def test_targets_against_resharing_step_by_step(spark):
+    rng = np.random.default_rng(13)
+    for trial in range(6):
+        sizes = {None if i == 0 else f"s{i:02d}": int(rng.integers(0, 400) ** (1 + trial % 2)) for i in range(int(rng.integers(1, 12)))}
+        weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+        left, free, want = 1.5 * sum(sizes.values()), set(sizes), {}
+        while free:
+            total = sum(weights[s] for s in free)
+            over = {s for s in free if left * weights[s] / total > 2 * sizes[s]}
+            for s in over or free:
+                want[s] = 2.0 * sizes[s] if over else left * weights[s] / total
+            left -= sum(want[s] for s in over)
+            free = free - over if over else set()
+        table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in targets(table).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_rounding_keeps_expectations(spark):
     d = docs_of(spark, [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(60)])
     seen = Counter()

@@ -47,13 +47,15 @@ def text_hash(col: Column) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    Where the session names none (tests on one machine), a temporary folder is set once and kept.
+    Where a session on one machine names none, as in tests, a temporary folder is set once and kept; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, read, stored, text_hash
 
 #: Documents in a group of the first level, and groups that meet in one of the next.
-GROUP, FAN = 20_000, 64
+GROUP, FAN = 4_000, 64
 WEIGHTS = (3, 1, 2)
 
 
@@ -161,9 +161,9 @@ def _levels(rows: DataFrame, name: str, docs: int, group: int) -> tuple[list[Dat
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Repeated rows get numbers of their own."""
+    """Names and sizes of all rows, from one reading of the texts; repeated rows get numbers of their own."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("hash"), F.col("source"), size_of(F.col("text")).alias("size"))
-    return rows.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "hash", "source").orderBy("size")))
+    return stored(rows.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "hash", "source").orderBy("size"))), "mix-rows")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, group: int = GROUP) -> DataFrame:

@@ -151,6 +151,74 @@ def test_rare_toxic_words_count(spark):
     assert sum(r.predicted for r in got if r.doc_id % 8) < 0.02 * len(got)
 
 
+def test_models_against_brute_force(spark, monkeypatch):
+    """Interpolated bigrams, continuation counts and shared backoff, by dictionaries."""
+    import zonewright.llm.toxicity as T
+
+    monkeypatch.setattr(T, "EVIDENCE", 2.0)
+    monkeypatch.setattr(T, "PAIR_EVIDENCE", 2.0)
+    rng = np.random.default_rng(15)
+    texts = []
+    for i in range(60):
+        w = [int(x) for x in rng.integers(1, 40, 25)]
+        if i % 3 == 0:
+            at = int(rng.integers(20))
+            w[at : at + 3] = [100 + i % 4, 7, 8]  # a word that marks the class, and a pair of plain words
+        texts.append((int(i % 3 == 0), w))
+    got = T._models(T._pairs(spark.createDataFrame(texts, "t int, h array<long>")))
+
+    runs = {(t, z, a, b) for t, w in texts for z, a, b in zip([0, 0, *w], [0, *w], w, strict=False)}
+    d = [Counter((a, b) for t, z, a, b in runs if t == c) for c in (0, 1)]
+    n = [Counter(b for a, b in d[c]) for c in (0, 1)]
+    kinds = set(n[0]) | set(n[1])
+
+    def marks(x, of, least):
+        return x[1] / of[1] > 2 * x[0] / of[0] and 2 * sum(k * np.log(k / (sum(x) * o / sum(of))) for k, o in zip(x, of, strict=True) if k) > least
+
+    def discount(count):
+        ones, twos = (sum(v == k for v in count.values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    total = [sum(x.values()) for x in n]
+    own = {w for w in kinds if marks([n[0][w], n[1][w]], total, 2.0)}
+    off = [{w: min(n[c][w], discount(n[c])) if w in own else n[c][w] for w in kinds} for c in (0, 1)]
+    mass = sum(sum(o.values()) for o in off) + 0.5 * (len(kinds) + 1)
+    back = [sum(off[c].values()) / total[c] for c in (0, 1)]
+    word = lambda c, w: (n[c][w] - off[c].get(w, 0)) / total[c] + back[c] * (sum(o.get(w, 0) for o in off) + 0.5) / mass
+    both = [sum(x.values()) for x in d]
+    pairs = {p for p in set(d[0]) | set(d[1]) if not own & set(p) and marks([d[0][p], d[1][p]], both, 2.0)}
+    assert own and (7, 8) in pairs and len(got.words) == len(own) and len(got.pairs) == len(pairs)
+    taken = lambda c, p: max(0, d[c][p] - discount(d[c])) if p in pairs else 0
+    context = lambda c, a: sum(v for p, v in d[c].items() if p[0] == a)
+
+    def p_of(c, a, b):
+        if not any(p[0] == a for p in pairs):
+            return word(c, b)
+        here = max(1, context(c, a))
+        rest = max(1e-6, 1 - sum(taken(c, p) for p in pairs if p[0] == a) / here)
+        return max(1e-12, taken(c, (a, b)) / here + rest * word(c, b))
+
+    for w in [w for _, w in texts[:20]] + [[7, 8, 999], [], [8]]:
+        want = sum(np.log(p_of(1, a, b) / p_of(0, a, b)) for a, b in zip([0, *w], w, strict=False)) / max(1, len(w))
+        assert abs(got.differences(np.array(w, np.uint64), np.array([len(w)]))[0] - want) < 1e-9
+
+
+def test_toxic_pairs_of_plain_words(spark):
+    rng = np.random.default_rng(16)
+    calm = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(calm, 50))
+        a, b = sorted(int(x) for x in rng.choice(48, 2, replace=False))
+        words[a], words[b + 1] = "drop", "dead"
+        if i % 3 == 0:
+            words[a + 1], words[b + 1] = "dead", str(rng.choice(calm))
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, int(i % 3 == 0)))
+    got = [r for r in toxicity(docs_of(spark, [*rows, *rows[:3]]), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in got]) > 0.9
+
+
 def test_masked_model_learns_order(spark):
     rows = [(i, "a b c d e f g h " * 12, "a") for i in range(60)] + [(100, "h c a f b g d e " * 12, "a"), (101, None, "a"), (102, "", "a")]
     enc, counts = encode(docs_of(spark, rows), frequent=20, buckets=4)

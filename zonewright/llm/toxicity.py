@@ -1,21 +1,23 @@
 """Operator 5: toxicity by class-conditional Kneser-Ney models.
 
-As in Kneser-Ney's lower orders, a word counts in a class as often as it follows different words there, so
-that copies and shared passages count once. From each count an absolute discount below 1 is taken, which goes
-to one shared backoff model. Only words that the likelihood ratio shows to mark toxic texts have
-probabilities of their own, in both classes; all others are left to the backoff model, which gives them
-the same probability in both classes up to a constant. A text's toxic and ordinary log-likelihoods are divided by its length;
-their difference, through a logistic curve fitted on labelled texts that the counts don't hold, is the
-score.
-
-The learning sample is bounded: about `max_docs` texts of each class at most, chosen by a hash of doc_id. The curve is weighted back to the classes' true shares. Counting is done by Spark; one
-row per word of the bounded sample comes to the driver, and the words with a class of their own are
-broadcast.
+Each class has an interpolated bigram model over word hashes. A pair counts as often as it follows different words, so
+that copies and shared passages count once. From its count an absolute discount is taken, and what the discounts of
+a context free goes to the class's continuation model: there a word counts as often as it follows different words,
+less a discount again, and what that frees goes to one backoff model shared by both classes. Discounts come from the counts of counts, n1 / (n1 + 2 n2), of each class and order.
+
+Classes are tied where they can't be told apart: only words, and pairs of other words, that the likelihood ratio
+shows to mark toxic texts have counts of their own; all others give all their counts to the next model, in both
+classes. A text's toxic and ordinary log-likelihoods are divided by its length; their difference, through a logistic
+curve fitted on labelled texts that the counts don't hold, is the score.
+
+The learning sample is bounded: about `max_docs` texts of each class at most, chosen by a hash of doc_id. The curve is
+weighted back to the classes' true shares. Counting is done by Spark; sums and the words and pairs that mark toxic
+texts come to the driver and are broadcast, whatever the texts' length.
 
 Defined results: null or empty text has difference 0, and its score is the curve's value there; a doc_id
 that is null or has no label is only scored; of several labels of one doc_id the highest counts, null
-ones don't; with labels of one class alone, or none, every score is that class's share; extra columns
-are carried along.
+ones don't; repeated rows are learnt and scored as often as they come; with labels of one class alone, or none, every
+score is that class's share; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ from .common import read, stored, word_hashes
 
 MAX_DOCS = 2500
 THRESHOLD = 0.7
-#: The absolute discount; the least likelihood ratio statistic (chance of 0.001) of a toxic word, and how many
-#: times the ordinary rate it has at least.
-DISCOUNT, EVIDENCE, RATIO = 0.75, 11.0, 2.0
+#: The least likelihood ratio statistics of a toxic word (chance of 0.001) and of a toxic pair (there are more of
+#: them, so 0.0001), and how many times the ordinary rate either has at least.
+EVIDENCE, PAIR_EVIDENCE, RATIO = 11.0, 16.0, 2.0
 
 
 def fold(doc_id: Column) -> Column:
@@ -43,12 +45,19 @@ def fold(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Hashes of the words that mark toxic texts, sorted, and both classes' probabilities; index 0 is
-    ordinary, 1 toxic. All other words have the same shared probability times a class's backoff mass."""
+    """Both classes' probabilities of what they are told apart by; index 0 is ordinary, 1 toxic.
+
+    words: hashes that mark toxic texts, sorted. backoff: the mass that the continuation model leaves to the shared
+    one, from which all other words come. contexts: first words of the pairs that mark toxic texts, sorted, with
+    the mass that is left to the continuation model behind them. pairs: keys of those pairs, sorted."""
 
     words: np.ndarray
     word_p: np.ndarray
     backoff: np.ndarray
+    contexts: np.ndarray
+    context_rest: np.ndarray
+    pairs: np.ndarray
+    pair_p: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
     low: float = 0.0
@@ -56,13 +65,21 @@ class Model:
 
     def differences(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood a word, of texts that end at `ends` in h."""
-        rest = float(np.log(self.backoff[1] / self.backoff[0]))
-        each = np.full(len(h), rest)
+        ratio = lambda p: np.log(p[1] / p[0])
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        each = np.full(len(h), float(ratio(self.backoff)))
         if len(self.words) and len(h):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            each = np.where(self.words[at] == h, np.log(self.word_p[1] / self.word_p[0])[at], rest)
+            at, hit = _found(self.words, h)
+            each = np.where(hit, ratio(self.word_p)[at], each)
+        if len(self.pairs) and len(h):
+            before = np.concatenate([h[:1], h[:-1]])
+            before[starts[ends > starts]] = 0
+            at, behind = _found(self.contexts, before)
+            each = np.where(behind, each + ratio(self.context_rest)[at], each)
+            place = np.flatnonzero(behind)
+            at, hit = _found(self.pairs, _pair_key(before[place], h[place]))
+            each[place[hit]] = ratio(self.pair_p)[at[hit]]
         total = np.concatenate([[0.0], np.cumsum(each)])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return (total[ends] - total[starts]) / np.maximum(1, ends - starts)
 
     def scores(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,6 +87,17 @@ class Model:
         return self.low + (self.high - self.low) * z
 
 
+def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash would stand in the sorted keys, and whether it does."""
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts in a row, and where each text ends."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,18 +106,75 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten(), np.int64).view(np.uint64), ends
 
 
-def _smoothed(words: np.ndarray, counts: np.ndarray) -> Model:
-    """counts: (2, n), how many different words each word follows in each class."""
-    n, both = counts.sum(1, keepdims=True), counts.sum(0)
-    expected = np.maximum(both * n / n.sum(), 1e-12)
-    evidence = 2 * (counts * np.log(np.maximum(counts, 1e-12) / expected)).sum(0)
-    marks = (evidence > EVIDENCE) & (counts[1] / n[1] > RATIO * counts[0] / n[0])
-    off = np.where(marks, np.minimum(counts, DISCOUNT), counts)
-    shared = (off.sum(0) + 0.5) / (off.sum() + 0.5 * (counts.shape[1] + 1))
-    backoff = off.sum(1, keepdims=True) / n
-    own = np.flatnonzero(marks)
-    own = own[np.argsort(words[own])]
-    return Model(words[own], ((counts - off) / n + backoff * shared)[:, own], np.maximum(backoff[:, 0], 1e-6))
+def _evidence(n: list[Column], of: list[float]) -> Column:
+    """Likelihood ratio statistic of a word's or pair's counts against the classes' totals; 0 unless it marks toxic texts."""
+    both = n[0] + n[1]
+    term = lambda c: F.when(n[c] > 0, n[c] * F.log(n[c] / (both * of[c] / (of[0] + of[1])))).otherwise(0.0)
+    return F.when(n[1] / of[1] > RATIO * n[0] / of[0], 2 * (term(0) + term(1))).otherwise(0.0)
+
+
+def _discounts(table: DataFrame, columns: list[str]) -> np.ndarray:
+    """n1 / (n1 + 2 n2) of each class's counts; 0.75 where there are none of either."""
+    ones = table.agg(*[F.count(F.when(F.col(c) == k, 1)).cast("double").alias(f"{c}{k}") for c in columns for k in (1, 2)]).first()
+    return np.array([ones[f"{c}1"] / (ones[f"{c}1"] + 2 * ones[f"{c}2"]) if ones[f"{c}1"] and ones[f"{c}2"] else 0.75 for c in columns])
+
+
+def _hashes(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _pairs(counting: DataFrame) -> DataFrame:
+    """(a, b, d0, d1) of texts with their class t and word hashes h, as _models() takes it."""
+    none = F.lit(0).cast("long")
+    runs = F.arrays_zip(F.concat(F.array(none, none), "h").alias("z"), F.concat(F.array(none), "h").alias("a"), F.col("h").alias("b"))
+    runs = counting.select("t", F.inline(runs).alias("z", "a", "b")).filter(F.col("b").isNotNull()).distinct()
+    return stored(runs.groupBy("a", "b").agg(*[F.count(F.when(F.col("t") == c, 1)).alias(f"d{c}") for c in (0, 1)]), "toxicity-pairs")
+
+
+def _models(pairs: DataFrame) -> Model | None:
+    """Both classes' models from (a, b, d0, d1): how many different words stand in each class before the pair of word a,
+    which is 0 at a text's start, and word b."""
+    words = stored(pairs.groupBy("b").agg(*[F.count(F.when(F.col(f"d{c}") > 0, 1)).alias(f"n{c}") for c in (0, 1)]), "toxicity-words")
+    sums = words.agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(f"n{c}").cast("double").alias(f"n{c}") for c in (0, 1)]).first()
+    total = np.array([sums["n0"] or 0.0, sums["n1"] or 0.0])
+    if not total.all():
+        return None
+    own = words.filter(_evidence([F.col("n0"), F.col("n1")], total.tolist()) > EVIDENCE).orderBy("b").toArrow()
+    counts = np.stack([own.column(f"n{c}").to_numpy().astype(float) for c in (0, 1)])
+    # What the discounts of its own words leave each class; all other words leave all.
+    left = np.minimum(counts, _discounts(words, ["n0", "n1"])[:, None])
+    backoff = (total - (counts - left).sum(1)) / total
+    mass = total.sum() - (counts - left).sum() + 0.5 * (sums["kinds"] + 1)
+    shared = lambda n: (n + 0.5) / mass
+    word_p = (counts - left) / total[:, None] + backoff[:, None] * shared(left.sum(0))
+    order = np.argsort(h := _hashes(own, "b"))
+    none = Model(h[order], word_p[:, order], np.maximum(backoff, 1e-6), *[np.zeros(s, t) for s, t in ((0, np.uint64), ((2, 0), float)) * 2])
+
+    runs = pairs.agg(*[F.sum(f"d{c}").cast("double") for c in (0, 1)]).first()
+    marked = pairs.filter(_evidence([F.col("d0"), F.col("d1")], list(runs)) > PAIR_EVIDENCE)
+    marked = marked.join(words.select("b", F.col("n0").alias("w0"), F.col("n1").alias("w1")), "b").toArrow()
+    a, b = _hashes(marked, "a"), _hashes(marked, "b")
+    plain = ~np.isin(a, h) & ~np.isin(b, h)
+    if not plain.any():
+        return none
+    a, b = a[plain], b[plain]
+    seen = np.stack([marked.column(f"d{c}").to_numpy().astype(float)[plain] for c in (0, 1)])
+    kinds = np.unique(a)
+    spark = pairs.sparkSession
+    wanted = spark.createDataFrame([(int(x),) for x in kinds.view(np.int64)], "a long")
+    behind = pairs.join(F.broadcast(wanted), "a").groupBy("a").agg(*[F.sum(f"d{c}").cast("double").alias(f"d{c}") for c in (0, 1)]).toArrow()
+    place = np.argsort(_hashes(behind, "a"))
+    context = np.stack([behind.column(f"d{c}").to_numpy()[place] for c in (0, 1)])
+    of = np.searchsorted(kinds, a)
+    taken = np.maximum(seen - _discounts(pairs, ["d0", "d1"])[:, None], 0)
+    freed = np.stack([np.bincount(of, x, len(kinds)) for x in taken])
+    rest = 1 - freed / np.maximum(context, 1)
+    lower = backoff[:, None] * shared(np.stack([marked.column(f"w{c}").to_numpy().astype(float)[plain] for c in (0, 1)]).sum(0))
+    pair_p = taken / np.maximum(context, 1)[:, of] + rest[:, of] * lower
+    none.contexts, none.context_rest = kinds, np.maximum(rest, 1e-6)
+    order = np.argsort(keys := _pair_key(a, b))
+    none.pairs, none.pair_p = keys[order], np.maximum(pair_p, 1e-12)[:, order]
+    return none
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float, float]:
@@ -99,7 +184,9 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, f
     """
     w, best = w / w.sum(), (-np.inf, 1.0, 0.0, 0.5, 0.5)
     base = float((w * y).sum())
-    for middle in np.unique(np.quantile(x, np.linspace(0.02, 0.98, 97))):
+    at = np.unique(np.quantile(x, np.linspace(0.02, 0.98, 97)))
+    # Also half-way, for differences of a few values only.
+    for middle in np.concatenate([at, (at[1:] + at[:-1]) / 2]):
         for width in np.geomspace(max(1e-4, x.std() / 300), max(1e-3, x.std()), 16):
             z = 1 / (1 + np.exp(-np.clip((x - middle) / width, -30, 30)))
             mean_z = (w * z).sum()
@@ -135,13 +222,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
 
     share = count[1] / (count[0] + count[1])
     counting = sample.filter(~F.col("curve"))
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), "h").alias("a"), F.col("h").alias("b"))
-    follows = counting.select("t", F.inline(pairs).alias("a", "b")).filter(F.col("b").isNotNull()).distinct()
-    table = follows.groupBy("b").agg(*[F.sum(F.when(F.col("t") == c, 1).otherwise(0)).alias(f"n{c}") for c in (0, 1)]).toArrow()
-    counts = np.stack([table.column(f"n{c}").to_numpy().astype(float) for c in (0, 1)])
-    if not counts.sum(1).all():
+    model = _models(_pairs(counting))
+    if model is None:
         return share
-    model = _smoothed(table.column("b").to_numpy().astype(np.int64).view(np.uint64), counts)
 
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)

@@ -15,6 +15,18 @@ def test_delta_stream_adds_each_name_once(spark, tmp_path):
     assert sorted(r.name for r in got) == ["a.com", "b.com", "c.com"]
 
 
+def test_a_repeated_batch_keeps_its_rows(spark, tmp_path):
+    target = str(tmp_path / "out")
+    rows = lambda *names: spark.createDataFrame([(n, "com", n[0], 1) for n in names], J.DELTA)
+    for _ in range(2):
+        J.add_batch(spark, rows("a.com", "b.com"), target, 0)
+    for _ in range(3):
+        J.add_batch(spark, rows("b.com", "c.com", "c.com"), target, 1)
+    J.add_batch(spark, rows("a.com", "b.com"), target, 0)
+    got = spark.read.parquet(target).collect()
+    assert sorted((r.name, r.batch) for r in got) == [("a.com", 0), ("b.com", 0), ("c.com", 1)]
+
+
 def test_windowed_counts_match_the_batch(spark, tmp_path):
     path = str(tmp_path / "events")
     rows = spark.range(500).select(F.concat(F.lit("t"), F.col("id") % 3).alias("tool_name"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("created_at"))

@@ -16,18 +16,26 @@ def round4(x: Column) -> Column:
     return F.floor(x * 10000.0 + 0.5) / 10000.0
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once: Spark would else repeat its expression wherever it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trigrams(x: Column) -> Column:
-    """Distinct trigrams of the alphanumeric words, each padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+    """Distinct trigrams of the alphanumeric words, each padded with two blanks before and one after.
+
+    The padded words stand in one text; of its windows only those between two words end with two blanks.
+    """
+    words = F.concat(F.lit("  "), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "   "), F.lit(" "))
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))
+    return F.array_distinct(F.filter(once(words, windows), lambda g: ~F.endswith(g, F.lit("  "))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the trigram sets; 0 where both are empty."""
-    x, y = trigrams(a), trigrams(b)
-    both = F.size(F.array_intersect(x, y))
-    return F.when(F.size(x) + F.size(y) == 0, F.lit(0.0)).otherwise(both / (F.size(x) + F.size(y) - both))
+    both = F.struct(trigrams(a).alias("x"), trigrams(b).alias("y"))
+    sizes = once(both, lambda g: F.struct(F.size(F.array_intersect(g["x"], g["y"])).alias("both"), (F.size(g["x"]) + F.size(g["y"])).alias("all")))
+    return once(sizes, lambda n: F.when(n["all"] == 0, F.lit(0.0)).otherwise(n["both"] / (n["all"] - n["both"])))
 
 
 def trigram_threshold(label: Column) -> Column:

@@ -372,9 +372,12 @@ def srt02(spark, d):
 
 
 def search(names: DataFrame, text: str) -> DataFrame:
-    """Names similar to one query label: 0.5 for short queries, 0.3 for longer ones."""
-    sim = L.trigram_similarity(F.col("label"), F.lit(text))
-    return C.without_subdomains(names).withColumn("sim", sim).filter(F.col("sim") >= (0.5 if len(text) <= 5 else 0.3))
+    """Names similar to one query label: 0.5 for short queries, 0.3 for longer ones.
+
+    The query is a seed of its own: only names that share a trigram with it, and could reach the bound, are counted.
+    """
+    seed = names.sparkSession.createDataFrame([(text,)], "seed_value string")
+    return C.trigram_candidates(C.without_subdomains(names), seed, F.lit(0.5 if len(text) <= 5 else 0.3))
 
 
 @query("SRT04_punycode_recent", V.sql("SELECT name, added_day FROM zone_today WHERE starts_with(label, 'th') ORDER BY added_day DESC NULLS LAST, name LIMIT 100", "zone_today"))

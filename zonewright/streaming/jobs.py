@@ -15,14 +15,22 @@ def load_deltas(spark: SparkSession, source: str, target: str, checkpoint: str)
     """Delta files, as they arrive, are added to the target unless the name is there already."""
 
     def add(batch: DataFrame, epoch: int) -> None:
-        have = spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(target) if _exists(spark, target) else spark.createDataFrame([], DELTA)
-        fresh = batch.dropDuplicates(["name", "tld"]).join(have.select("name", "tld"), ["name", "tld"], "left_anti")
-        # A batch has a folder of its own: one that is repeated after a failure replaces itself.
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+        add_batch(spark, batch, target, epoch)
 
     return spark.readStream.schema(DELTA).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def add_batch(spark: SparkSession, batch: DataFrame, target: str, epoch: int) -> None:
+    """Adds the names that no other batch has added. A batch has a folder of its own: one that is repeated after a
+    failure doesn't look at what it wrote before, and replaces it by the same rows."""
+    fresh = batch.dropDuplicates(["name", "tld"])
+    if _exists(spark, target):
+        have = spark.read.schema(f"{DELTA}, batch long").option("basePath", target).parquet(target)
+        # The folder's number prunes the batch's own folder from the reading.
+        fresh = fresh.join(have.filter(F.col("batch") != epoch).select("name", "tld"), ["name", "tld"], "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

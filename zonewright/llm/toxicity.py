@@ -22,6 +22,7 @@ score is that class's share; extra columns are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,8 @@ THRESHOLD = 0.7
 #: The least likelihood ratio statistics of a toxic word (chance of 0.001) and of a toxic pair (there are more of
 #: them, so 0.0001), and how many times the ordinary rate either has at least.
 EVIDENCE, PAIR_EVIDENCE, RATIO = 11.0, 16.0, 2.0
+#: Texts of a batch that are scored at a time.
+_TEXTS = 256
 
 
 def fold(doc_id: Column) -> Column:
@@ -106,6 +109,11 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten(), np.int64).view(np.uint64), ends
 
 
+def _by_slices(work: Callable[[np.ndarray, np.ndarray], np.ndarray], h: pa.Array) -> pa.Array:
+    """work() on a few texts of a batch at a time, which bounds a worker's memory."""
+    return pa.array(np.concatenate([work(*_flat(h.slice(at, _TEXTS))) for at in range(0, len(h), _TEXTS)] or [np.zeros(0)]))
+
+
 def _evidence(n: list[Column], of: list[float]) -> Column:
     """Likelihood ratio statistic of a word's or pair's counts against the classes' totals; 0 unless it marks toxic texts."""
     both = n[0] + n[1]
@@ -228,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
 
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    measure = F.arrow_udf(lambda h: pa.array(held.value.differences(*_flat(h))), "double")
+    measure = F.arrow_udf(lambda h: _by_slices(held.value.differences, h), "double")
     seen = sample.filter("curve").select("t", measure("h").alias("d")).toArrow()
     t, d = seen.column("t").to_numpy(), seen.column("d").to_numpy()
     if len(set(t.tolist())) < 2:
@@ -245,7 +253,7 @@ def score_column(spark: SparkSession, model: Model | float, text: Column) -> Col
 
     @F.arrow_udf("double")
     def score(h: pa.Array) -> pa.Array:
-        return pa.array(held.value.scores(*_flat(h)))
+        return _by_slices(held.value.scores, h)
 
     return score(word_hashes(text))
 

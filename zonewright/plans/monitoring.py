@@ -163,18 +163,23 @@ FROM (SELECT id, a, b, {_CLIP_SQL.format('0.0', f'CAST(0.4 AS DOUBLE) + ({_POINT
 )
 def job09_all_rules(spark, d):
     """All ten rule sets on one match; a tools completed, b degraded."""
+    a, b = F.col("a"), F.col("b")
+    points, codes = E.adjustments(all_rules())
+    t = _t(spark, d).select("id", "a", "b", L.round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points + 0.4))).alias("score"), codes.alias("found"))
+    sure = L.round4(E.confidence(F.col("score"), a, b, F.size("found")))
+    reasons = E.merged_reasons(F.array(F.lit("lexical_similarity")), F.col("found"))
+    return t.select("id", "score", F.array_join("found", ",").alias("codes"), sure.alias("confidence"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def all_rules() -> list[E.Rule]:
+    """The ten rule sets over columns k, a, b and c, from which the tools' findings derive."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    rules = [
+    return [
         *E.whois_rules(F.col("k")), *E.dns_rules(a == 0, b == 0, c == 0), *E.http_rules(_status(), F.when(b > 2, "https://x/").otherwise("http://x/")),
         *E.page_rules(F.when(b == 0, "parked").when(b == 1, "challenge").otherwise("live"), c < 3, V._pick(_LEVELS, a)), *E.email_rules(V._pick(_LEVELS, a)),
         *E.geo_rules(V._pick(("RU", "IR", "DE", "BR", "US"), a), F.when(b == 3, "DDoS-Guard LTD").otherwise("Some Host")), *E.ssl_rules(a == 4), *E.safe_browsing_rules(b == 2),
         *E.feed_rules(a == 0, b == 0, c < 5), *E.clone_rules(a == 0, c / 10.0),
     ]
-    points, codes = E.adjustments(rules)
-    t = _t(spark, d).select("id", "a", "b", L.round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points + 0.4))).alias("score"), codes.alias("found"))
-    sure = L.round4(E.confidence(F.col("score"), a, b, F.size("found")))
-    reasons = E.merged_reasons(F.array(F.lit("lexical_similarity")), F.col("found"))
-    return t.select("id", "score", F.array_join("found", ",").alias("codes"), sure.alias("confidence"), F.array_join(reasons, ",").alias("reasons"))
 
 
 @query("FN25_parse_datetime", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE date_trunc('second', ts) END AS at FROM events")

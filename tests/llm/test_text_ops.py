@@ -94,8 +94,8 @@ def test_encoder_on_long_words_wide_blanks_and_growth():
     e = Encoder(byte_bpe())
     rng = np.random.default_rng(8)
     letters = list("abcdefghijklmnopqrstuvwxyzäéßñ×’…")
-    pieces = ["".join(rng.choice(letters, rng.integers(1, 25))) + str(rng.choice(["", ",", ".", "...", "!,"])) for _ in range(9000)]
-    texts = [" ".join(rng.choice(pieces, 40)).replace(" a", "\na", 1) for _ in range(300)]
+    pieces = ["".join(rng.choice(letters, rng.integers(1, 25))) + str(rng.choice(["", ",", ".", "...", "!,"])) for _ in range(20000)]
+    texts = [" ".join(rng.choice(pieces, 40)).replace(" a", "\na", 1) for _ in range(900)]
     texts += ["a\u00a0b c", "x\u2003y, z", "q\u3000", "“quoted” – dash… end.", "é.", "×.", "’.", "don't, won't.", "", "<|endoftext|> a", "a <b, c", "1, 22. 3,"]
     for some in (texts, [None, *texts[:3], None], [""] * 3):
         assert e.encode(some) == [np.array(e.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in some]

@@ -145,7 +145,8 @@ class _Pieces:
         self.words, self.entry = np.zeros((2, 1 << 12), np.uint64), np.full(1 << 12, -1, np.int32)
         self.long: dict[bytes, int] = {}
         self.n, self.used = 0, 0
-        self.start, self.count, self.pool = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+        # Ids that fit in two bytes take two; a table of a million pieces takes about 50 MB.
+        self.start, self.count, self.pool = np.zeros(1 << 10, np.uint32), np.zeros(1 << 10, np.uint32), np.zeros(1 << 12, np.uint16)
 
     def _slots(self, w: np.ndarray) -> np.ndarray:
         h = (w[0] ^ (w[1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
@@ -179,7 +180,9 @@ class _Pieces:
     def add(self, w: np.ndarray | None, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """New entries of `counts` ids each; w has the words of those that go to the table."""
         n, m = len(counts), len(ids)
-        grown = lambda a, size: a if size <= len(a) else np.concatenate([a, np.zeros(max(size - len(a), len(a)), a.dtype)])
+        grown = lambda a, size: a if size <= len(a) else np.concatenate([a, np.zeros(max(size - len(a), len(a) // 2), a.dtype)])
+        if m and self.pool.dtype == np.uint16 and ids.max() >= 1 << 16:
+            self.pool = self.pool.astype(np.uint32)
         self.start, self.count, self.pool = grown(self.start, self.n + n), grown(self.count, self.n + n), grown(self.pool, self.used + m)
         self.pool[self.used : self.used + m] = ids
         self.start[self.n : self.n + n] = self.used + np.cumsum(counts) - counts
@@ -187,10 +190,10 @@ class _Pieces:
         entries = np.arange(self.n, self.n + n)
         self.n, self.used = self.n + n, self.used + m
         if w is not None:
-            if 2 * self.n > len(self.entry):
+            if 4 * self.n > 3 * len(self.entry):
                 held = self.entry >= 0
                 old, size = (self.words[:, held], self.entry[held]), len(self.entry)
-                while 2 * self.n > size:
+                while 4 * self.n > 3 * size:
                     size *= 2
                 self.words, self.entry = np.zeros((2, size), np.uint64), np.full(size, -1, np.int32)
                 self._place(*old)
@@ -207,7 +210,7 @@ class Encoder:
     are encoded in one go.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
@@ -288,9 +291,9 @@ class Encoder:
         for i in np.flatnonzero(odd):
             skip[first[i] : behind[i]] = True
         entry = self._entries(padded, raw, at, size, skip)
-        count = np.where(skip, 0, self.known.count[entry])
+        count = np.where(skip, 0, self.known.count[entry].astype(np.int64))
         before = np.concatenate([[0], np.cumsum(count)])
-        flat = self.known.pool[np.repeat(self.known.start[entry] - before[:-1], count) + np.arange(before[-1])]
+        flat = self.known.pool[np.repeat(self.known.start[entry].astype(np.int64) - before[:-1], count) + np.arange(before[-1])].astype(np.uint32)
         n = before[behind] - before[first]
         if not odd.any():
             return flat, n

@@ -51,6 +51,31 @@ def substring_candidates(names: DataFrame, seeds: DataFrame) -> DataFrame:
     return names.select("name", "tld", "label", "added_day").join(F.broadcast(s), F.contains(names["label"], s["seed_value"])).withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value")))
 
 
+# Most encoded names of an ending that a brand is held against, and for any other ending.
+ENCODED_LIMITS, OTHER_ENCODED_LIMIT = {"com": 2000, "net": 1500, "org": 1500}, 1200
+
+
+def encoded_names(names: DataFrame) -> DataFrame:
+    """Names whose label is punycode; the prefix is pushed down to the scan."""
+    return names.filter(F.startswith("label", F.lit("xn--")))
+
+
+def encoded_candidates(names: DataFrame, brands: DataFrame) -> DataFrame:
+    """For each brand and ending the encoded names of least edit distance, newest first, up to the ending's limit.
+
+    Encoded names are few beside all; brands are few and broadcast after a check.
+    """
+    pairs = encoded_names(names).crossJoin(few(brands)).withColumn("distance", F.levenshtein("label", "brand_label"))
+    w = Window.partitionBy("brand_id", "tld").orderBy("distance", F.desc("added_day"), "name")
+    most = S.choose(ENCODED_LIMITS, F.col("tld"), OTHER_ENCODED_LIMIT)
+    return pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+
+
+def seed_limit(seeds: int) -> int:
+    """How many names of an ending each of so many seeds may bring."""
+    return max(250, min(1500, 5000 // max(1, seeds)))
+
+
 def best_by_name(candidates: DataFrame) -> DataFrame:
     """For each name and seed the row of highest similarity, then latest day."""
     w = Window.partitionBy("name", "seed_value").orderBy(F.desc("sim"), F.desc("added_day"))

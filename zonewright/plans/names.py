@@ -281,19 +281,17 @@ def flt03(spark, d):
     return V.zone_today(spark, d).filter(F.col("tld").isin("com", "com.br"))
 
 
-@query("FLT04_punycode_filter", V.sql("SELECT * FROM zone_today WHERE starts_with(label, 'th')", "zone_today"))
+@query("FLT04_punycode_filter", V.sql("SELECT * FROM zone_xn WHERE starts_with(label, 'xn--')", "zone_xn"))
 def flt04(spark, d):
-    return with_prefix(V.zone_today(spark, d), "th")
+    return C.encoded_names(V.zone_xn(spark, d))
 
 
-def with_prefix(names: DataFrame, prefix: str = "xn--") -> DataFrame:
-    """Names of encoded labels; another prefix serves tables without any."""
-    return names.filter(F.startswith("label", F.lit(prefix)))
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return _seeds_of(V.brand(spark))
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
+def _seeds_of(b: DataFrame) -> DataFrame:
     """Two seeds for each brand: its label, and its label without the first letter as an alias."""
-    b = V.brand(spark)
     own = b.select(F.col("brand_label").alias("seed_value"), F.lit("domain_label").alias("seed_type"), F.lit("registrable_domain").alias("channel_scope"), F.lit(1.0).alias("base_weight"), *b.columns)
     alias = b.select(F.substr("brand_label", F.lit(2)).alias("seed_value"), F.lit("brand_alias").alias("seed_type"), F.lit("associated_brand").alias("channel_scope"), F.lit(0.65).alias("base_weight"), *b.columns)
     return own.unionByName(alias)
@@ -307,9 +305,14 @@ def _with_seeds(select: str) -> str:
     return V.sql("SELECT 1", "zone_today", "brand").removesuffix(" SELECT 1") + f", {_SEEDS}, n AS (SELECT * FROM zone_today WHERE NOT contains(label, '.')) " + select
 
 
-@query("FLT07_seed_filter", _with_seeds("SELECT brand_id, seed_value, seed_type FROM seed WHERE length(seed_value) >= 3 AND channel_scope IN ('registrable_domain', 'associated_brand', 'both') AND seed_type IN ('domain_label', 'brand_primary', 'brand_alias', 'brand_phrase')"))
+def _of_companies(sql: str) -> str:
+    """The seeds' SQL over the companies instead of the five brands."""
+    return sql.replace(f"brand AS {V.SQL['brand']}", f"brand AS {V.SQL['company']}")
+
+
+@query("FLT07_seed_filter", _of_companies(_with_seeds("SELECT brand_id, seed_value, seed_type FROM seed WHERE length(seed_value) >= 3 AND channel_scope IN ('registrable_domain', 'associated_brand', 'both') AND seed_type IN ('domain_label', 'brand_primary', 'brand_alias', 'brand_phrase')")))
 def flt07(spark, d):
-    s = _seeds(spark, d)
+    s = _seeds_of(V.company(spark, d))
     return s.filter((F.length("seed_value") >= 3) & F.col("channel_scope").isin("registrable_domain", "associated_brand", "both") & F.col("seed_type").isin("domain_label", "brand_primary", "brand_alias", "brand_phrase")).select("brand_id", "seed_value", "seed_type")
 
 
@@ -349,20 +352,19 @@ def win05(spark, d):
     return both.groupBy("name").agg(F.max("sim").alias("sim"))
 
 
-@query("SRT05_per_seed_limit", _with_seeds("SELECT 1").removesuffix(" SELECT 1") + f", {_UNION} SELECT name, seed_value, sim FROM (SELECT *, row_number() OVER (PARTITION BY seed_value, tld ORDER BY sim DESC, name) AS r FROM u) WHERE r <= 5")
+@query("SRT05_per_seed_limit", _with_seeds("SELECT 1").removesuffix(" SELECT 1") + f", {_UNION}, lim AS (SELECT greatest(250, least(1500, 5000 // count(DISTINCT seed_value))) AS most FROM seed) SELECT name, seed_value, sim FROM (SELECT *, row_number() OVER (PARTITION BY seed_value, tld ORDER BY sim DESC, name) AS r FROM u) WHERE r <= (SELECT most FROM lim)")
 def srt05(spark, d):
     names, seeds = C.without_subdomains(V.zone_today(spark, d)), _seeds(spark, d).select("seed_value").distinct()
     both = C.best_by_name(C.trigram_candidates(names, seeds).unionByName(C.substring_candidates(names, seeds)))
-    return C.per_seed_limit(both, 5).select("name", "seed_value", "sim")
+    return C.per_seed_limit(both, C.seed_limit(seeds.count())).select("name", "seed_value", "sim")
 
 
-@query("SRT03_punycode_topk", _with_seeds("SELECT name, brand_id, CAST(distance AS INTEGER) AS distance FROM (SELECT n.name, b.brand_id, levenshtein(n.label, b.brand_label) AS distance, row_number() OVER (PARTITION BY b.brand_id, n.tld ORDER BY levenshtein(n.label, b.brand_label), n.added_day DESC, n.name) AS r FROM n, brand b WHERE starts_with(n.label, 'th')) WHERE r <= 20"))
-def srt03(spark, d):
-    from pyspark.sql import Window
+_ENCODED_LIMIT_SQL = "CASE n.tld WHEN 'com' THEN 2000 WHEN 'net' THEN 1500 WHEN 'org' THEN 1500 ELSE 1200 END"
 
-    p = with_prefix(_pairs(spark, d), "th").withColumn("distance", F.levenshtein("label", "brand_label"))
-    w = Window.partitionBy("brand_id", "tld").orderBy("distance", F.desc("added_day"), "name")
-    return p.withColumn("r", F.row_number().over(w)).filter("r <= 20").select("name", "brand_id", "distance")
+
+@query("SRT03_punycode_topk", V.sql("SELECT 1", "zone_xn", "brand").removesuffix(" SELECT 1") + f", n AS (SELECT * FROM zone_xn) SELECT name, brand_id, CAST(distance AS INTEGER) AS distance FROM (SELECT n.name, n.tld, b.brand_id, levenshtein(n.label, b.brand_label) AS distance, {_ENCODED_LIMIT_SQL} AS most, row_number() OVER (PARTITION BY b.brand_id, n.tld ORDER BY levenshtein(n.label, b.brand_label), n.added_day DESC, n.name) AS r FROM n, brand b WHERE starts_with(n.label, 'xn--')) WHERE r <= most")
+def srt03(spark, d):
+    return C.encoded_candidates(V.zone_xn(spark, d), V.brand(spark)).select("name", "brand_id", "distance")
 
 
 @query("SRT02_search_page", _with_seeds(f"SELECT name, sim FROM (SELECT name, added_day, {_sim('label', chr(39) + 'thatin' + chr(39))} AS sim FROM n) WHERE sim >= 0.3 ORDER BY sim DESC, added_day DESC, name LIMIT 50 OFFSET 10"))
@@ -380,9 +382,9 @@ def search(names: DataFrame, text: str) -> DataFrame:
     return C.trigram_candidates(C.without_subdomains(names), seed, F.lit(0.5 if len(text) <= 5 else 0.3))
 
 
-@query("SRT04_punycode_recent", V.sql("SELECT name, added_day FROM zone_today WHERE starts_with(label, 'th') ORDER BY added_day DESC NULLS LAST, name LIMIT 100", "zone_today"))
+@query("SRT04_punycode_recent", V.sql("SELECT name, added_day FROM zone_xn WHERE starts_with(label, 'xn--') ORDER BY added_day DESC NULLS LAST, name LIMIT 100", "zone_xn"))
 def srt04(spark, d):
-    return with_prefix(V.zone_today(spark, d), "th").orderBy(F.desc_nulls_last("added_day"), "name").limit(100).select("name", "added_day")
+    return C.encoded_names(V.zone_xn(spark, d)).orderBy(F.desc_nulls_last("added_day"), "name").limit(100).select("name", "added_day")
 
 
 _KEYS_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in KEYS.items()) + ") k(c, near)"
@@ -394,40 +396,28 @@ v AS (SELECT x, head || tail AS variant, 'omission' AS kind FROM b UNION SELECT
   UNION SELECT x, head || look || tail, 'look' FROM b JOIN (VALUES ('0','o'),('1','l'),('3','e'),('4','a'),('5','s'),('7','t'),('8','b'),('@','a'),('$','s')) l(look, letter) ON letter = b.c)"""
 
 
-@query("GEN01_typo_candidates", V.sql("SELECT 1", "brand").removesuffix(" SELECT 1") + f", {_TYPO} SELECT x AS brand_label, variant, kind FROM v WHERE variant <> x AND variant <> ''")
+@query("GEN01_typo_candidates", _of_companies(V.sql("SELECT 1", "brand").removesuffix(" SELECT 1") + f", {_TYPO} SELECT x AS brand_label, variant, kind FROM v WHERE variant <> x AND variant <> ''"))
 def gen01(spark, d):
-    return C.typo_variants(V.brand(spark), "brand_label", KEYS)
+    return C.typo_variants(V.company(spark, d), "brand_label", KEYS)
 
 
-@query("GEN03_typo_seeds", V.sql("SELECT 1", "brand").removesuffix(" SELECT 1") + f", {_TYPO} SELECT brand_label, variant FROM (SELECT x AS brand_label, variant, row_number() OVER (PARTITION BY x ORDER BY length(variant), variant) AS r FROM (SELECT DISTINCT x, variant FROM v WHERE variant <> x AND variant <> '')) WHERE r <= 50")
+@query("GEN03_typo_seeds", _of_companies(V.sql("SELECT 1", "brand").removesuffix(" SELECT 1") + f", {_TYPO} SELECT brand_label, variant FROM (SELECT x AS brand_label, variant, row_number() OVER (PARTITION BY x ORDER BY length(variant), variant) AS r FROM (SELECT DISTINCT x, variant FROM v WHERE variant <> x AND variant <> '')) WHERE r <= 50"))
 def gen03(spark, d):
     from pyspark.sql import Window
 
-    v = C.typo_variants(V.brand(spark), "brand_label", KEYS).select("brand_label", "variant").distinct()
+    v = C.typo_variants(V.company(spark, d), "brand_label", KEYS).select("brand_label", "variant").distinct()
     w = Window.partitionBy("brand_label").orderBy(F.length("variant"), "variant")
     return v.withColumn("r", F.row_number().over(w)).filter("r <= 50").drop("r")
 
 
-@query("GEN02_combo_seeds", V.sql("SELECT brand_id, unnest([brand_label || k, k || brand_label, brand_label || '-' || k, k || '-' || brand_label]) AS seed_value FROM (SELECT brand_id, brand_label, unnest(keywords) AS k FROM brand)", "brand"))
-def gen02(spark, d):
-    return combo_seeds(V.brand(spark)).select("brand_id", "seed_value")
-
-
-def combo_seeds(brands: DataFrame) -> DataFrame:
-    """Brand and keyword in both orders, joined and hyphenated."""
-    k, b = F.col("k"), F.col("brand_label")
-    made = F.array(F.concat(b, k), F.concat(k, b), F.concat_ws("-", b, k), F.concat_ws("-", k, b))
-    return brands.select("brand_id", "brand_label", F.explode("keywords").alias("k")).select("brand_id", F.explode(made).alias("seed_value"))
-
-
-@query("JON20_keyword_unnest", V.sql("SELECT brand_id, unnest(keywords) AS keyword FROM brand", "brand"))
+@query("JON20_keyword_unnest", V.sql("SELECT brand_id, unnest(keywords) AS keyword FROM company", "company"))
 def jon20(spark, d):
-    return V.brand(spark).select("brand_id", F.explode("keywords").alias("keyword"))
+    return V.company(spark, d).select("brand_id", F.explode("keywords").alias("keyword"))
 
 
-@query("GEN08_seed_families", _with_seeds("SELECT seed_type, count(*) AS n, string_agg(seed_value, ',' ORDER BY seed_value) AS seeds FROM seed GROUP BY seed_type"))
+@query("GEN08_seed_families", _of_companies(_with_seeds("SELECT brand_id, seed_type, count(*) AS n, string_agg(seed_value, ',' ORDER BY seed_value) AS seeds FROM seed GROUP BY brand_id, seed_type")))
 def gen08(spark, d):
-    return _seeds(spark, d).groupBy("seed_type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("seed_value")), ",").alias("seeds"))
+    return _seeds_of(V.company(spark, d)).groupBy("brand_id", "seed_type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("seed_value")), ",").alias("seeds"))
 
 
 @query("JON19_brand_tld_cross", V.sql("SELECT brand_id, tld FROM brand, (SELECT DISTINCT tld FROM zone_today)", "zone_today", "brand"))

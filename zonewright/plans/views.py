@@ -45,6 +45,23 @@ def brand(spark: SparkSession, d: str = "") -> DataFrame:
     return spark.createDataFrame(BRANDS, "brand_id int, brand_label string, noise_mode string, keywords array<string>")
 
 
+def company(spark: SparkSession, d: str) -> DataFrame:
+    """Brands by their owners' names: one for each supplier, with its nation as a keyword."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("nation"))
+    rows = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    mode = _pick(("conservative", "standard", "broad", "balanced"), F.col("s_suppkey") % 4)
+    words = F.array_compact(F.array(F.col("nation"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("pay"))))
+    return rows.select(F.col("s_suppkey").alias("brand_id"), L.brand_text(F.col("s_name")).alias("brand_label"), mode.alias("noise_mode"), words.alias("keywords"))
+
+
+def zone_xn(spark: SparkSession, d: str) -> DataFrame:
+    """zone_today with encoded names in the place of those that begin with th."""
+    z = zone_today(spark, d)
+    label = F.when(F.startswith("label", F.lit("th")), F.concat(F.lit("xn--"), F.col("label"), F.lit("-"), F.substring(F.md5("label"), 1, 3))).otherwise(F.col("label"))
+    z = z.withColumn("label", label)
+    return z.withColumn("name", F.concat_ws(".", "label", "tld"))
+
+
 def host(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract(F.lower("url"), "^https?://([^/:?#]+)", 1).alias("host"))
 
@@ -77,8 +94,11 @@ def run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def policy(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(s, t, t != "org" or s == "czds", p) for s in ("czds", "openintel") for t, p in (("com", 10), ("net", 20), ("org", None), ("com.br", 150), ("dev", 40))]
-    return spark.createDataFrame(rows, "source string, tld string, is_enabled boolean, priority int")
+    """One for each source and ending that was ever run, and one for an ending that never was."""
+    seen = run(spark, d).select("source", "tld").distinct()
+    rows = seen.unionByName(seen.select("source", F.lit("dev").alias("tld")).distinct())
+    priority = F.when(F.col("tld") == "com", 10).when(F.col("tld") == "net", 20).when(F.col("tld") == "com.br", 150).when(F.col("tld") == "dev", 40)
+    return rows.select("source", "tld", ((F.col("tld") != "org") | (F.col("source") == "czds")).alias("is_enabled"), priority.alias("priority"))
 
 
 def event(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +126,11 @@ _RUN_SQL = """(SELECT event_id AS id, CASE user_id % 2 WHEN 0 THEN 'czds' ELSE '
   CASE WHEN event_type = 'error' THEN (['timeout','no_snapshot','load_error','http_404'])[event_id % 4 + 1] END AS reason_code,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS domains_seen, CAST(floor(CAST(json_extract_string(props, '$.k') AS BIGINT) / 2.0) AS BIGINT) AS domains_inserted,
   CAST(floor(CAST(json_extract_string(props, '$.k') AS BIGINT) / 3.0) AS BIGINT) AS domains_deleted FROM events)"""
-_POLICY_SQL = "(SELECT s AS source, t AS tld, (t <> 'org' OR s = 'czds') AS is_enabled, p AS priority FROM (VALUES ('czds'), ('openintel')) a(s), (VALUES ('com', 10), ('net', 20), ('org', NULL), ('com.br', 150), ('dev', 40)) b(t, p))"
+_POLICY_SQL = """(SELECT source, tld, (tld <> 'org' OR source = 'czds') AS is_enabled, CASE tld WHEN 'com' THEN 10 WHEN 'net' THEN 20 WHEN 'com.br' THEN 150 WHEN 'dev' THEN 40 END AS priority
+  FROM (SELECT DISTINCT source, tld FROM run UNION SELECT DISTINCT source, 'dev' FROM run))"""
+_COMPANY_SQL = """(SELECT s_suppkey AS brand_id, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS brand_label, (['conservative','standard','broad','balanced'])[s_suppkey % 4 + 1] AS noise_mode,
+  list_filter([lower(n_name), CASE WHEN s_suppkey % 2 = 0 THEN 'pay' END], lambda x: x IS NOT NULL) AS keywords FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
+_XN_SQL = """(SELECT label || '.' || tld AS name, tld, label, added_day FROM (SELECT tld, added_day, CASE WHEN starts_with(label, 'th') THEN 'xn--' || label || '-' || substr(md5(label), 1, 3) ELSE label END AS label FROM zone_today))"""
 _TOKEN_SQL = "(SELECT doc_id, label FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS label FROM documents) WHERE length(label) BETWEEN 3 AND 63)"
 _SHARD = "(('0x' || substr(md5({0}), 1, 8))::BIGINT % {1})"
 
@@ -123,15 +147,19 @@ _EXECUTION_SQL = """(SELECT event_id AS id, user_id % 7 AS organization_id, user
 _BRAND_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}', '{m}', {k or '[]::VARCHAR[]'})" for i, b, m, k in BRANDS) + ") t(brand_id, brand_label, noise_mode, keywords))"
 SQL = {
     "run": _RUN_SQL, "policy": _POLICY_SQL, "token": _TOKEN_SQL, "zone_today": _zone_sql(1), "zone_yesterday": _zone_sql(0), "event": _EVENT_SQL, "execution": _EXECUTION_SQL,
-    "brand": _BRAND_SQL, "host": "(SELECT page_id, regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS host FROM pages)",
+    "brand": _BRAND_SQL, "company": _COMPANY_SQL, "zone_xn": _XN_SQL, "host": "(SELECT page_id, regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS host FROM pages)",
 }
 
 
 def sql(query: str, *views: str) -> str:
     """query, with the views that it names in front."""
     wanted = list(views)
+    if "zone_xn" in wanted:
+        wanted.insert(0, "zone_today")
     if {"zone_today", "zone_yesterday"} & set(wanted):
         wanted.insert(0, "token")
+    if "policy" in wanted:
+        wanted.insert(0, "run")
     return "WITH " + ", ".join(f"{v} AS {SQL[v]}" for v in dict.fromkeys(wanted)) + " " + query.strip()
 
 

@@ -49,11 +49,16 @@ class Signals:
     exact: Column
 
 
-def signals(label: Column, brand: Column, keywords: Column, trigram: Column) -> Signals:
-    plain, base = L.unmasked(label), L.unmasked(brand)
+def signals(label: Column, brand: Column, keywords: Column, trigram: Column, plain: Column | None = None) -> Signals:
+    """plain: the label with look-alikes replaced, where ASCII ones aren't all."""
+    base, edit = L.unmasked(brand), L.normalized_levenshtein(label, brand)
+    if plain is None:
+        plain = L.unmasked(label)
+    else:
+        edit = F.greatest(L.closeness(label, brand), L.closeness(plain, base))
     risky = L.keyword_hits(plain, base, F.array(*map(F.lit, RISK_WORDS)))
     own = L.keyword_hits(plain, base, keywords)
-    return Signals(trigram, L.normalized_levenshtein(label, brand), L.brand_boundary(plain, base).cast("double"), F.least(F.lit(1.0), risky * 0.3 + own * 0.2), L.closeness(plain, base), label == brand)
+    return Signals(trigram, edit, L.brand_boundary(plain, base).cast("double"), F.least(F.lit(1.0), risky * 0.3 + own * 0.2), L.closeness(plain, base), label == brand)
 
 
 def composite(s: Signals) -> Column:

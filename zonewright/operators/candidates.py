@@ -6,9 +6,12 @@ of their number. Labels with a dot are sub-domains and never scanned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import idna as I
 from ..functions import labels as L
 from ..functions import scores as S
 
@@ -112,6 +115,31 @@ def typo_variants(brands: DataFrame, label: str, adjacent: dict[str, str]) -> Da
     return at.select(label, F.inline(made)).filter((F.col("variant") != x) & (F.length("variant") > 0)).distinct()
 
 
+def typo_seeds(brands: DataFrame, adjacent: dict[str, str], most: int = 50) -> DataFrame:
+    """(brand_id, seed_value): the `most` shortest typo variants of each brand's label, of three letters or more."""
+    v = typo_variants(brands, "brand_label", adjacent).filter(F.length("variant") >= 3).select("brand_label", "variant").distinct()
+    place = F.row_number().over(Window.partitionBy("brand_label").orderBy(F.length("variant"), "variant"))
+    v = v.withColumn("r", place).filter(F.col("r") <= most).select(F.col("brand_label").alias("__b"), F.col("variant").alias("seed_value"))
+    return brands.select("brand_id", "brand_label").join(v, F.col("brand_label") == F.col("__b")).select("brand_id", "seed_value")
+
+
+def homograph_seeds(brands: DataFrame, lookalikes: dict[str, str], most: int = 30) -> DataFrame:
+    """(brand_id, seed_value): the label with one letter replaced by a look-alike beyond ASCII, encoded.
+
+    Letters are taken from the left until `most` seeds are made; those of the last letter all stay.
+    """
+    looks: dict[str, list[str]] = {}
+    for look, letter in lookalikes.items():
+        looks.setdefault(letter, []).append(look)
+    similar = F.create_map(*[x for letter, v in looks.items() for x in (F.lit(letter), F.array(*map(F.lit, v)))])
+    b = F.col("brand_label")
+    at = brands.filter(F.length(b) > 0).select("brand_id", "brand_label", F.explode(F.sequence(F.lit(1), F.length(b))).alias("i"))
+    at = at.withColumn("looks", F.try_element_at(similar, F.substr(b, F.col("i"), F.lit(1)))).filter(F.col("looks").isNotNull())
+    before = F.sum(F.size("looks")).over(Window.partitionBy("brand_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    made = at.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most).select("brand_id", F.transform("looks", lambda x: F.concat(F.substr(b, F.lit(1), F.col("i") - 1), x, F.substr(b, F.col("i") + 1))).alias("v"))
+    return made.select("brand_id", F.explode("v").alias("v")).select("brand_id", I.idna_encode(F.col("v")).alias("seed_value")).filter(F.startswith("seed_value", F.lit("xn--"))).distinct()
+
+
 def typo_candidates(names: DataFrame, variants: DataFrame) -> DataFrame:
     """Pairs (name, seed) where the label is a variant of the seed, with sim; variants: seed_value, variant."""
     v = variants.select("seed_value", "variant").distinct()
@@ -119,13 +147,20 @@ def typo_candidates(names: DataFrame, variants: DataFrame) -> DataFrame:
     return found.withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value"))).drop("variant")
 
 
-def scored(candidates: DataFrame, seeds: DataFrame, as_of: Column) -> DataFrame:
+def scored(candidates: DataFrame, seeds: DataFrame, as_of: Column, shown: Column | None = None, plain: Callable[[Column], Column] = L.unmasked) -> DataFrame:
     """Candidates (name, tld, label, added_day, seed_value, sim) with every score, rule and triage column.
 
+    shown: the label as it is read, where that differs; plain: how look-alikes are replaced.
+
     seeds: seed_value, seed_type, channel_scope, base_weight, brand_id, brand_label, keywords, noise_mode.
     """
     c = candidates.join(few(seeds), "seed_value")
-    s = S.signals(F.col("label"), F.col("seed_value"), F.col("keywords"), F.col("sim"))
+    if shown is not None:
+        # Computed before the scores use them, which is often.
+        c = c.withColumn("__shown", shown).withColumn("__plain", plain(F.col("__shown")))
+        s = S.signals(F.col("__shown"), F.col("seed_value"), F.col("keywords"), F.col("sim"), F.col("__plain"))
+    else:
+        s = S.signals(F.col("label"), F.col("seed_value"), F.col("keywords"), F.col("sim"))
     base = L.round4(S.composite(s))
     c = c.select("*", base.alias("base"), s.edit.alias("score_levenshtein"), s.brand.alias("score_brand_hit"), s.keyword.alias("score_keyword"), s.homograph.alias("score_homograph"), S.reasons(s).alias("reasons"))
     c = c.withColumn("score_final", L.round4(S.seeded_score(F.col("base"), F.col("base_weight"), F.col("channel_scope"))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lake, matches, monitoring, names, profiles, reports, triage  # noqa: F401
+from . import lake, matches, monitoring, names, profiles, reports, search, triage  # noqa: F401
 from .register import QUERIES, SQL
 
 

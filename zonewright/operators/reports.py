@@ -66,3 +66,23 @@ def trailing_count(rows: DataFrame, keys: list[str], at: str, seconds: int) -> D
     """For each row how many rows of its keys came within the seconds before it, itself included."""
     sec = F.unix_timestamp(F.col(at).cast("timestamp"))
     return rows.withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(sec).rangeBetween(-seconds, 0)))
+
+
+def newest_before(rows: DataFrame, keys: list[str], at: str, name: str, usable: Column, ttl: str) -> DataFrame:
+    """rows with cached: the name of the newest other usable row of the same key at or before each, not older than ttl.
+
+    One pass over each key in time order, whatever its rows: a request and its results are never paired. Of rows of the
+    same time the one of highest name counts, or the next to it for that row itself.
+    """
+    own = Window.partitionBy(*keys, at)
+    # Among rows of one time: the two highest usable names.
+    tied = F.sort_array(F.collect_set(F.when(usable, F.col(name))).over(own), asc=False)
+    best = F.when(F.get(tied, F.lit(0)) != F.col(name), F.get(tied, F.lit(0))).otherwise(F.get(tied, F.lit(1)))
+    marked = rows.withColumns({"__same": best, "__last": F.when(usable, F.struct(F.col(at).alias("at"), F.col(name).alias("name")))})
+    earlier = F.last("__last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, "__last").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The last usable row of an earlier time: this time's own rows are skipped by taking what stood before the first of them.
+    before = F.lag(earlier).over(Window.partitionBy(*keys).orderBy(at, "__last"))
+    first = marked.withColumn("__before", before)
+    first = first.withColumn("__before", F.first("__before").over(own.orderBy("__last").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fresh = F.when(F.col("__before.at") > F.col(at) - F.expr(f"INTERVAL {ttl}"), F.col("__before.name"))
+    return first.withColumn("cached", F.coalesce("__same", fresh)).drop("__same", "__last", "__before")

@@ -83,16 +83,17 @@ def src13(spark, d):
     return O.load_delta(t.select("name", "tld"), y, F.lit(20240131))
 
 
-@query("SRC15_shard_resume", V.sql("SELECT id, source, tld FROM run WHERE status = 'failed' AND (source, tld, CAST(started_at AS DATE)) NOT IN (SELECT (source, tld, CAST(started_at AS DATE)) FROM run WHERE status = 'success' AND phase = 'pg')", "run"))
+@query("SRC15_shard_resume", V.sql("SELECT id, source, tld FROM run WHERE status = 'failed' AND (source, tld, date_trunc('hour', started_at)) NOT IN (SELECT (source, tld, date_trunc('hour', started_at)) FROM run WHERE status = 'success' AND phase = 'pg')", "run"))
 def src15(spark, d):
-    r = V.run(spark, d).withColumn("day", F.to_date("started_at"))
-    return O.pending(r.filter("status = 'failed'"), r.filter("status = 'success' AND phase = 'pg'"), "source", "tld", "day").select("id", "source", "tld")
+    """A shard stands for an hour of a source and ending."""
+    r = V.run(spark, d).withColumn("shard", F.date_trunc("hour", "started_at"))
+    return O.pending(r.filter("status = 'failed'"), r.filter("status = 'success' AND phase = 'pg'"), "source", "tld", "shard").select("id", "source", "tld")
 
 
-@query("SRC16_contract_check", V.sql("SELECT DISTINCT source, tld, CAST(started_at AS DATE) AS day FROM run r WHERE status = 'success' AND NOT EXISTS (SELECT 1 FROM run p WHERE p.source = r.source AND p.tld = r.tld AND CAST(p.started_at AS DATE) = CAST(r.started_at AS DATE) AND p.phase = 'full' AND p.domains_inserted > 0)", "run"))
+@query("SRC16_contract_check", V.sql("SELECT DISTINCT source, tld, date_trunc('hour', started_at) AS hour FROM run r WHERE status = 'success' AND NOT EXISTS (SELECT 1 FROM run p WHERE p.source = r.source AND p.tld = r.tld AND date_trunc('hour', p.started_at) = date_trunc('hour', r.started_at) AND p.phase = 'full' AND p.domains_inserted > 0)", "run"))
 def src16(spark, d):
-    r = V.run(spark, d).withColumn("day", F.to_date("started_at"))
-    return O.pending(r.filter("status = 'success'").select("source", "tld", "day").distinct(), r.filter("phase = 'full' AND domains_inserted > 0"), "source", "tld", "day")
+    r = V.run(spark, d).withColumn("hour", F.date_trunc("hour", "started_at").cast("timestamp_ntz"))
+    return O.pending(r.filter("status = 'success'").select("source", "tld", "hour").distinct(), r.filter("phase = 'full' AND domains_inserted > 0"), "source", "tld", "hour")
 
 
 @query("SRC17_retention", V.sql(f"SELECT DISTINCT path, day AS snapshot_date FROM (SELECT 'delta/' || source || '/' || tld || '/snapshot_date=' || strftime(started_at, '%Y-%m-%d') || '/x' AS path, CAST(started_at AS DATE) AS day FROM run) WHERE day < DATE '{V.AS_OF}' - 14", "run"))

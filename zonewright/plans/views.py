@@ -34,11 +34,14 @@ def _zone(tokens: DataFrame) -> DataFrame:
 
 
 def zone_today(spark: SparkSession, d: str) -> DataFrame:
-    return _zone(token(spark, d).filter("doc_id % 10 <> 1"))
+    """All labels of the documents."""
+    return _zone(token(spark, d))
 
 
 def zone_yesterday(spark: SparkSession, d: str) -> DataFrame:
-    return _zone(token(spark, d).filter("doc_id % 10 <> 0"))
+    """A second snapshot, for differences: a tenth of the documents wasn't there yet, and names of another have gone since."""
+    label = F.when(F.col("doc_id") % 10 == 1, F.concat("label", F.lit("-old"))).otherwise(F.col("label"))
+    return _zone(token(spark, d).filter("doc_id % 10 <> 0").withColumn("label", label))
 
 
 def brand(spark: SparkSession, d: str = "") -> DataFrame:
@@ -135,8 +138,8 @@ _TOKEN_SQL = "(SELECT doc_id, label FROM (SELECT doc_id, unnest(regexp_split_to_
 _SHARD = "(('0x' || substr(md5({0}), 1, 8))::BIGINT % {1})"
 
 
-def _zone_sql(rest: int) -> str:
-    named = f"(SELECT label, (['com','net','org','com.br'])[{_SHARD.format('label', 4)} + 1] AS tld FROM (SELECT DISTINCT label FROM token WHERE doc_id % 10 <> {rest}))"
+def _zone_sql(labels: str) -> str:
+    named = f"(SELECT label, (['com','net','org','com.br'])[{_SHARD.format('label', 4)} + 1] AS tld FROM (SELECT DISTINCT {labels}))"
     return f"(SELECT label || '.' || tld AS name, tld, label, CAST({_SHARD.format("(label || '.' || tld)", 31)} + 20240101 AS INTEGER) AS added_day FROM {named})"
 
 
@@ -146,7 +149,7 @@ _EXECUTION_SQL = """(SELECT event_id AS id, user_id % 7 AS organization_id, user
   ts AS created_at, CAST(floor(value * 1000) AS BIGINT) AS duration_ms FROM events)"""
 _BRAND_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}', '{m}', {k or '[]::VARCHAR[]'})" for i, b, m, k in BRANDS) + ") t(brand_id, brand_label, noise_mode, keywords))"
 SQL = {
-    "run": _RUN_SQL, "policy": _POLICY_SQL, "token": _TOKEN_SQL, "zone_today": _zone_sql(1), "zone_yesterday": _zone_sql(0), "event": _EVENT_SQL, "execution": _EXECUTION_SQL,
+    "run": _RUN_SQL, "policy": _POLICY_SQL, "token": _TOKEN_SQL, "zone_today": _zone_sql("label FROM token"), "zone_yesterday": _zone_sql("CASE WHEN doc_id % 10 = 1 THEN label || '-old' ELSE label END AS label FROM token WHERE doc_id % 10 <> 0"), "event": _EVENT_SQL, "execution": _EXECUTION_SQL,
     "brand": _BRAND_SQL, "company": _COMPANY_SQL, "zone_xn": _XN_SQL, "host": "(SELECT page_id, regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS host FROM pages)",
 }
 

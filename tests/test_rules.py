@@ -99,3 +99,28 @@ def test_rescore_sums_all_rule_sets(spark, sf_dir):
     codes = {c for r in catalogue.queries()["JOB09_enrichment_all_rules"](spark, sf_dir).collect() for c in r.codes.split(",")}
     one_of_each = {"recent_registration", "no_active_dns", "https_live", "parked_page", "mail_spoofing_high", "risky_hosting_country", "certificate_revoked", "safe_browsing_listed", "urlhaus_listed", "website_clone"}
     assert one_of_each <= codes
+
+
+def test_many_seeds_are_looked_up(spark):
+    """More seeds than are tried on every name, some of one or two letters, against contains."""
+    from zonewright.operators import candidates as C
+
+    labels = ["alphabet", "betamax", "ab", "a", "gammaray", "zeta", "lphx"]
+    names = spark.createDataFrame([(f"{x}.com", "com", x, 1) for x in labels], "name string, tld string, label string, added_day int")
+    seeds = ["alp", "beta", "bet", "phab", "zeta", "ab", "a", "max", "gammarayx", ""] + [f"none{i}" for i in range(60)]
+    got = {(r.label, r.seed_value) for r in C.substring_candidates(names, spark.createDataFrame([(s,) for s in seeds], "seed_value string")).collect()}
+    assert got == {(x, s) for x in labels for s in seeds if s and s in x}
+
+
+def test_newest_before_against_pairs(spark):
+    import random
+
+    from zonewright.operators import reports as R
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 12), rng.choice(["ok", "bad"])) for i in range(150)]
+    d = spark.createDataFrame(rows, "id long, k string, m int, status string").selectExpr("id", "k", "m", "status", "timestamp_seconds(m * 60) AS at")
+    got = {r.id: r.cached for r in R.newest_before(d, ["k"], "at", "id", d.status == "ok", "4 MINUTES").collect()}
+    for i, k, m, _ in rows:
+        near = [(n, j) for j, x, n, s in rows if x == k and s == "ok" and j != i and m - 4 < n <= m]
+        assert got[i] == (max(near)[1] if near else None)

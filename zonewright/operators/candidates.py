@@ -17,6 +17,8 @@ from ..functions import scores as S
 
 #: Seeds are broadcast up to this many rows; beyond it the joins shuffle.
 FEW = 100_000
+#: Seeds that are tried on every name rather than looked up, and most seeds of one or two letters.
+TRIED, SHORT = 32, 2_000
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -47,11 +49,24 @@ def trigram_candidates(names: DataFrame, seeds: DataFrame, threshold: Column | N
 
 
 def substring_candidates(names: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Pairs (name, seed) where the label holds the seed; seeds are few, or it isn't run."""
-    if seeds.limit(FEW + 1).count() > FEW:
-        raise ValueError("a substring join needs few seeds")
-    s = seeds.select("seed_value")
-    return names.select("name", "tld", "label", "added_day").join(F.broadcast(s), F.contains(names["label"], s["seed_value"])).withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value")))
+    """Pairs (name, seed) where the label holds the seed, with sim.
+
+    A handful of seeds is tried on every name. More are found by their first three letters, an equi-join with the
+    three-letter windows of the labels; seeds of one or two letters, which are a few hundred at most, are tried.
+    """
+    n, s = names.select("name", "tld", "label", "added_day"), seeds.select("seed_value").distinct()
+    holds = F.contains("label", "seed_value")
+    if s.limit(TRIED + 1).count() <= TRIED:
+        found = n.join(F.broadcast(s), holds)
+    else:
+        size = F.length("seed_value")
+        windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - 2, F.lit(1))), lambda i: F.substr("label", i, F.lit(3))))
+        anchored = few(s.filter(size >= 3).withColumn("g", F.substring("seed_value", 1, 3)))
+        found = n.select("*", F.explode(windows).alias("g")).join(anchored, "g").filter(holds).drop("g")
+        found = found.unionByName(n.join(F.broadcast(s.filter(size.between(1, 2)).limit(SHORT + 1)), holds))
+        if s.filter(size.between(1, 2)).limit(SHORT + 1).count() > SHORT:
+            raise ValueError("too many seeds of one or two letters")
+    return found.withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value")))
 
 
 # Most encoded names of an ending that a brand is held against, and for any other ending.

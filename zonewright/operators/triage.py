@@ -205,3 +205,47 @@ def overall_status(f: dict[str, Column]) -> Column:
     warning = no("email_security_ok") | yes("takeover_risk") | F.coalesce(f["headers_score"] == "poor", F.lit(False)) | F.coalesce(f["ssl_days_remaining"] < 30, F.lit(False))
     unknown = reduce(lambda a, b: a & b, [c.isNull() for c in f.values()])
     return F.when(critical, "critical").when(warning, "warning").when(unknown, "unknown").otherwise("healthy")
+
+
+# Schemas of the tools' results, as far as their summaries need them.
+SUMMARIES = {
+    "dns_lookup": "records array<struct<type string>>, nameservers array<string>",
+    "ssl_check": "is_valid boolean, certificate struct<issuer string, days_remaining int, san array<string>, ocsp_status string>",
+    "http_headers": "status_code int, final_url string, server string",
+    "email_security": "spoofing_risk string, mta_sts struct<mode string>",
+    "suspicious_page": "risk_level string, page_disposition string, has_login_form boolean, has_credential_inputs boolean, has_phishing_kit_indicators boolean, data_quality string",
+    "whois": "registrar string, creation_date string, registrant_country string, lookup_status string, availability_reason string",
+    "screenshot": "screenshot_url string, page_title string, final_url string",
+    "ip_geolocation": "country_code string, org string, asn string",
+    "safe_browsing": "is_listed boolean, threat_types array<string>, skipped boolean",
+    "urlhaus": "is_listed boolean, urls_count int, query_status string, skipped boolean",
+    "phishtank": "in_database boolean, verified boolean, valid boolean",
+}
+
+
+def compact_summary(tool: Column, result: Column) -> Column:
+    """The few fields of a tool's JSON result that are shown, as JSON; other tools' results stay whole."""
+    said = {t: F.from_json(result, schema) for t, schema in SUMMARIES.items()}
+    types = F.array_sort(F.array_distinct(F.transform(F.coalesce(said["dns_lookup"]["records"], F.array().cast("array<struct<type string>>")), lambda x: x["type"])))
+    has = lambda t: F.array_contains(types, t)
+    dns = F.struct(types.alias("record_types"), has("MX").alias("has_mx"), (has("A") | has("AAAA")).alias("has_a"), has("CAA").alias("has_caa"), F.coalesce(said["dns_lookup"]["nameservers"], F.array().cast("array<string>")).alias("nameservers"))
+    cert = said["ssl_check"]["certificate"]
+    ssl = F.struct(said["ssl_check"]["is_valid"].alias("is_valid"), cert["issuer"].alias("issuer"), cert["days_remaining"].alias("days_remaining"), F.greatest(F.size(cert["san"]), F.lit(0)).alias("san_count"), cert["ocsp_status"].alias("ocsp_status"))
+    email = F.struct(said["email_security"]["spoofing_risk"].alias("spoofing_risk"), said["email_security"]["mta_sts"]["mode"].alias("mta_sts_mode"))
+    made = {**said, "dns_lookup": dns, "ssl_check": ssl, "email_security": email}
+    as_text = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    return reduce(lambda w, t: w.when(tool == t, as_text(made[t])), list(made)[1:], F.when(tool == "dns_lookup", as_text(dns))).otherwise(result)
+
+
+def match_summary(brand: Column, name: Column, score: Column, actionability: Column, risk: Column, bucket: Column, rule: Column, reasons: Column, age_days: Column, record_types: Column, status: Column, final_url: Column, page: Column, page_risk: Column, spoofing: Column, country: Column, signals: Column) -> Column:
+    """All evidence on one match as a JSON document; the field names are fixed values of its readers."""
+    s = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    web = F.arrays_overlap(record_types, F.array(F.lit("A"), F.lit("AAAA")))
+    return F.to_json(
+        s(
+            marca_monitorada=brand, dominio_suspeito=name, score_similaridade=L.round4(score), score_acionabilidade=L.round4(actionability), nivel_risco=risk, bucket_atencao=bucket, regra_deteccao=rule, motivos_deteccao=reasons,
+            whois=s(idade_dias=age_days), dns=s(tipos_registros=record_types, tem_mx=F.array_contains(record_types, "MX"), tem_web=web), http=s(status_code=status, url_final=final_url), pagina=s(disposicao=page, nivel_risco=page_risk),
+            email_seguranca=s(risco_spoofing=spoofing), geolocalizacao=s(pais=country), sinais_enriquecimento=signals,
+        ),
+        {"ignoreNullFields": "false"},
+    )

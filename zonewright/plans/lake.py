@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import lake as O
 from ..sources import zones as Z
+from ..streaming import jobs as J
 from . import views as V
 from .register import query
 
@@ -251,3 +252,53 @@ def set07(spark, d):
     t, y = _both(spark, d)
     rows = t.select("name", F.lit(0).alias("origin")).unionByName(y.select("name", F.lit(1).alias("origin")))
     return O.newest(rows, ["name"], F.asc("origin"))
+
+
+@query("SRC09_lake_write", V.sql("SELECT tld, count(*) AS n FROM zone_today WHERE tld <> 'com' OR added_day >= 20240115 GROUP BY tld", "zone_today"))
+def src09(spark, d):
+    """The zone by ending, of which one ending is then replaced; the others stay."""
+    path, z = Z.scratch(spark, "lake"), V.zone_today(spark, d)
+    Z.write_lake(z, path, "tld")
+    Z.write_lake(z.filter("tld = 'com' AND added_day >= 20240115"), path, "tld")
+    return spark.read.schema("name string, label string, added_day int, tld string").parquet(path).groupBy("tld").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SRC10_lenient_read", V.sql("SELECT name, CAST(NULL AS VARCHAR) AS registrar FROM zone_today", "zone_today"))
+def src10(spark, d):
+    path, schema = Z.scratch(spark, "lenient"), "name string, registrar string"
+    V.zone_today(spark, d).write.parquet(path)
+    return Z.lenient_read(spark, path, schema).unionByName(Z.lenient_read(spark, path + "-missing", schema))
+
+
+@query("SRC18_run_log_sink", V.sql("SELECT CAST(id AS VARCHAR) AS run_id, source, tld, strftime(started_at, '%Y-%m-%d') AS snapshot_date, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS started_at, strftime(finished_at, '%Y-%m-%dT%H:%M:%S') AS finished_at, status, domains_seen AS total_snapshot_count, domains_inserted AS added_count, domains_deleted AS removed_count, 'raw/' || source || '/' || tld || '/' || strftime(started_at, '%Y-%m-%d') AS raw_object_key, reason_code AS error_message FROM run", "run"))
+def src18(spark, d):
+    """Two appends, read back."""
+    path, log = Z.scratch(spark, "run-log"), Z.run_log(V.run(spark, d))
+    for part in (0, 1):
+        Z.append_log(log.filter(F.col("run_id").cast("long") % 2 == part), path)
+    return spark.read.schema(Z.RUN_LOG).parquet(path)
+
+
+@query("STR01_delta_stream", V.sql("SELECT name, tld FROM zone_today UNION SELECT name, tld FROM zone_yesterday", *_Z))
+def str01(spark, d):
+    """Two deltas arrive one after the other; each name is added once."""
+    source, target, checkpoint = (Z.scratch(spark, n) for n in ("deltas", "domains", "stream"))
+    for zone in reversed(_both(spark, d)):
+        zone.select("name", "tld", "label", "added_day").write.mode("append").parquet(source)
+        J.load_deltas(spark, source, target, checkpoint).awaitTermination()
+    return spark.read.schema(J.DELTA).option("recursiveFileLookup", "true").parquet(target).select("name", "tld")
+
+
+@query("STR02_event_state_stream", V.sql("SELECT match_id, count(*) AS n, max(created_at) AS latest, CAST(sum(k) AS BIGINT) AS k FROM event GROUP BY match_id", "event"))
+def str02(spark, d):
+    """Events arrive in two parts; the state of the matches that a part touches is folded again."""
+    source, state, checkpoint = (Z.scratch(spark, n) for n in ("events", "state", "stream"))
+    e = V.event(spark, d).select("id", "match_id", "created_at", "k")
+    fold = lambda df: df.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("latest"), F.sum("k").alias("k"))
+    for part in (0, 1):
+        e.filter(F.col("id") % 2 == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(e.schema).parquet(source)
+        J.fold_touched(stream, lambda: spark.read.schema(e.schema).parquet(source), fold, lambda df, epoch: df.write.mode("overwrite").parquet(f"{state}/epoch={epoch}"), checkpoint).awaitTermination()
+    # The state of a match is that of the last part that touched it.
+    rows = spark.read.parquet(state)
+    return rows.groupBy("match_id").agg(F.max_by(F.struct("n", "latest", "k"), "epoch").alias("x")).select("match_id", "x.n", "x.latest", "x.k")

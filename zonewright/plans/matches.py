@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import candidates as C
 from ..operators import enrichment as E
 from . import views as V
 from .names import _with_seeds, scan, with_scan
@@ -98,7 +99,7 @@ def win07(spark, d):
     from .names import _seeds
 
     s = _seeds(spark, d).select("seed_value", "base_weight")
-    j = V.zone_today(spark, d).filter(~F.col("label").contains(".")).join(F.broadcast(s), F.contains("label", "seed_value"))
+    j = C.substring_candidates(C.without_subdomains(V.zone_today(spark, d)), s).join(C.few(s), "seed_value")
     w = Window.partitionBy("name").orderBy(F.desc(F.col("label") == F.col("seed_value")), F.desc("base_weight"), "seed_value")
     return j.withColumn("r", F.row_number().over(w)).filter("r = 1").select("name", "seed_value")
 

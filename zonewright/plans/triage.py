@@ -306,3 +306,30 @@ p3 AS (SELECT *, least(100, list_sum(list_transform(list_concat(['x:none'], foun
 def job12_whole(spark, d):
     p = G.page_signals(served(spark, d))
     return p.withColumn("signals", F.array_join(F.transform("signals", lambda s: F.concat_ws(":", s["category"], s["severity"])), ","))
+
+
+_SUMMARY_SQL = """CASE tool_name WHEN 'dns_lookup' THEN to_json({'record_types': CASE WHEN coalesce(json_array_length(result, '$.records'), 0) > 0 THEN ['A'] ELSE []::VARCHAR[] END, 'has_mx': false, 'has_a': coalesce(json_array_length(result, '$.records'), 0) > 0, 'has_caa': false, 'nameservers': []::VARCHAR[]})
+  WHEN 'ssl_check' THEN to_json({'is_valid': CAST(json_extract_string(result, '$.is_valid') AS BOOLEAN), 'issuer': NULL::VARCHAR, 'days_remaining': CAST(json_extract_string(result, '$.certificate.days_remaining') AS INTEGER), 'san_count': 0, 'ocsp_status': json_extract_string(result, '$.certificate.ocsp_status')})
+  WHEN 'http_headers' THEN to_json({'status_code': NULL::INTEGER, 'final_url': NULL::VARCHAR, 'server': NULL::VARCHAR})
+  WHEN 'email_security' THEN to_json({'spoofing_risk': CASE WHEN result <> '{}' THEN '{"level": "' || json_extract_string(result, '$.spoofing_risk.level') || '"}' END, 'mta_sts_mode': NULL::VARCHAR})
+  WHEN 'suspicious_page' THEN to_json({'risk_level': json_extract_string(result, '$.risk_level'), 'page_disposition': NULL::VARCHAR, 'has_login_form': NULL::BOOLEAN, 'has_credential_inputs': NULL::BOOLEAN, 'has_phishing_kit_indicators': NULL::BOOLEAN, 'data_quality': NULL::VARCHAR})
+  WHEN 'safe_browsing' THEN to_json({'is_listed': NULL::BOOLEAN, 'threat_types': NULL::VARCHAR[], 'skipped': NULL::BOOLEAN}) WHEN 'urlhaus' THEN to_json({'is_listed': NULL::BOOLEAN, 'urls_count': NULL::INTEGER, 'query_status': NULL::VARCHAR, 'skipped': NULL::BOOLEAN})
+  WHEN 'phishtank' THEN to_json({'in_database': CAST(json_extract_string(result, '$.in_database') AS BOOLEAN), 'verified': NULL::BOOLEAN, 'valid': NULL::BOOLEAN}) ELSE result END"""
+
+
+@query("FN34_compact_summary", f"WITH {_TOOL_SQL} SELECT id, tool_name, replace(CAST({_SUMMARY_SQL} AS VARCHAR), ' ', '') AS summary FROM tr")
+def fn34(spark, d):
+    r = tool_result(spark, d)
+    return r.select("id", "tool_name", F.replace(T.compact_summary(F.col("tool_name"), F.col("result")), F.lit(" "), F.lit("")).alias("summary"))
+
+
+@query("FN35_llm_summary", f"""WITH {_EVIDENCE} SELECT id, CAST(to_json({{'marca_monitorada': brand_name, 'dominio_suspeito': name, 'score_similaridade': floor(score * 10000.0 + 0.5) / 10000.0, 'score_acionabilidade': floor(score * 10000.0 + 0.5) / 10000.0, 'nivel_risco': 'high', 'bucket_atencao': {_BUCKET_AFTER}, 'regra_deteccao': rule, 'motivos_deteccao': codes,
+  'whois': {{'idade_dias': k * 10}}, 'dns': {{'tipos_registros': CASE WHEN a = 0 THEN ['MX'] WHEN b = 0 THEN ['A', 'MX'] ELSE []::VARCHAR[] END, 'tem_mx': a = 0 OR b = 0, 'tem_web': a <> 0 AND b = 0}}, 'http': {{'status_code': 200, 'url_final': NULL::VARCHAR}}, 'pagina': {{'disposicao': page, 'nivel_risco': 'low'}},
+  'email_seguranca': {{'risco_spoofing': NULL::VARCHAR}}, 'geolocalizacao': {{'pais': 'BR'}}, 'sinais_enriquecimento': list_transform(codes, lambda z: {{'codigo': z, 'severidade': 'low'}})}}) AS VARCHAR) AS summary FROM ev""")
+def fn35(spark, d):
+    e = _owned(spark, d)
+    a, b, none = F.col("a"), F.col("b"), F.array().cast("array<string>")
+    types = F.when(a == 0, F.array(F.lit("MX"))).when(b == 0, F.array(F.lit("A"), F.lit("MX"))).otherwise(none)
+    signals = F.transform("codes", lambda c: F.struct(c.alias("codigo"), F.lit("low").alias("severidade")))
+    null = F.lit(None).cast("string")
+    return e.select("id", T.match_summary(F.col("brand_name"), F.col("name"), F.col("score"), F.col("score"), F.lit("high"), _bucket(e)[0], F.col("rule"), F.col("codes"), F.col("k") * 10, types, F.lit(200), null, F.col("page"), F.lit("low"), null, F.lit("BR"), signals).alias("summary"))

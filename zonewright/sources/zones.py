@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,3 +65,31 @@ def expired_partitions(paths: DataFrame, today: Column, keep_days: int) -> DataF
     """Lake paths older than keep_days; current state has no date and always stays."""
     day = F.to_date(F.nullif(F.regexp_extract("path", r"snapshot_date=(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
     return paths.withColumn("snapshot_date", day).filter(F.col("snapshot_date") < F.date_sub(today, keep_days))
+
+
+RUN_LOG = "run_id string, source string, tld string, snapshot_date string, started_at string, finished_at string, status string, total_snapshot_count long, added_count long, removed_count long, raw_object_key string, error_message string"
+
+
+def run_log(runs: DataFrame) -> DataFrame:
+    """One typed log row for each run; times as ISO text."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    day = F.date_format("started_at", "yyyy-MM-dd")
+    return runs.select(
+        F.col("id").cast("string").alias("run_id"), "source", "tld", day.alias("snapshot_date"), iso("started_at").alias("started_at"), iso("finished_at").alias("finished_at"), "status",
+        F.col("domains_seen").alias("total_snapshot_count"), F.col("domains_inserted").alias("added_count"), F.col("domains_deleted").alias("removed_count"),
+        F.concat_ws("/", F.lit("raw"), "source", "tld", day).alias("raw_object_key"), F.col("reason_code").alias("error_message"),
+    )
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    log.write.mode("append").parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or on one machine a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

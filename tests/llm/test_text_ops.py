@@ -233,6 +233,41 @@ def test_masked_model_learns_order(spark):
     assert score(none, fit(none, zero)).count() == 0
 
 
+def test_network_against_brute_force():
+    from zonewright.llm.lm_score import _windows, gradients, log_probabilities
+
+    rng = np.random.default_rng(17)
+    v, ids, ends = 9, rng.integers(0, 9, 40), np.array([7, 7, 8, 30, 40])
+    for scale in (1.0, 400.0):
+        p = {k: (x * (scale if k == "u" else 1)).astype(np.float32) for k, x in start_params(rng.integers(1, 50, v).astype(float), dim=4).items()}
+
+        def around(i):
+            text = int(np.searchsorted(ends, i, side="right"))
+            low, high = (ends[text - 1] if text else 0), ends[text]
+            return [ids[j] if low <= j < high else v for j in (i - 2, i - 1, i + 1, i + 2)]
+
+        def log_p(q, i):
+            hidden = np.tanh(q["b"].astype(float) + sum(q["e"][k][w] for k, w in enumerate(around(i))))
+            logits = hidden @ q["u"] + q["c"]
+            top = logits.max()
+            return logits[ids[i]] - top - np.log(np.exp(logits - top).sum())
+
+        want = [log_p(p, i) for i in range(40)]
+        near = log_probabilities(p, ids, ends)
+        assert np.allclose(near, np.maximum(want, near.min()), atol=2e-3 * scale**0.5)
+    p = {k: x.astype(float) for k, x in start_params(rng.integers(1, 50, v).astype(float), dim=4).items()}
+    windows = _windows(ids, ends, 2, v)
+    assert (windows == [around(i) for i in range(40)]).all() and (_windows(ids, ends, 2, v, np.arange(3, 40, 4)) == windows[3::4]).all()
+    got, h = gradients({k: x.astype(np.float32) for k, x in p.items()}, ids, windows), 1e-5
+    for name, x in p.items():
+        for at in list(np.ndindex(x.shape))[:: 1 + x.size // 25]:
+            up, down = ({**p, name: x.copy()} for _ in range(2))
+            up[name][at] += h
+            down[name][at] -= h
+            slope = -np.mean([log_p(up, i) - log_p(down, i) for i in range(40)]) / (2 * h)
+            assert abs(got[name][at] - slope) < 1e-4
+
+
 def test_bucketed_words_share_their_bucket(spark):
     rows = [(i, "a " * 9 + "rare", "a") for i in range(3)] + [(7, "a common common common", "a"), (7, "once " + "a " * 3, "a"), (None, "common", "a"), (8, None, "a")]
     enc, counts = encode(docs_of(spark, rows), frequent=1, buckets=1)

@@ -52,27 +52,36 @@ def start_params(counts: np.ndarray, dim: int = DIM, side: int = SIDE, seed: int
     return {"e": draw(2 * side, v + 1, dim), "b": np.zeros(dim, np.float32), "u": draw(dim, v), "c": np.log(share).astype(np.float32)}
 
 
-def _windows(ids: np.ndarray, ends: np.ndarray, side: int, outside: int) -> np.ndarray:
-    """(tokens, 2 * side) ids around each token of texts that end at `ends`."""
+def _windows(ids: np.ndarray, ends: np.ndarray, side: int, outside: int, at: np.ndarray | None = None) -> np.ndarray:
+    """(places, 2 * side) ids around each token of texts that end at `ends`, or around those at `at` alone."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    size = ends - starts
-    low, high, at = np.repeat(starts, size), np.repeat(ends, size), np.arange(len(ids))
-    out = np.empty((len(ids), 2 * side), np.int64)
+    at = np.arange(len(ids)) if at is None else at
+    text = np.searchsorted(ends, at, side="right")
+    low, high = starts[text], ends[text]
+    padded = np.concatenate([ids, [outside]])
+    out = np.empty((len(at), 2 * side), np.int64)
     for k, step in enumerate([*range(-side, 0), *range(1, side + 1)]):
         there = at + step
-        out[:, k] = np.where((there >= low) & (there < high), ids[np.clip(there, 0, max(0, len(ids) - 1))], outside)
+        out[:, k] = padded[np.where((there >= low) & (there < high), there, len(ids))]
     return out
 
 
-def _forward(p: Params, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hidden = p["b"] + p["e"][0][around[:, 0]]
+def _forward(p: Params, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hidden layer with a constant 1 behind it, the exponentials of the logits, and their sums."""
+    hidden = np.empty((len(around), len(p["b"]) + 1), np.float32)
+    hidden[:, -1] = 1
+    inner = hidden[:, :-1]
+    np.add(np.take(p["e"][0], around[:, 0], axis=0), p["b"], out=inner)
     for k in range(1, around.shape[1]):
-        hidden += p["e"][k][around[:, k]]
-    np.tanh(hidden, out=hidden)
-    logits = hidden @ p["u"]
-    logits += p["c"]
-    logits -= logits.max(1, keepdims=True)
-    return hidden, logits
+        inner += np.take(p["e"][k], around[:, k], axis=0)
+    np.tanh(inner, out=inner)
+    logits = hidden @ np.concatenate([p["u"], p["c"][None, :]])
+    # As no hidden value is above 1, this bounds all logits; exponentials of float32 hold up to 88.
+    if float(np.abs(p["u"]).sum(0).max(initial=0)) + float(np.abs(p["c"]).max(initial=0)) > 80:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    # A product with ones sums rows faster than sum() does.
+    return hidden, logits, logits @ np.ones(logits.shape[1], np.float32)
 
 
 def log_probabilities(p: Params, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -80,28 +89,37 @@ def log_probabilities(p: Params, ids: np.ndarray, ends: np.ndarray) -> np.ndarra
     around, out = _windows(ids, ends, len(p["e"]) // 2, p["u"].shape[1]), np.empty(len(ids))
     for at in range(0, len(ids), _BLOCK):
         part = slice(at, at + _BLOCK)
-        _, logits = _forward(p, around[part])
-        picked = logits[np.arange(len(logits)), ids[part]]
-        out[part] = picked - np.log(np.exp(logits, out=logits).sum(1))
+        _, grown, total = _forward(p, around[part])
+        # The least float32 above 0 stands for probabilities that are too small for it.
+        picked = np.maximum(grown[np.arange(len(grown)), ids[part]], np.finfo(np.float32).tiny)
+        out[part] = np.log(picked) - np.log(total)
     return out
 
 
+def gradients(p: Params, target: np.ndarray, near: np.ndarray) -> Params:
+    """Of the mean negative log-probability of the targets."""
+    places, rows, dim = p["e"].shape
+    hidden, prob, total = _forward(p, near)
+    prob *= (1 / (total * len(target)))[:, None]
+    prob[np.arange(len(target)), target] -= np.float32(1 / len(target))
+    both = hidden.T @ prob
+    inner = hidden[:, :-1]
+    back = (prob @ p["u"].T) * (1 - inner * inner)
+    e = np.zeros((places, rows, dim), np.float32)
+    for k in range(places):
+        # Rows of one neighbour stand together and are summed at once.
+        order = np.argsort(near[:, k].astype(np.uint16), kind="stable")
+        which = near[order, k]
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        e[k, which[first]] = np.add.reduceat(back[order], first, axis=0)
+    return {"u": both[:-1], "c": both[-1], "b": back.sum(0), "e": e}
+
+
 def train(p: Params, ids: np.ndarray, around: np.ndarray, sums: Params) -> None:
     """Adagrad steps over the windows, in place; sums holds the squared gradients."""
-    dim, (places, rows, _) = p["u"].shape[0], p["e"].shape
     step = min(BATCH, max(16, -(-len(ids) // 8)))  # few windows make smaller steps, not fewer than eight
     for at in range(0, len(ids), step):
-        target, near = ids[at : at + step], around[at : at + step]
-        hidden, logits = _forward(p, near)
-        prob = np.exp(logits, out=logits)
-        prob /= prob.sum(1, keepdims=True)
-        prob[np.arange(len(target)), target] -= 1
-        prob /= len(target)
-        back = (prob @ p["u"].T) * (1 - hidden * hidden)
-        grad = {"u": hidden.T @ prob, "c": prob.sum(0), "b": back.sum(0)}
-        columns = np.arange(dim)
-        grad["e"] = np.stack([np.bincount((near[:, k, None] * dim + columns).ravel(), back.ravel(), rows * dim).reshape(rows, dim) for k in range(places)]).astype(np.float32)
-        for name, g in grad.items():
+        for name, g in gradients(p, ids[at : at + step], around[at : at + step]).items():
             sums[name] += g * g
             p[name] -= RATE * g / np.sqrt(sums[name] + 1e-8)
 
@@ -263,7 +281,7 @@ def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Params:
                 ids, ends = _ids(batch)
                 if len(ids):
                     mine = np.arange(r, len(ids), rounds)
-                    train(p, ids[mine], _windows(ids, ends, SIDE, len(counts))[mine], sums)
+                    train(p, ids[mine], _windows(ids, ends, SIDE, len(counts), mine), sums)
                     seen += len(mine)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([seen], pa.int64()), pa.array([_packed(p)], pa.binary())], names=["grp", "n", "params"])
 

@@ -41,8 +41,11 @@ def trigram_candidates(names: DataFrame, seeds: DataFrame, threshold: Column | N
     The seeds' trigrams form an inverted index. Only names that share one are counted, partly before the
     shuffle, and a pair whose sizes already rule it out is dropped before.
     """
-    s = seeds.select("seed_value", F.size(L.trigrams(F.col("seed_value"))).alias("n2"), F.explode(L.trigrams(F.col("seed_value"))).alias("g"), (threshold if threshold is not None else L.trigram_threshold(F.col("seed_value"))).alias("t"))
-    n = names.select("name", "tld", "label", "added_day", L.trigrams(F.col("label")).alias("gs")).select("*", F.size("gs").alias("n1"), F.explode("gs").alias("g")).drop("gs")
+    # The size goes with each trigram, so that the set is made once for a name and not for each of its rows.
+    sized = lambda x, n: F.inline(L.once(L.trigrams(F.col(x)), lambda gs: F.transform(gs, lambda g: F.struct(g.alias("g"), F.size(gs).alias(n)))))
+    least = threshold if threshold is not None else L.trigram_threshold(F.col("seed_value"))
+    s = seeds.select("seed_value", least.alias("t"), sized("seed_value", "n2"))
+    n = names.select("name", "tld", "label", "added_day", sized("label", "n1"))
     pairs = n.join(few(s), "g").filter(F.least("n1", "n2") >= F.col("t") * F.greatest("n1", "n2"))
     c = pairs.groupBy("name", "tld", "label", "added_day", "seed_value", "n1", "n2", "t").agg(F.count(F.lit(1)).alias("c"))
     return c.withColumn("sim", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).filter("sim >= t").select("name", "tld", "label", "added_day", "seed_value", "sim")

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,13 +217,20 @@ def _walk(sig: np.ndarray, branch: np.ndarray, subtree: np.ndarray, own: np.ndar
 def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 4096) -> Iterator[dict]:
     """Rows sorted by keys, cut only between groups: tables of `most` rows or one larger group.
 
-    Yields the columns as lists, with __group numbering the groups.
+    Yields the columns as lists, lists of numbers as (all numbers, how many each has), with __group numbering the groups.
     """
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def table(t: pa.Table, new: np.ndarray) -> dict:
-        return {c: t.column(c).to_pylist() for c in t.column_names} | {"__group": np.cumsum(new)}
+        def plain(c: str) -> list | tuple[np.ndarray, np.ndarray]:
+            column = t.column(c)
+            if not pa.types.is_list(column.type):
+                return column.to_pylist()
+            # Never as Python numbers, which take five times the memory.
+            return np.asarray(pc.list_flatten(column).combine_chunks(), np.int64), np.asarray(pc.list_value_length(column), np.int64)
+
+        return {c: plain(c) for c in t.column_names} | {"__group": np.cumsum(new)}
 
     def starts(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -305,9 +313,8 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) ->
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_group(batches, ["group", "i", "j"], 256):
-            lists = table["h"]
-            ends = np.cumsum([len(x) for x in lists])
-            value, ends = _gram_sets(np.array([v for x in lists for v in x], np.int64).view(np.uint64), ends, n)
+            words, size = table["h"]
+            value, ends = _gram_sets(np.ascontiguousarray(words).view(np.uint64), np.cumsum(size), n)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             bounds = np.flatnonzero(np.diff(table["__group"], prepend=0, append=-1))
             sid, links, roots, whole = [], [], [], []

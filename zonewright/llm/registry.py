@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP6_SQL, op6_chat_format
 from .clustering import OP11_SQL, op11_centroid_clustering
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .html_extract import op12_html_extraction
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .lm_score import op7_lm_score
 from .mixing import op10_mixing
@@ -21,7 +22,7 @@ from .whitening import op13_whitening
 
 _QUERIES = (
     op1_decontaminate, op2_line_dedup, op3_token_output, op4_url_filter, op5_toxicity, op6_chat_format, op7_lm_score, op8_topk, op9_ngram_join,
-    op10_mixing, op11_centroid_clustering, op13_whitening,
+    op10_mixing, op11_centroid_clustering, op12_html_extraction, op13_whitening,
 )
 
 

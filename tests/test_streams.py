@@ -4,27 +4,62 @@ from zonewright.operators import enrichment as E
 from zonewright.streaming import jobs as J
 
 
+def _delta(spark, *names):
+    return spark.createDataFrame([(n, "com", n[0], 1) for n in names], J.DELTA).coalesce(1)
+
+
+def _names(spark, target):
+    return sorted(r.name for r in J.read_names(spark, target).collect())
+
+
 def test_delta_stream_adds_each_name_once(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    put = lambda *names: spark.createDataFrame([(n, "com", n[0], 1) for n in names], J.DELTA).write.mode("append").parquet(source)
+    put = lambda *names: _delta(spark, *names).write.mode("append").parquet(source)
     put("a.com", "b.com", "a.com")
     J.load_deltas(spark, source, target, checkpoint).awaitTermination()
     put("b.com", "c.com")
     J.load_deltas(spark, source, target, checkpoint).awaitTermination()
-    got = spark.read.schema(J.DELTA).option("recursiveFileLookup", "true").parquet(target).collect()
-    assert sorted(r.name for r in got) == ["a.com", "b.com", "c.com"]
+    J.load_deltas(spark, source, target, checkpoint).awaitTermination()
+    assert _names(spark, target) == ["a.com", "b.com", "c.com"]
+
+
+def test_two_checkpoints_on_one_target_lose_nothing(spark, tmp_path):
+    first, second, target = (str(tmp_path / x) for x in ("in1", "in2", "out"))
+    _delta(spark, "a.com", "b.com").write.parquet(first)
+    J.load_deltas(spark, first, target, str(tmp_path / "cp1")).awaitTermination()
+    # A second source, and the first one again without its checkpoint: names that are there are known.
+    _delta(spark, "b.com", "c.com").write.parquet(second)
+    J.load_deltas(spark, second, target, str(tmp_path / "cp2")).awaitTermination()
+    J.load_deltas(spark, first, target, str(tmp_path / "cp3")).awaitTermination()
+    assert _names(spark, target) == ["a.com", "b.com", "c.com"]
+    _delta(spark, "c.com", "d.com").write.mode("append").parquet(first)
+    J.load_deltas(spark, first, target, str(tmp_path / "cp3")).awaitTermination()
+    assert _names(spark, target) == ["a.com", "b.com", "c.com", "d.com"]
 
 
 def test_a_repeated_batch_keeps_its_rows(spark, tmp_path):
-    target = str(tmp_path / "out")
-    rows = lambda *names: spark.createDataFrame([(n, "com", n[0], 1) for n in names], J.DELTA)
-    for _ in range(2):
-        J.add_batch(spark, rows("a.com", "b.com"), target, 0)
-    for _ in range(3):
-        J.add_batch(spark, rows("b.com", "c.com", "c.com"), target, 1)
-    J.add_batch(spark, rows("a.com", "b.com"), target, 0)
-    got = spark.read.parquet(target).collect()
-    assert sorted((r.name, r.batch) for r in got) == [("a.com", 0), ("b.com", 0), ("c.com", 1)]
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for names in (("a.com", "b.com"), ("b.com", "c.com", "c.com")):
+        _delta(spark, *names).write.mode("append").parquet(source)
+        J.load_deltas(spark, source, target, checkpoint).awaitTermination()
+    # The last batch was written but not committed: it runs again.
+    last = max(int(p.name) for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "cp" / "commits").iterdir():
+        if p.name.lstrip(".").split(".")[0] == str(last):
+            p.unlink()
+    J.load_deltas(spark, source, target, checkpoint).awaitTermination()
+    assert _names(spark, target) == ["a.com", "b.com", "c.com"]
+
+
+def test_a_batch_does_not_read_the_target(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for i in range(3):
+        _delta(spark, *[f"{i}-{k}.com" for k in range(50)]).write.mode("append").parquet(source)
+        q = J.load_deltas(spark, source, target, checkpoint)
+        q.awaitTermination()
+        read = [s.numInputRows for p in q.recentProgress for s in p.sources if "/out" in s.description]
+        assert sum(read) == 0
+    assert len(_names(spark, target)) == 150
 
 
 def test_windowed_counts_match_the_batch(spark, tmp_path):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,29 +13,80 @@ from pyspark.sql.streaming import StreamingQuery
 DELTA = "name string, tld string, label string, added_day int"
 
 
+#: Keys live on local disk with a change log; the state that a batch reads and writes is that of its own names.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: No file has this name.
+NOTHING = "no-file-is-called-this"
+
+
 def load_deltas(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Delta files, as they arrive, are added to the target unless the name is there already."""
+    """Delta files, as they arrive, are added to the target unless the name is there already.
+
+    The names seen are the keys of a state store, so a batch costs what it holds, however large the target has grown. A new
+    checkpoint first learns the names that the target already has, from whichever stream, in one pass of its own.
+    Every stream writes to folders named by its id and the batch: one that is repeated after a failure replaces its own rows by the same
+    rows, and no stream touches another's. Two that run at the same time can both add a name; none is ever lost. Rows of
+    one name in one batch are the same name: any of them stays. The number of state partitions is that of the session when the checkpoint is new.
+    """
+    _make_folder(spark, target)
+    if not _exists(spark, f"{checkpoint}/offsets/0"):
+        _delta_stream(spark, source, target, checkpoint, known="*.parquet", fresh=NOTHING).awaitTermination()
+    return _delta_stream(spark, source, target, checkpoint, known=NOTHING, fresh="*.parquet")
+
+
+def _delta_stream(spark: SparkSession, source: str, target: str, checkpoint: str, known: str, fresh: str) -> StreamingQuery:
+    """One run over the files of the target and of the source whose names fit the patterns; the query is the same for all."""
+    read = lambda path, fits: spark.readStream.schema(DELTA).option("pathGlobFilter", fits).option("recursiveFileLookup", "true").parquet(path)
+    had = read(target, known).withColumn("is_new", F.lit(False))
+    came = read(source, fresh).withColumn("is_new", F.lit(True))
+    names = had.unionByName(came).dropDuplicates(["name", "tld"])
 
     def add(batch: DataFrame, epoch: int) -> None:
-        add_batch(spark, batch, target, epoch)
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        write_batch(batch.filter("is_new").drop("is_new"), target, stream, epoch)
 
-    return spark.readStream.schema(DELTA).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _settings(spark, STATE_STORE):
+        return names.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def add_batch(spark: SparkSession, batch: DataFrame, target: str, epoch: int) -> None:
-    """Adds the names that no other batch has added. A batch has a folder of its own: one that is repeated after a
-    failure doesn't look at what it wrote before, and replaces it by the same rows."""
-    fresh = batch.dropDuplicates(["name", "tld"])
-    if _exists(spark, target):
-        have = spark.read.schema(f"{DELTA}, batch long").option("basePath", target).parquet(target)
-        # The folder's number prunes the batch's own folder from the reading.
-        fresh = fresh.join(have.filter(F.col("batch") != epoch).select("name", "tld"), ["name", "tld"], "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+def write_batch(rows: DataFrame, target: str, stream: str, epoch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{target}/stream={stream}/batch={epoch}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def read_names(spark: SparkSession, target: str) -> DataFrame:
+    """All names that streams have added to the target."""
+    return spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(target)
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time in which a stream starts: it keeps a copy of them."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def _make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
 
 
 def fold_touched(events: DataFrame, all_events: Callable[[], DataFrame], fold: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

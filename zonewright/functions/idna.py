@@ -32,7 +32,8 @@ def _decode(label: str) -> str:
         return label
 
 
-def _plain(label: str) -> str:
+def plain_letters(label: str) -> str:
+    """Without accents, look-alikes replaced: what homograph_normalize does, for one label at hand."""
     bare = "".join(c for c in unicodedata.normalize("NFKD", label) if not unicodedata.combining(c))
     return bare.lower().translate(_TABLE)
 
@@ -64,4 +65,4 @@ def idna_decode(label: Column) -> Column:
 
 def homograph_normalize(label: Column) -> Column:
     """Without accents, in lower case, look-alikes replaced by the letters they stand for."""
-    return F.when(_is_ascii(label), L.unmasked(label)).otherwise(_column(_plain)(F.when(~_is_ascii(label), label)))
+    return F.when(_is_ascii(label), L.unmasked(label)).otherwise(_column(plain_letters)(F.when(~_is_ascii(label), label)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,20 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return once(sizes, lambda n: F.when(n["all"] == 0, F.lit(0.0)).otherwise(n["both"] / (n["all"] - n["both"])))
 
 
+def trigrams_of(text: str) -> list[str]:
+    """The same set for one text at hand."""
+    words = (f"  {w} " for w in re.findall("[a-z0-9]+", text.lower()))
+    return list(dict.fromkeys(w[i : i + 3] for w in words for i in range(len(w) - 2)))
+
+
+def trigram_similarity_to(x: Column, text: str) -> Column:
+    """trigram_similarity with one text, whose set is a constant."""
+    grams = trigrams_of(text)
+    held = F.array(*map(F.lit, grams)).cast("array<string>")
+    sizes = once(trigrams(x), lambda g: F.struct(F.size(F.array_intersect(g, held)).alias("both"), F.size(g).alias("n")))
+    return once(sizes, lambda s: F.when(s["n"] + len(grams) == 0, F.lit(0.0)).otherwise(s["both"] / (s["n"] + len(grams) - s["both"])))
+
+
 def trigram_threshold(label: Column) -> Column:
     n = F.length(label)
     return F.when(n <= 5, 0.55).when(n <= 8, 0.45).otherwise(0.35)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import idna as I
@@ -10,7 +10,7 @@ from ..functions import labels as L
 from ..functions import scores as S
 from ..operators import candidates as C
 from ..operators import profiles as P
-from ..operators import triage as T
+from ..operators.search import Search, search_page, search_results
 from . import views as V
 from .names import _BOUND, _CLOSE, _LIMIT, _NEAR, _PLAIN, _Q4, _TYPO, KEYS, _seeds, _sim, _with_seeds, as_of
 from .register import query
@@ -105,61 +105,101 @@ def job04(spark, d):
     return found.groupBy("name", "brand_id", "seed_value").agg(F.max("base_weight").alias("weight"))
 
 
-def domain_search(names: DataFrame, label: str, official: str, algorithms: tuple[str, ...], min_score: float) -> DataFrame:
-    """Names like one label: name, score, fuzzy, typo, reasons, is_official, disposition, added_day.
-
-    Candidates share trigrams with the label (0.5 for labels of up to five letters, else 0.3), are typos of it, or are
-    encoded. Each is scored once, with the similarity that it was found by.
-    """
-    plain = C.without_subdomains(names)
-    seed = names.sparkSession.createDataFrame([(label,)], "seed_value string")
-    variants = C.typo_variants(seed, "seed_value", KEYS).select("seed_value", "variant")
-    encoded = C.encoded_names(plain).select("name", "tld", "label", "added_day", F.lit(label).alias("seed_value"))
-    encoded = encoded.withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value")))
-    found = C.trigram_candidates(plain, seed, F.lit(0.5 if len(label) <= 5 else 0.3)).unionByName(C.typo_candidates(plain, variants)).unionByName(encoded)
-    s = S.signals(F.col("label"), F.col("seed_value"), F.array().cast("array<string>"), F.col("sim"))
-    rows = C.best_by_name(found).select("*", s.trigram.alias("t"), s.edit.alias("e"), s.brand.alias("b"), s.keyword.alias("k"), s.homograph.alias("h"), s.exact.alias("x"))
-    s = S.Signals(*[F.col(c) for c in "tebkhx"])
-    whole, fuzzy, typo = L.round4(S.composite(s)), F.greatest("t", "b"), F.greatest("e", "h")
-    rows = rows.withColumns({"score": search_score(algorithms, whole, fuzzy, typo), "fuzzy": L.round4(fuzzy), "typo": L.round4(typo), "reasons": S.reasons(s), "is_official": F.col("name") == official})
-    rows = rows.filter(F.col("score") >= min_score)
-    return rows.select("name", L.round4(F.col("score")).alias("score"), "fuzzy", "typo", "reasons", "is_official", T.search_disposition(F.col("is_official"), F.col("reasons"), F.col("tld"), F.col("score")).alias("disposition"), "added_day")
-
-
-def search_score(algorithms: tuple[str, ...], whole: Column, fuzzy: Column, typo: Column) -> Column:
-    if "hybrid" in algorithms or not {"fuzzy", "typo"} & set(algorithms):
-        return whole
-    return F.greatest(fuzzy, typo) if {"fuzzy", "typo"} <= set(algorithms) else fuzzy if "fuzzy" in algorithms else typo
-
-
-def _search_sql(score: str, least: float) -> str:
-    """The search for thatin, whose official domain is thatin.com."""
-    one = "brand AS (SELECT 'thatin' AS brand_label)"
-    return V.sql("SELECT 1", "zone_xn").removesuffix(" SELECT 1") + f""", {one}, {_TYPO}, z AS (SELECT *, 'thatin' AS brand_label FROM zone_xn WHERE NOT contains(label, '.')),
-q AS (SELECT *, {_sim('label', 'brand_label')} AS t FROM z), f AS (SELECT * FROM q WHERE t >= 0.3 OR label IN (SELECT variant FROM v WHERE variant <> x) OR starts_with(label, 'xn--')),
-s AS (SELECT *, greatest({_CLOSE.format('label', 'brand_label')}, {_CLOSE.format(_PLAIN.format('label'), _PLAIN.format('brand_label'))}) AS e, CASE WHEN {_BOUND.format(_PLAIN.format('label'), _PLAIN.format('brand_label'))} THEN 1.0 ELSE 0.0 END AS b, {_CLOSE.format(_PLAIN.format('label'), _PLAIN.format('brand_label'))} AS h, label = brand_label AS x,
-  least(1.0, len(list_filter([{', '.join(repr(w) for w in S.RISK_WORDS)}], lambda w: list_contains(regexp_extract_all(replace({_PLAIN.format('label')}, {_PLAIN.format('brand_label')}, ' '), '[a-z0-9]+'), w) OR (length(w) > 4 AND contains(replace({_PLAIN.format('label')}, {_PLAIN.format('brand_label')}, ' '), w)))) * CAST(0.3 AS DOUBLE)) AS k FROM f),
-c AS (SELECT *, {_Q4.format('t * CAST(0.30 AS DOUBLE) + e * CAST(0.25 AS DOUBLE) + b * CAST(0.20 AS DOUBLE) + k * CAST(0.15 AS DOUBLE) + h * CAST(0.10 AS DOUBLE)')} AS whole, greatest(t, b) AS fz, greatest(e, h) AS ty FROM s),
-w AS (SELECT *, {score} AS sc, list_filter([CASE WHEN x THEN 'exact_label_match' END, CASE WHEN NOT x AND e >= 0.75 AND t >= 0.45 THEN 'typosquatting' END, CASE WHEN b >= 1 AND NOT x THEN 'brand_containment' END, CASE WHEN k > 0 THEN 'risky_keywords' END,
-  CASE WHEN NOT x AND h >= 0.95 AND h > t THEN 'homograph_attack' END], lambda y: y IS NOT NULL) AS found FROM c),
-o AS (SELECT name, {_Q4.format('sc')} AS score, {_Q4.format('fz')} AS fuzzy, {_Q4.format('ty')} AS typo, CASE WHEN len(found) = 0 THEN 'lexical_similarity' ELSE array_to_string(found, ',') END AS reasons, added_day,
-  CASE WHEN name = 'thatin.com' THEN 'official' WHEN list_contains(found, 'exact_label_match') AND tld IN ({', '.join(repr(t) for t in S.STRATEGIC)}) THEN 'defensive_gap' WHEN sc >= 0.72 THEN 'live_but_unknown' ELSE 'watchlist' END AS disposition FROM w WHERE sc >= {least})"""
-
-
-@query("JOB06_domain_search", _search_sql("whole", 0.3) + " SELECT name, score, fuzzy, typo, reasons, disposition, total FROM (SELECT *, count(*) OVER () AS total FROM o) ORDER BY score DESC, added_day DESC, name DESC LIMIT 50 OFFSET 5")
+# Encoded names that read like the domain that is looked for, with what SQL can't derive: how they are read, the letters that they stand for,
+# and how close they are to it as they are read.
+_SOUGHT = "thatin"
+_READ = ("th\u0430tin", "th\u00e4tin", "that\u00edn", "that\u0131n", "thatin-l\u00f6gin", "th\u0430tin-pay", "\u0165hatin", "tha\u0165in-secure", "my-th\u03b1tin", "th\u0430ting", "\u00f6ther")
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _encoded(read: str) -> str:
+    return read.encode("idna").decode("ascii")
+
+
+def zone_search(spark: SparkSession, d: str) -> DataFrame:
+    """zone_today, in which names that begin with `the` are encoded beyond repair, and names that read like the sought one."""
+    z = V.zone_today(spark, d)
+    label = F.when(F.startswith("label", F.lit("the")), F.concat(F.lit("xn--"), F.col("label"), F.lit("-_"))).otherwise(F.col("label"))
+    z = z.withColumn("label", label).withColumn("name", F.concat_ws(".", "label", "tld"))
+    tlds = F.explode(F.array(F.lit("com"), F.lit("net")))
+    more = spark.createDataFrame([(_encoded(r), 20240101 + i) for i, r in enumerate(_READ)], "label string, added_day int").withColumn("tld", tlds)
+    return z.unionByName(more.select(F.concat_ws(".", "label", "tld").alias("name"), "tld", "label", "added_day"))
+
+
+_READ_SQL = "(VALUES " + ", ".join(f"('{_encoded(r)}', {20240101 + i}, '{r}', '{I.plain_letters(r)}', CAST({1 - _edits(r, _SOUGHT) / max(len(r), len(_SOUGHT))!r} AS DOUBLE))" for i, r in enumerate(_READ)) + ") p(label, added_day, shown, plain, near)"
+_LOOKS_SQL = ", ".join(sorted({f"'{_encoded(_SOUGHT[:i] + look + _SOUGHT[i + 1 :])}'" for i, c in enumerate(_SOUGHT) for look, letter in I.LOOKALIKES.items() if letter == c}))
+
+
+def _search_sql(asked: Search) -> str:
+    """The whole search up to its results r: one row for each name, with total and place."""
+    lexical = []
+    if asked.fuzzy:
+        lexical += [f"t >= {0.5 if len(_SOUGHT) <= 5 else 0.3}", "contains(label, brand_label)"]
+    if asked.typo:
+        lexical += ["label IN (SELECT variant FROM v WHERE variant <> x)", f"label IN ({_LOOKS_SQL})"]
+    kept = ["TRUE"]
+    if asked.tld_allowlist:
+        kept.append(f"tld IN ({', '.join(repr(t) for t in asked.tld_allowlist)})")
+    if not asked.include_subdomains:
+        kept.append("NOT contains(label, '.')")
+    base = _PLAIN.format("brand_label")
+    risky = ", ".join(repr(w) for w in S.RISK_WORDS)
+    score = {"hybrid": "whole", "fuzzy": "fz", "typo": "ty", "both": "greatest(fz, ty)"}["hybrid" if "hybrid" in asked.algorithms else "both" if len(asked.algorithms) == 2 else asked.algorithms[0]]
+    official = f"{_SOUGHT}.com"
+    zone = V.sql("SELECT 1", "zone_today").removesuffix(" SELECT 1")
+    return f"""{zone}, brand AS (SELECT '{_SOUGHT}' AS brand_label), {_TYPO}, p AS (SELECT * FROM {_READ_SQL}),
+y AS (SELECT tld, added_day, CASE WHEN starts_with(label, 'the') THEN 'xn--' || label || '-_' ELSE label END AS label FROM zone_today UNION ALL SELECT unnest(['com', 'net']), added_day, label FROM p),
+z AS (SELECT y.*, label || '.' || tld AS name, brand_label FROM y, brand WHERE {" AND ".join(kept)}),
+q AS (SELECT *, {_sim("label", "brand_label")} AS t FROM z),
+lexical AS (SELECT * FROM q WHERE {" OR ".join(lexical)} ORDER BY t DESC, added_day DESC, name LIMIT {asked.scanned}),
+encoded AS (SELECT * FROM q WHERE starts_with(label, 'xn--') ORDER BY added_day DESC NULLS LAST, name LIMIT {asked.scanned}),
+m AS (SELECT m.*, coalesce(p.shown, m.label) AS shown, coalesce(p.plain, {_PLAIN.format("m.label")}) AS plain, coalesce(p.near, {_CLOSE.format("m.label", "brand_label")}) AS near
+  FROM (SELECT * FROM lexical UNION SELECT * FROM encoded) m LEFT JOIN p ON p.label = m.label),
+s AS (SELECT *, greatest(near, {_CLOSE.format("plain", base)}) AS e, CASE WHEN {_BOUND.format("plain", base)} THEN 1.0 ELSE 0.0 END AS b, {_CLOSE.format("plain", base)} AS h, shown = brand_label AS x,
+  replace(plain, {base}, ' ') AS rest FROM m),
+k AS (SELECT *, least(1.0, len(list_filter([{risky}], lambda w: list_contains(regexp_extract_all(rest, '[a-z0-9]+'), w) OR (length(w) > 4 AND contains(rest, w)))) * CAST(0.3 AS DOUBLE)) AS k FROM s),
+c AS (SELECT *, {_Q4.format("t * CAST(0.30 AS DOUBLE) + e * CAST(0.25 AS DOUBLE) + b * CAST(0.20 AS DOUBLE) + k * CAST(0.15 AS DOUBLE) + h * CAST(0.10 AS DOUBLE)")} AS whole,
+  greatest({_Q4.format("t")}, {_Q4.format("b")}) AS fz, greatest({_Q4.format("e")}, {_Q4.format("h")}) AS ty FROM k),
+w AS (SELECT *, {score} AS score, name = '{official}' AS is_official, list_filter([CASE WHEN x THEN 'exact_label_match' END, CASE WHEN NOT x AND e >= 0.75 AND t >= 0.45 THEN 'typosquatting' END,
+  CASE WHEN b >= 1 AND NOT x THEN 'brand_containment' END, CASE WHEN k > 0 THEN 'risky_keywords' END, CASE WHEN NOT x AND h >= 0.95 AND h > t THEN 'homograph_attack' END], lambda y: y IS NOT NULL) AS found FROM c),
+r AS (SELECT name AS domain, score, fz AS fuzzy, ty AS typo, CASE WHEN len(found) = 0 THEN 'lexical_similarity' ELSE array_to_string(found, ',') END AS reasons,
+  CAST(strptime(CAST(added_day AS VARCHAR), '%Y%m%d') AS DATE) AS observed_at, CASE WHEN is_official THEN 'official' ELSE 'third_party_unknown' END AS ownership,
+  CASE WHEN is_official THEN 'official' WHEN list_contains(found, 'exact_label_match') AND tld IN ({", ".join(repr(t) for t in S.STRATEGIC)}) THEN 'defensive_gap' WHEN score >= 0.72 THEN 'live_but_unknown' ELSE 'watchlist' END AS disposition,
+  row_number() OVER (ORDER BY score DESC, added_day DESC, name DESC) AS place, count(*) OVER () AS total
+  FROM w WHERE score >= {asked.min_score}{" AND NOT is_official" if asked.exclude_official else ""})"""
+
+
+_PAGE = Search(_SOUGHT + ".com", ("hybrid",), 0.3, offset=5)
+_ALL = Search("www.ThatIn.com", ("fuzzy", "typo"), 0.5, max_results=2000, exclude_official=True, tld_allowlist=("com", "net"))
+_TYPOS = Search(_SOUGHT + ".com", ("typo",), 0.5, include_subdomains=True)
+_RESULT_SQL = "domain, score, fuzzy, typo, reasons, observed_at, ownership, disposition"
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("domain", "score", "fuzzy", "typo", F.array_join("reasons", ",").alias("reasons"), "observed_at", "ownership", "disposition", *more)
+
+
+@query("JOB06_domain_search", _search_sql(_PAGE) + f" SELECT {_RESULT_SQL}, total, total > {_PAGE.offset + _PAGE.max_results} AS has_more FROM r WHERE place BETWEEN {_PAGE.offset + 1} AND {_PAGE.offset + _PAGE.max_results}")
 def job06(spark, d):
-    """One page of the hybrid search, with how many names there are in all."""
-    found = domain_search(V.zone_xn(spark, d), "thatin", "thatin.com", ("hybrid",), 0.3)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    page = found.orderBy(F.desc("score"), F.desc("added_day"), F.desc("name")).offset(5).limit(50)
-    return page.crossJoin(F.broadcast(total)).select("name", "score", "fuzzy", "typo", F.array_join("reasons", ",").alias("reasons"), "disposition", "total")
+    """One page of the hybrid search."""
+    return _shown(search_page(zone_search(spark, d), _PAGE, KEYS), "total", "has_more")
 
 
-@query("FN21_search_disposition", _search_sql("greatest(fz, ty)", 0.5) + " SELECT name, score, disposition FROM o")
+@query("FN21_search_disposition", _search_sql(_ALL) + " SELECT domain, score, disposition FROM r")
 def fn21(spark, d):
-    return domain_search(V.zone_xn(spark, d), "thatin", "thatin.com", ("fuzzy", "typo"), 0.5).select("name", "score", "disposition")
+    """All results among two endings, without the official domain."""
+    return search_results(zone_search(spark, d), _ALL, KEYS).select("domain", "score", "disposition")
 
 
-@query("FN20_search_scores", _search_sql("ty", 0.5) + " SELECT name, score, fuzzy, typo FROM o")
+@query("FN20_search_scores", _search_sql(_TYPOS) + f" SELECT {_RESULT_SQL} FROM r")
 def fn20_typo(spark, d):
-    return domain_search(V.zone_xn(spark, d), "thatin", "thatin.com", ("typo",), 0.5).select("name", "score", "fuzzy", "typo")
+    """Typos and encoded names alone, sub-domains among them."""
+    return _shown(search_results(zone_search(spark, d), _TYPOS, KEYS))

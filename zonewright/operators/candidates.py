@@ -7,6 +7,7 @@ of their number. Labels with a dot are sub-domains and never scanned.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +15,20 @@ from pyspark.sql import functions as F
 from ..functions import idna as I
 from ..functions import labels as L
 from ..functions import scores as S
+from ..sources import zones as Z
 
-#: Seeds are broadcast up to this many rows; beyond it the joins shuffle.
-FEW = 100_000
+#: Seeds are broadcast up to this many rows and bytes (as JSON); beyond it the joins shuffle.
+FEW, FEW_BYTES = 100_000, 32 << 20
+#: How many ways the names of one ending and length are dealt, and the steps by which the nearest names are sought.
+DEALT, STEPS = 16, (4, 8, 12, 16, 24, 40)
 #: Seeds that are tried on every name rather than looked up, and most seeds of one or two letters.
 TRIED, SHORT = 32, 2_000
 
 
 def few(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the counted rows are few."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """A broadcast hint where the counted rows and their bytes are few."""
+    size = df.limit(FEW + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size.n <= FEW and size.bytes <= FEW_BYTES else df
 
 
 def without_subdomains(names: DataFrame) -> DataFrame:
@@ -82,14 +87,51 @@ def encoded_names(names: DataFrame) -> DataFrame:
 
 
 def encoded_candidates(names: DataFrame, brands: DataFrame) -> DataFrame:
-    """For each brand and ending the encoded names of least edit distance, newest first, up to the ending's limit.
+    """For each brand and ending the encoded names of least edit distance, newest first, up to the ending's limit."""
+    return nearest_by_edits(encoded_names(names), brands, lambda tld: S.choose(ENCODED_LIMITS, tld, OTHER_ENCODED_LIMIT))
 
-    Encoded names are few beside all; brands are few and broadcast after a check.
+
+def nearest_by_edits(names: DataFrame, brands: DataFrame, limit: Callable[[Column], Column]) -> DataFrame:
+    """For each brand and ending the names whose labels are nearest to the brand's by edit distance, then the newest, up to the ending's limit.
+
+    Exact, and without a pair of everything: two texts are at least as far apart as their lengths. Step by step the reach
+    grows; names of lengths within reach are joined by ending and length (a hot one dealt DEALT ways) and held against the brand by a
+    distance that gives up beyond the reach. Where so many are found within it, all that could be nearer have been seen, and that
+    brand and ending is done; only the others go on to the next step. The last step reaches as far as any length.
+
+    names: name, tld, label, added_day and more; brands: brand_id, brand_label and more. Names without a label or brands without one find nothing.
+    Rows that agree in distance, day and name are taken in any order.
     """
-    pairs = encoded_names(names).crossJoin(few(brands)).withColumn("distance", F.levenshtein("label", "brand_label"))
-    w = Window.partitionBy("brand_id", "tld").orderBy("distance", F.desc("added_day"), "name")
-    most = S.choose(ENCODED_LIMITS, F.col("tld"), OTHER_ENCODED_LIMIT)
-    return pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+    held = names.filter(F.col("label").isNotNull()).withColumn("__n", F.length("label")).withColumn("__deal", F.pmod(F.xxhash64("name"), F.lit(DEALT)).cast("int"))
+    held = Z.stored(held, "names-by-length")
+    # One row for each ending; the longest label ends the search.
+    endings = held.groupBy("tld").agg(F.max("__n").alias("longest"), F.min("__n").alias("shortest"))
+    b = brands.filter(F.col("brand_label").isNotNull()).withColumn("__b", F.length("brand_label"))
+    seen = endings.agg(F.max("longest").alias("n"), F.collect_set("tld").alias("tlds")).first()
+    widest = b.agg(F.max("__b").alias("n")).first().n
+    if seen.n is None or widest is None:
+        return held.withColumn("distance", F.lit(0)).join(b, F.lit(False)).drop("__n", "__deal", "__b")
+    todo = b.withColumn("tld", F.explode(F.array(*map(F.lit, seen.tlds))))
+    within = [r for r in STEPS if r < max(seen.n, widest)] + [max(seen.n, widest)]
+    parts = []
+    for step, reach in enumerate(within):
+        lengths = F.sequence(F.greatest(F.col("__b") - reach, F.lit(0)), F.col("__b") + reach)
+        asked = todo.withColumn("__n", F.explode(lengths)).join(F.broadcast(endings), "tld").filter(F.col("__n").between(F.col("shortest"), F.col("longest"))).drop("shortest", "longest")
+        asked = asked.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+        near = held.join(asked, ["tld", "__n", "__deal"]).withColumn("distance", F.levenshtein("label", "brand_label", reach)).filter("distance >= 0")
+        place = F.row_number().over(Window.partitionBy("brand_id", "tld").orderBy("distance", F.desc("added_day"), "name"))
+        found = Z.stored(near.withColumn("__r", place).filter(F.col("__r") <= limit(F.col("tld"))).drop("__n", "__deal", "__b"), "nearest")
+        if step == len(within) - 1:
+            parts.append(found)
+            break
+        # The last of a full list says that it is full; no more than one row for each brand and ending.
+        full = found.filter(F.col("__r") == limit(F.col("tld"))).select("brand_id", "tld")
+        parts.append(found.join(full, ["brand_id", "tld"], "left_semi"))
+        todo = Z.stored(todo.join(full, ["brand_id", "tld"], "left_anti"), "nearest-left")
+        if todo.isEmpty():
+            break
+    columns = [*names.columns, *[c for c in brands.columns if c not in names.columns], "distance"]
+    return reduce(DataFrame.unionByName, parts).select(*columns)
 
 
 def seed_limit(seeds: int) -> int:

@@ -19,16 +19,22 @@ from ..sources import zones as Z
 
 #: Seeds are broadcast up to this many rows and bytes (as JSON); beyond it the joins shuffle.
 FEW, FEW_BYTES = 100_000, 32 << 20
+#: Counts of trigrams are kept in so many slots.
+SLOTS = 1 << 14
 #: How many ways the names of one ending and length are dealt, and the steps by which the nearest names are sought.
 DEALT, STEPS = 16, (4, 8, 12, 16, 24, 40)
-#: Seeds that are tried on every name rather than looked up, and most seeds of one or two letters.
-TRIED, SHORT = 32, 2_000
+#: Seeds that are tried on every name rather than looked up.
+TRIED = 32
+
+
+def are_few(df: DataFrame) -> bool:
+    size = df.limit(FEW + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return size.n <= FEW and size.bytes <= FEW_BYTES
 
 
 def few(df: DataFrame) -> DataFrame:
     """A broadcast hint where the counted rows and their bytes are few."""
-    size = df.limit(FEW + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if size.n <= FEW and size.bytes <= FEW_BYTES else df
+    return F.broadcast(df) if are_few(df) else df
 
 
 def without_subdomains(names: DataFrame) -> DataFrame:
@@ -43,40 +49,89 @@ def exact_candidates(names: DataFrame, seeds: DataFrame) -> DataFrame:
 def trigram_candidates(names: DataFrame, seeds: DataFrame, threshold: Column | None = None) -> DataFrame:
     """Pairs (name, seed) of trigram similarity at the threshold or above, with sim.
 
-    The seeds' trigrams form an inverted index. Only names that share one are counted, partly before the
-    shuffle, and a pair whose sizes already rule it out is dropped before.
+    A prefix filter: trigrams are ordered by how many seeds have them, rare ones first. Sets of n trigrams that are t alike
+    share t * n of them at least, so one that both have is among the first n - t * n + 1 of either. A name's trigrams that no seed
+    has can't be shared: they are dropped first, with names that keep too few, and only the prefix of the rest is exploded.
+    Pairs whose sizes, or what is left after the trigram's position, rule them out go before the shuffle that takes each pair once;
+    those left are compared whole.
     """
-    # The size goes with each trigram, so that the set is made once for a name and not for each of its rows.
-    sized = lambda x, n: F.inline(L.once(L.trigrams(F.col(x)), lambda gs: F.transform(gs, lambda g: F.struct(g.alias("g"), F.size(gs).alias(n)))))
     least = threshold if threshold is not None else L.trigram_threshold(F.col("seed_value"))
-    s = seeds.select("seed_value", least.alias("t"), sized("seed_value", "n2"))
-    n = names.select("name", "tld", "label", "added_day", sized("label", "n1"))
-    pairs = n.join(few(s), "g").filter(F.least("n1", "n2") >= F.col("t") * F.greatest("n1", "n2"))
-    c = pairs.groupBy("name", "tld", "label", "added_day", "seed_value", "n1", "n2", "t").agg(F.count(F.lit(1)).alias("c"))
-    return c.withColumn("sim", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).filter("sim >= t").select("name", "tld", "label", "added_day", "seed_value", "sim")
+    s = seeds.select("seed_value").distinct().select("seed_value", least.alias("t"), L.trigrams(F.col("seed_value")).alias("gs"))
+    # One number for each of SLOTS hashes of trigrams: bounded, whatever the seeds.
+    counts = s.select("t", F.explode("gs").alias("g")).groupBy(_slot(F.col("g")).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t")).collect()
+    if not counts:
+        return names.select("name", "tld", "label", "added_day").join(s.select("seed_value"), F.lit(False)).withColumn("sim", F.lit(0.0))
+    rarity = ["-1"] * SLOTS
+    for r in counts:
+        rarity[r.slot] = str(min(r.n, 2**31 - 1))
+    rare = F.split(F.lit(",".join(rarity)), ",").cast("array<int>")
+    lowest = F.lit(min(r.t for r in counts))
+
+    known = lambda gs: F.filter(gs, lambda g: F.get(rare, _slot(g)) >= 0)
+    need = lambda size, t: F.ceil(size * t - 1e-9)
+
+    def prefixes(size: Column, t: Column, held: Column) -> Column:
+        """(size, known, g, place) of the first trigrams of a set; known: how many of them a seed may have."""
+        ranked = F.array_sort(F.transform(held, lambda g: F.struct(F.get(rare, _slot(g)).alias("n"), g.alias("g"))))
+        first = F.slice(ranked, 1, (F.size(held) - need(size, t) + 1).cast("int"))
+        return F.transform(first, lambda x, i: F.struct(size.cast("int").alias("size"), F.size(held).alias("known"), x["g"].alias("g"), (i + 1).alias("place")))
+
+    # Few names keep enough trigrams, and only theirs are put in order.
+    none = F.array().cast("array<struct<size:int,known:int,g:string,place:int>>")
+    kept = lambda size, held: F.when(F.size(held) >= F.greatest(need(size, lowest), F.lit(1)), prefixes(size, lowest, held)).otherwise(none)
+    of_name = L.once(L.trigrams(F.col("label")), lambda gs: L.once(known(gs), lambda held: kept(F.size(gs), held)))
+    n = names.select("name", "tld", "label", "added_day", F.inline(of_name)).toDF("name", "tld", "label", "added_day", "n1", "k1", "g", "p1")
+    s = s.select("seed_value", "t", F.inline(prefixes(F.size("gs"), F.col("t"), F.col("gs")))).toDF("seed_value", "t", "n2", "k2", "g", "p2")
+    pairs = _by_trigram(n, s)
+    fits = (F.least("n1", "n2") >= F.col("t") * F.greatest("n1", "n2")) & ((1 + F.least(F.col("k1") - F.col("p1"), F.col("k2") - F.col("p2"))) * (1 + F.col("t")) >= F.col("t") * (F.col("n1") + F.col("n2")) - 1e-9)
+    pairs = pairs.filter(fits).select("name", "tld", "label", "added_day", "seed_value", "t").distinct()
+    pairs = pairs.withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value")))
+    return pairs.filter("sim >= t").select("name", "tld", "label", "added_day", "seed_value", "sim")
+
+
+def _slot(g: Column) -> Column:
+    return F.pmod(F.xxhash64(g), F.lit(SLOTS)).cast("int")
+
+
+def _by_trigram(n: DataFrame, s: DataFrame) -> DataFrame:
+    """Prefixes joined by trigram. Where the seeds are too many to broadcast, names of one trigram are dealt DEALT ways, so that a frequent
+    one isn't one task's."""
+    if are_few(s):
+        return n.join(F.broadcast(s), "g")
+    ways = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+    return n.withColumn("__deal", F.pmod(F.xxhash64("name"), F.lit(DEALT)).cast("int")).join(s.withColumn("__deal", ways), ["g", "__deal"]).drop("__deal")
 
 
 def substring_candidates(names: DataFrame, seeds: DataFrame) -> DataFrame:
     """Pairs (name, seed) where the label holds the seed, with sim.
 
-    A handful of seeds is tried on every name. More are found by their first three letters, an equi-join with the
-    three-letter windows of the labels; seeds of one or two letters, which are a few hundred at most, are tried.
+    A handful of seeds is tried on every name. More are found by an anchor: of a seed's three-letter windows (a shorter seed is its own) the one
+    that the fewest seeds have, so that seeds with a common beginning or end don't meet under one key. Of a label's windows
+    only those that may be an anchor are exploded. An empty seed is in no label.
     """
-    n, s = names.select("name", "tld", "label", "added_day"), seeds.select("seed_value").distinct()
+    n, s = names.select("name", "tld", "label", "added_day"), seeds.select("seed_value").distinct().filter(F.length("seed_value") > 0)
     holds = F.contains("label", "seed_value")
     if s.limit(TRIED + 1).count() <= TRIED:
         found = n.join(F.broadcast(s), holds)
     else:
-        size = F.length("seed_value")
-        windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - 2, F.lit(1))), lambda i: F.substr("label", i, F.lit(3))))
-        anchored = few(s.filter(size >= 3).withColumn("g", F.substring("seed_value", 1, 3)))
-        found = n.select("*", F.explode(windows).alias("g")).join(anchored, "g").filter(holds).drop("g")
-        found = found.unionByName(n.join(F.broadcast(s.filter(size.between(1, 2)).limit(SHORT + 1)), holds))
-        if s.filter(size.between(1, 2)).limit(SHORT + 1).count() > SHORT:
-            raise ValueError("too many seeds of one or two letters")
+        spread = s.select("seed_value", F.explode(F.array_distinct(_windows(F.col("seed_value"), F.least(F.length("seed_value"), F.lit(3))))).alias("g"))
+        held = spread.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        anchors = Z.stored(spread.join(held, "g").groupBy("seed_value").agg(F.min_by("g", F.struct("n", "g")).alias("g")), "anchors")
+        # One sign for each of SLOTS hashes of anchors.
+        taken = {r.slot for r in anchors.select(_slot(F.col("g")).alias("slot")).distinct().collect()}
+        anchor = F.lit("".join("1" if i in taken else "0" for i in range(SLOTS)))
+        windows = F.concat(*[_windows(F.col("label"), F.lit(k)) for k in (1, 2, 3)])
+        windows = F.filter(F.array_distinct(windows), lambda g: F.substr(anchor, _slot(g) + 1, F.lit(1)) == "1")
+        found = _by_trigram(n.select("*", F.explode(windows).alias("g")), anchors).filter(holds).drop("g")
     return found.withColumn("sim", L.trigram_similarity(F.col("label"), F.col("seed_value")))
 
 
+def _windows(x: Column, size: Column) -> Column:
+    """All parts of so many letters; none of a shorter text."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1)))
+    return F.filter(F.transform(at, lambda i: F.substr(x, i, size)), lambda g: F.length(g) == size)
+
+
 # Most encoded names of an ending that a brand is held against, and for any other ending.
 ENCODED_LIMITS, OTHER_ENCODED_LIMIT = {"com": 2000, "net": 1500, "org": 1500}, 1200
 

@@ -35,9 +35,10 @@ def load_delta(delta: DataFrame, target: DataFrame, day: Column) -> DataFrame:
 
 
 def expire(matches: DataFrame, gone: DataFrame, back: DataFrame) -> DataFrame:
-    """matches with expired_day from `gone` (name, removed_day), cleared for names in `back`."""
-    j = matches.join(gone, "name", "left").join(back.select("name", F.lit(True).alias("__back")), "name", "left")
-    return j.withColumn("expired_day", F.when(F.col("__back").isNull(), F.col("removed_day"))).drop("removed_day", "__back")
+    """matches with expired_day: that of `gone` (name, removed_day) where they have none yet, and none for names in `back`."""
+    earlier = F.col("expired_day") if "expired_day" in matches.columns else F.lit(None).cast("int")
+    j = matches.join(gone.select("name", "removed_day"), "name", "left").join(back.select("name", F.lit(True).alias("__back")).distinct(), "name", "left")
+    return j.withColumn("expired_day", F.when(F.col("__back").isNull(), F.coalesce(earlier, "removed_day"))).drop("removed_day", "__back")
 
 
 def pending(expected: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

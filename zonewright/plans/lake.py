@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import lake as O
 from ..sources import zones as Z
+from ..sources.state import Kept
 from ..streaming import jobs as J
 from . import views as V
-from .register import query
+from .register import SQL, query
 
 _Z = ("zone_today", "zone_yesterday")
 
@@ -159,6 +160,16 @@ def job08(spark, d):
     return O.lifecycle(t, state, F.lit(V.AS_OF).cast("date"))
 
 
+@query("JOB08_lifecycle_state_kept", SQL["JOB08_lifecycle_state"])
+def job08_kept(spark, d):
+    """The same with the state in a kept table, which today's names are brought to and which then holds the next state."""
+    t, y = _both(spark, d)
+    state = y.select("name", "tld", L.int_date(F.col("added_day")).alias("first_seen"), F.lit("2024-01-30").cast("date").alias("last_seen"), F.lit(True).alias("is_active"))
+    kept = Kept.create(state, "lifecycle")
+    kept.change(t, lambda before, today: O.lifecycle(today, before.drop("is_active"), F.lit(V.AS_OF).cast("date")))
+    return kept.read()
+
+
 @query("SET04_state_concat", V.sql("SELECT name, max(a) AS is_active FROM (SELECT name, true AS a FROM zone_today UNION ALL SELECT name, false FROM zone_yesterday) GROUP BY name", *_Z))
 def set04(spark, d):
     t, y = _both(spark, d)
@@ -181,22 +192,30 @@ def agg01(spark, d):
     return V.zone_today(spark, d).groupBy("tld").agg(F.count(F.lit(1)).alias("n"))
 
 
-_GONE = "SELECT y.name, 20240131 AS removed_day FROM zone_yesterday y ANTI JOIN zone_today t USING (name)"
+# Which of the two snapshots a name is in, from one pass over both, with the day of either.
+_PRESENCE = """both_zones AS (SELECT name, max(y) AS y, max(t) AS t FROM (SELECT name, added_day AS y, NULL::INTEGER AS t FROM zone_yesterday
+  UNION ALL SELECT name, NULL, added_day FROM zone_today) GROUP BY name)"""
+
+
+def _presence(select: str) -> str:
+    return V.sql("SELECT 1", *_Z).removesuffix(" SELECT 1") + f", {_PRESENCE} " + select
 
 
-@query("STA06_expire_reactivate", V.sql(f"SELECT m.name, CASE WHEN b.name IS NULL THEN g.removed_day END AS expired_day FROM (SELECT name FROM zone_yesterday WHERE starts_with(label, 'th')) m LEFT JOIN ({_GONE}) g USING (name) LEFT JOIN (SELECT name FROM zone_today WHERE added_day = 20240131) b USING (name)", *_Z))
+@query("STA06_expire_reactivate", _presence(f"SELECT name, CASE WHEN t IS DISTINCT FROM 20240131 THEN CASE WHEN {V._SHARD.format('name', 5)} = 0 THEN 20240110 WHEN t IS NULL THEN 20240131 END END AS expired_day FROM both_zones WHERE y IS NOT NULL"))
 def sta06(spark, d):
+    """A fifth of the matches expired earlier; names that are gone expire, and those that today's delta brings are active again."""
     t, y = _both(spark, d)
-    matches = y.filter(F.startswith("label", F.lit("th"))).select("name")
+    matches = y.select("name", F.when(L.stable_shard(F.col("name"), 5) == 0, 20240110).alias("expired_day"))
     gone = O.removed(t, y).select("name", F.lit(20240131).alias("removed_day"))
     return O.expire(matches, gone, t.filter("added_day = 20240131"))
 
 
-@query("JON16_update_from", V.sql(f"SELECT y.name, g.removed_day AS expired_day FROM zone_yesterday y LEFT JOIN ({_GONE}) g USING (name)", *_Z))
+@query("JON16_update_from", _presence("SELECT name, CASE WHEN t IS NULL AND y < 20240120 THEN 20240131 END AS expired_day FROM both_zones WHERE y IS NOT NULL"))
 def jon16(spark, d):
+    """Names that are gone get the day; of those, the ones first seen late have been registered again by a later delta."""
     t, y = _both(spark, d)
-    gone = O.removed(t, y).select("name", F.lit(20240131).alias("removed_day"))
-    return O.expire(y.select("name"), gone, gone.limit(0))
+    gone = O.removed(t, y)
+    return O.expire(y.select("name"), gone.select("name", F.lit(20240131).alias("removed_day")), gone.filter("added_day >= 20240120"))
 
 
 @query("JON14_exists_semi", V.sql("SELECT y.name FROM zone_yesterday y ANTI JOIN (SELECT * FROM zone_today WHERE added_day >= 20240125) t USING (name)", *_Z))
@@ -214,13 +233,13 @@ def _old_new(spark, d):
     """Matches of yesterday and today: a status by shard, a score by day."""
     def rows(z, plus):
         status = V._pick(("new", "dismissed", "confirmed_threat", "new"), L.stable_shard(F.col("name"), 4))
-        return z.filter(F.startswith("label", F.lit("th"))).select("name", status.alias("status"), (F.col("added_day") + plus).alias("score"), (F.col("added_day") % 7 + plus).alias("bucket"), F.lit(plus).alias("first_detected"))
+        return z.select("name", status.alias("status"), (F.col("added_day") + plus).alias("score"), (F.col("added_day") % 7 + plus).alias("bucket"), F.lit(plus).alias("first_detected"))
     t, y = _both(spark, d)
     return rows(y, 0), rows(t, 1)
 
 
 def _match_sql(zone: str, plus: int) -> str:
-    return f"SELECT name, (['new','dismissed','confirmed_threat','new'])[{V._SHARD.format('name', 4)} + 1] AS status, added_day + {plus} AS score, added_day % 7 + {plus} AS bucket, {plus} AS first_detected FROM {zone} WHERE starts_with(label, 'th')"
+    return f"SELECT name, (['new','dismissed','confirmed_threat','new'])[{V._SHARD.format('name', 4)} + 1] AS status, added_day + {plus} AS score, added_day % 7 + {plus} AS bucket, {plus} AS first_detected FROM {zone}"
 
 
 @query("STA02_match_upsert", V.sql(f"SELECT coalesce(o.name, n.name) AS name, coalesce(o.status, n.status) AS status, coalesce(n.score, o.score) AS score, CASE WHEN o.status IN ('dismissed', 'confirmed_threat') THEN o.bucket ELSE coalesce(n.bucket, o.bucket) END AS bucket, coalesce(o.first_detected, n.first_detected) AS first_detected FROM ({_match_sql('zone_yesterday', 0)}) o FULL JOIN ({_match_sql('zone_today', 1)}) n ON o.name = n.name", *_Z))
@@ -229,6 +248,15 @@ def sta02(spark, d):
     return O.upsert_matches(old, new, ["name"], ["status", "first_detected"], ["bucket"])
 
 
+@query("STA02_match_upsert_kept", SQL["STA02_match_upsert"])
+def sta02_kept(spark, d):
+    """The same through a kept table, of which the partitions that the new matches touch are replaced."""
+    old, new = _old_new(spark, d)
+    kept = Kept.create(old, "matches")
+    kept.change(new, lambda state, changes: O.upsert_matches(state, changes, ["name"], ["status", "first_detected"], ["bucket"]))
+    return kept.read()
+
+
 @query("STA03_reconcile_full", V.sql(f"SELECT o.name, o.score FROM ({_match_sql('zone_yesterday', 0)}) o SEMI JOIN zone_today t ON o.name = t.name", *_Z))
 def sta03(spark, d):
     old, _ = _old_new(spark, d)

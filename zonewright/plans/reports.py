@@ -214,9 +214,9 @@ def jon22(spark, d):
     return stored.join(loaded, R.KEYS, "left").filter(~F.col("status").eqNullSafe(F.lit("success")))
 
 
-@query("JON23_data_without_partition", V.sql("SELECT DISTINCT source, tld FROM run r WHERE status = 'success' AND tld NOT IN (SELECT tld FROM zone_today WHERE added_day > 20240130 AND starts_with(label, 'the') AND tld <> 'net')", "run", "zone_today"))
+@query("JON23_data_without_partition", V.sql("SELECT DISTINCT source, tld FROM run r WHERE status = 'success' AND tld NOT IN (SELECT tld FROM zone_today WHERE tld <> 'net')", "run", "zone_today"))
 def jon23(spark, d):
-    have = V.zone_today(spark, d).filter(F.col("added_day") > 20240130).filter(F.startswith("label", F.lit("the")) & (F.col("tld") != "net")).select("tld").distinct()
+    have = V.zone_today(spark, d).filter(F.col("tld") != "net").select("tld").distinct()
     return V.run(spark, d).filter(R.ok()).select(*R.KEYS).distinct().join(have, "tld", "left_anti").select(*R.KEYS)
 
 

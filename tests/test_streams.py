@@ -1,3 +1,6 @@
+import datetime
+import random
+
 from pyspark.sql import functions as F
 
 from zonewright.operators import enrichment as E
@@ -73,13 +76,45 @@ def test_windowed_counts_match_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_touched_matches_are_folded_again(spark, tmp_path):
-    path, got = str(tmp_path / "e"), {}
-    table = spark.createDataFrame([(1, 2), (1, 3), (2, 5)], "match_id long, k long")
-    table.write.parquet(path)
-    q = J.fold_touched(spark.readStream.schema(table.schema).parquet(path), lambda: spark.read.parquet(path), lambda df: df.groupBy("match_id").agg(F.sum("k").alias("k")), lambda df, epoch: got.update({r.match_id: r.k for r in df.collect()}), str(tmp_path / "c"))
-    q.awaitTermination()
-    assert got == {1: 5, 2: 5}
+EVENT = "id long, match_id long, created_at timestamp, code string, severity string, score_adjustment double"
+
+
+def test_states_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(4), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(5000)), rng.choice("abc"), rng.choice(["low", "high"]), rng.random()) for i in range(300)]
+    rows += [(900, 9, datetime.datetime(2024, 1, 1), None, None, None)]
+    newest = 20
+    want = set()
+    for match in {r[1] for r in rows}:
+        seen = {}
+        for r in sorted((r for r in rows if r[1] == match), key=lambda r: (r[2], r[0]), reverse=True)[:newest]:
+            seen.setdefault(r[3], (match, r[3], r[4], r[5]))
+        want |= set(seen.values())
+    for turn in range(2):
+        source, target, checkpoint = (str(tmp_path / f"{x}{turn}") for x in ("in", "out", "cp"))
+        sent = rows + rng.sample(rows, 100)
+        rng.shuffle(sent)
+        for part in (sent[:150], sent[150:], sent[:50]):
+            spark.createDataFrame(part, EVENT).write.mode("append").parquet(source)
+            stream = J.newest_signals(spark.readStream.schema(EVENT).parquet(source), newest)
+            J.run_into(stream, target, checkpoint).awaitTermination()
+        # The last batch that touched a match says all about it.
+        out = spark.read.parquet(target)
+        last = out.groupBy("match_id").agg(F.max("batch").alias("batch"))
+        got = out.join(last, ["match_id", "batch"]).select("match_id", "code", "severity", "adjustment").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_late_events_are_left_out_of_windows(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    schema = "tool_name string, created_at timestamp"
+    for part in ([("a", at(9)), ("a", at(12, 30))], [("a", at(9, 10)), ("a", at(11, 40)), ("a", at(12, 59)), ("b", at(13))], [("a", at(12, 1)), ("a", at(11, 59))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        J.run_into(J.windowed_counts(spark.readStream.schema(schema).parquet(source)), target, checkpoint).awaitTermination()
+    got = {(r.tool_name, r.start.hour): r.n for r in J.latest_rows(spark, target, "tool_name string, start timestamp, n long", ["tool_name", "start"]).collect()}
+    # After 12:30 the watermark stands at 11:30, and after 13:00 at 12:00: 9:10 and 11:59 are late, 11:40 and 12:01 aren't.
+    assert got == {("a", 9): 1, ("a", 11): 1, ("a", 12): 3, ("b", 13): 1}
 
 
 def test_login_page_is_critical_and_parked_page_is_not(spark):

@@ -29,14 +29,23 @@ def _zone_text(spark, d):
 _NAMES = V.sql("SELECT name, tld FROM zone_today", "zone_today")
 
 
+def _zone_files(spark, d):
+    """The zone as gzipped files of each ending, read back as lines."""
+    path = Z.scratch(spark, "zone-files")
+    Z.write_zone_files(_zone_text(spark, d), path)
+    return Z.read_zone_files(spark, path)
+
+
 @query("SRC01_zone_scan", _NAMES)
 def src01(spark, d):
-    return Z.zone_names(_zone_text(spark, d), F.col("tld"))
+    return Z.zone_names(_zone_files(spark, d), F.col("tld"))
 
 
 @query("SRC02_zone_scan_sharded", V.sql(f"SELECT name, CAST({V._SHARD.format('name', 128)} AS INTEGER) AS shard FROM zone_today", "zone_today"))
 def src02(spark, d):
-    return Z.zone_names(_zone_text(spark, d), F.col("tld")).select("name", L.stable_shard(F.col("name"), 128).alias("shard"))
+    path = Z.scratch(spark, "zone-buckets")
+    Z.stage_buckets(Z.zone_names(_zone_files(spark, d), F.col("tld")), path, 128, L.stable_shard)
+    return spark.read.schema("name string, shard int").parquet(path)
 
 
 @query("SRC03_qname_scan", V.sql("SELECT name FROM zone_today WHERE tld = 'com'", "zone_today"))
@@ -85,11 +94,33 @@ def src13(spark, d):
     return O.load_delta(t.select("name", "tld"), y, F.lit(20240131))
 
 
-@query("SRC15_shard_resume", V.sql("SELECT id, source, tld FROM run WHERE status = 'failed' AND (source, tld, date_trunc('hour', started_at)) NOT IN (SELECT (source, tld, date_trunc('hour', started_at)) FROM run WHERE status = 'success' AND phase = 'pg')", "run"))
+_RESUME_AT = "2024-01-28 12:00:00"
+
+
+@query(
+    "SRC15_shard_resume",
+    V.sql(
+        f"""SELECT tld, CAST(shard AS INTEGER) AS shard, count(*) AS n FROM (SELECT tld, {V._SHARD.format("name", 8)} AS shard FROM zone_today) z
+WHERE (tld, shard) NOT IN (SELECT (tld, id % 8) FROM run WHERE source = 'czds' AND status = 'success' AND phase = 'pg' AND started_at > TIMESTAMP '{_RESUME_AT}' - INTERVAL 24 HOUR AND started_at <= TIMESTAMP '{_RESUME_AT}') GROUP BY ALL""",
+        "zone_today",
+        "run",
+    ),
+)
 def src15(spark, d):
-    """A shard stands for an hour of a source and ending."""
-    r = V.run(spark, d).withColumn("shard", F.date_trunc("hour", "started_at"))
-    return O.pending(r.filter("status = 'failed'"), r.filter("status = 'success' AND phase = 'pg'"), "source", "tld", "shard").select("id", "source", "tld")
+    """Today's delta lies in eight files for each ending; those that runs have loaded in the last 24 hours are left out, the others are read."""
+    path = Z.scratch(spark, "delta-files")
+    z = V.zone_today(spark, d).withColumn("shard", L.stable_shard(F.col("name"), 8))
+    z.repartition("tld", "shard").write.partitionBy("tld", "shard").parquet(f"{path}/source=czds/snapshot_date={V.AS_OF}")
+    files = Z.list_files(spark, path).select("path", *[F.regexp_extract("path", f"{k}=([^/]+)/", 1).alias(k) for k in ("source", "tld", "snapshot_date")], F.lit("domain").alias("partition"), F.regexp_extract("path", "shard=([^/]+)/", 1).alias("shard_key"))
+    run = V.run(spark, d).filter(f"phase = 'pg' AND started_at <= timestamp '{_RESUME_AT}'")
+    status = F.when(F.col("status") == "success", "completed").otherwise(F.col("status"))
+    checkpoints = run.select("source", "tld", F.lit(V.AS_OF).alias("snapshot_date"), F.lit("domain").alias("partition"), (F.col("id") % 8).cast("string").alias("shard_key"), status.alias("status"), F.col("started_at").alias("loaded_at"))
+    left = Z.pending_files(files, checkpoints, F.lit(_RESUME_AT).cast("timestamp"))
+    # The files of one day's delta.
+    paths = [r.path for r in left.select("path").collect()]
+    schema = "name string, label string, added_day int, tld string, shard int"
+    rows = spark.read.schema(schema).option("basePath", f"{path}/source=czds/snapshot_date={V.AS_OF}").parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.groupBy("tld", "shard").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SRC16_contract_check", V.sql("SELECT DISTINCT source, tld, date_trunc('hour', started_at) AS hour FROM run r WHERE status = 'success' AND NOT EXISTS (SELECT 1 FROM run p WHERE p.source = r.source AND p.tld = r.tld AND date_trunc('hour', p.started_at) = date_trunc('hour', r.started_at) AND p.phase = 'full' AND p.domains_inserted > 0)", "run"))
@@ -316,18 +347,3 @@ def str01(spark, d):
         zone.select("name", "tld", "label", "added_day").write.mode("append").parquet(source)
         J.load_deltas(spark, source, target, Z.scratch(spark, "stream")).awaitTermination()
     return J.read_names(spark, target).select("name", "tld")
-
-
-@query("STR02_event_state_stream", V.sql("SELECT match_id, count(*) AS n, max(created_at) AS latest, CAST(sum(k) AS BIGINT) AS k FROM event GROUP BY match_id", "event"))
-def str02(spark, d):
-    """Events arrive in two parts; the state of the matches that a part touches is folded again."""
-    source, state, checkpoint = (Z.scratch(spark, n) for n in ("events", "state", "stream"))
-    e = V.event(spark, d).select("id", "match_id", "created_at", "k")
-    fold = lambda df: df.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("latest"), F.sum("k").alias("k"))
-    for part in (0, 1):
-        e.filter(F.col("id") % 2 == part).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(e.schema).parquet(source)
-        J.fold_touched(stream, lambda: spark.read.schema(e.schema).parquet(source), fold, lambda df, epoch: df.write.mode("overwrite").parquet(f"{state}/epoch={epoch}"), checkpoint).awaitTermination()
-    # The state of a match is that of the last part that touched it.
-    rows = spark.read.parquet(state)
-    return rows.groupBy("match_id").agg(F.max_by(F.struct("n", "latest", "k"), "epoch").alias("x")).select("match_id", "x.n", "x.latest", "x.k")

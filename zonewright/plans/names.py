@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators import candidates as C
+from ..operators.suffixes import registrable_parts
 from . import views as V
 from .register import query
 
@@ -244,6 +245,29 @@ def prj04(spark, d):
     return V.zone_today(spark, d).select("name", L.registrable_domain(n).alias("domain"), L.registrable_label(n).alias("label"), L.public_suffix(n).alias("suffix"))
 
 
+# Rules that match hosts of the pages, and hosts under rules of every kind.
+_RULES = ("com", "net", "org", "// a comment", "example.net", "*.example.com", "!ththon.example.com", "!www.ck", "*.ck", "com.br", "br", "*.kawasaki.jp", "!city.kawasaki.jp", "jp")
+_RULED_HOSTS = ("www.ck", "a.www.ck", "foo.ck", "a.foo.ck", "b.a.foo.ck", "shop.com.br", "com.br", "x.y.kawasaki.jp", "city.kawasaki.jp", "a.city.kawasaki.jp", "co.uk", "a.co.uk", "x.unknown", "single")
+_HOSTS_SQL = "h AS (SELECT DISTINCT host FROM host WHERE host <> '' UNION SELECT unnest([" + ", ".join(f"'{h}'" for h in _RULED_HOSTS) + "]))"
+_RULES_SQL = "r AS (SELECT ltrim(ltrim(x, '!'), '*.') AS suffix, starts_with(x, '!') AS exc, starts_with(x, '*.') AS wild FROM (SELECT unnest([" + ", ".join(f"'{r}'" for r in _RULES if not r.startswith("//")) + "]) AS x))"
+
+
+@query(
+    "PRJ04_registrable_parts_rules",
+    V.sql("SELECT 1", "host").removesuffix(" SELECT 1")
+    + f""", {_HOSTS_SQL}, {_RULES_SQL}, p AS (SELECT host, string_split(host, '.') AS p, len(string_split(host, '.')) AS n FROM h),
+s AS (SELECT host, p, n, unnest(range(1, n + 1)) AS k FROM p),
+m AS (SELECT s.host, max(CASE WHEN exc THEN 1000 + k - 1 WHEN wild THEN k + 1 ELSE k END) AS k FROM s JOIN r ON array_to_string(p[n - k + 1 :], '.') = suffix AND (NOT wild OR n > k) GROUP BY s.host),
+f AS (SELECT p.host, p, n, CASE WHEN n > m.k % 1000 THEN m.k % 1000 END AS k, CASE WHEN n >= 3 AND length(p[n]) = 2 AND p[n - 1] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 WHEN n >= 2 THEN 1 END AS other FROM p LEFT JOIN m ON p.host = m.host)
+SELECT host, array_to_string(p[n - coalesce(k, other) :], '.') AS registrable_domain, p[n - coalesce(k, other)] AS registrable_label, array_to_string(p[n - coalesce(k, other) + 1 :], '.') AS public_suffix FROM f""",
+)
+def prj04_rules(spark, d):
+    """Registrable domains by suffix rules with wildcards and exceptions."""
+    more = spark.createDataFrame([(h,) for h in _RULED_HOSTS], "host string")
+    hosts = V.host(spark, d).select("host").filter("host <> ''").unionByName(more).distinct()
+    return registrable_parts(hosts, spark.createDataFrame([(r,) for r in _RULES], "rule string"), "host").select("host", "registrable_domain", "registrable_label", "public_suffix")
+
+
 @query("PRJ05_looks_like_domain", _with_parts("SELECT name, name = array_to_string(p[CASE WHEN two THEN -3 ELSE -2 END:], '.') AS is_domain FROM t"))
 def prj05(spark, d):
     return V.zone_today(spark, d).select("name", (F.col("name") == L.registrable_domain(F.col("name"))).alias("is_domain"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..operators import lake as O
 from ..operators import reports as R
+from ..sources import zones as Z
+from ..streaming import jobs as J
 from . import views as V
-from .register import query
+from .register import SQL, query
 
 _NOW = f"TIMESTAMP '{V.AS_OF} 00:00:00'"
 _DAY = f"DATE '{V.AS_OF}'"
@@ -335,9 +338,11 @@ _SNAP = f"snap AS (SELECT match_id, {_SCORE} AS score, CASE WHEN list_contains(c
 
 
 def _snapshots(spark, d):
-    from ..functions import labels as L
+    return _snapshots_of(_last_signals(spark, d))
 
-    s = _last_signals(spark, d).groupBy("match_id").agg(F.array_sort(F.collect_list("code")).alias("codes"), F.sum("adjustment").alias("total"))
+
+def _snapshots_of(signals):
+    s = signals.groupBy("match_id").agg(F.array_sort(F.collect_list("code")).alias("codes"), F.sum("adjustment").alias("total"))
     has = lambda c: F.array_contains("codes", c)
     risk = F.when(has("credential_collection_surface"), "critical").when(has("recent_registration"), "high").when(F.size("codes") > 0, "medium").otherwise("low")
     score = L.round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") + 0.4)))
@@ -346,7 +351,11 @@ def _snapshots(spark, d):
 
 @query("JOB10_match_state", _with_signals("SELECT 1").removesuffix(" SELECT 1") + f", {_SNAP} SELECT match_id, score, risk, codes, CASE WHEN score >= 0.8 THEN 'immediate_attention' WHEN score >= 0.48 THEN 'defensive_gap' ELSE 'watchlist' END AS bucket FROM snap")
 def job10(spark, d):
-    return _snapshots(spark, d).withColumn("bucket", F.when(F.col("score") >= 0.8, "immediate_attention").when(F.col("score") >= 0.48, "defensive_gap").otherwise("watchlist"))
+    return _with_bucket(_snapshots(spark, d))
+
+
+def _with_bucket(snapshots):
+    return snapshots.withColumn("bucket", F.when(F.col("score") >= 0.8, "immediate_attention").when(F.col("score") >= 0.48, "defensive_gap").otherwise("watchlist"))
 
 
 @query("FN28_derived_score", _with_signals("SELECT 1").removesuffix(" SELECT 1") + f", {_SNAP} SELECT match_id, score FROM snap")
@@ -427,9 +436,50 @@ def fn26(spark, d):
     return _snapshots(spark, d).select("match_id", F.sha2(F.concat_ws("|", "codes", "risk", F.floor(F.col("score") * 10000 + 0.5).cast("string")), 256).alias("fingerprint"))
 
 
-@query("STR03_windowed_event_counts", V.sql("SELECT tool_name, time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n FROM event GROUP BY ALL", "event"))
+@query("STR02_event_state_stream", SQL["JOB10_match_state"])
+def str02(spark, d):
+    """Events arrive in two parts, the newer ones first and a third of them twice; the state of each match is that of the batch job."""
+    source, target, checkpoint = (Z.scratch(spark, n) for n in ("events", "match-states", "stream"))
+    e = V.event(spark, d).select("id", "match_id", F.col("created_at").cast("timestamp").alias("created_at"), "code", "severity", "score_adjustment")
+    for part in (F.col("id") % 3 > 0, F.col("id") % 3 < 2):
+        e.filter(part).write.mode("append").parquet(source)
+        J.run_into(J.newest_signals(spark.readStream.schema(e.schema).parquet(source)), target, checkpoint, lambda signals: _with_bucket(_snapshots_of(signals))).awaitTermination()
+    return J.latest_rows(spark, target, "match_id long, score double, risk string, codes string, bucket string", ["match_id"])
+
+
+# Events of the first days that come only with the second part: they are late.
+_LATE, _PART = "2024-01-19", "2024-01-20"
+_ON_TIME = f"SELECT * FROM event WHERE NOT (id % 50 = 0 AND created_at < TIMESTAMP '{_LATE}')"
+
+
+def _windows(spark, e, keys: tuple[str, ...], slide: str | None):
+    """Hourly counts by a stream that gets e in two parts: the first one holds what came before _PART, without the late rows."""
+    source, target, checkpoint = (Z.scratch(spark, n) for n in ("events", "counts", "stream"))
+    e = e.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    day = lambda x: F.lit(x).cast("timestamp")
+    first = (F.col("created_at") < day(_PART)) & ~((F.col("id") % 50 == 0) & (F.col("created_at") < day(_LATE)))
+    for part in (first, ~first):
+        e.filter(part).write.mode("append").parquet(source)
+        J.run_into(J.windowed_counts(spark.readStream.schema(e.schema).parquet(source), slide=slide, keys=keys), target, checkpoint).awaitTermination()
+    types = ", ".join(f"{k} {e.schema[k].dataType.simpleString()}" for k in keys)
+    return J.latest_rows(spark, target, f"{types}, start timestamp, n long", [*keys, "start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("STR03_windowed_event_counts", V.sql(f"SELECT tool_name, time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n FROM ({_ON_TIME}) GROUP BY ALL", "event"))
 def str03(spark, d):
-    return V.event(spark, d).groupBy("tool_name", F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    """Tumbling windows; events that come late are left out."""
+    return _windows(spark, V.event(spark, d).select("id", "tool_name", "created_at"), ("tool_name",), None)
+
+
+_SLIDING = f"""SELECT organization_id, tool_type, start, count(*) AS n FROM (SELECT organization_id, tool_type, time_bucket(INTERVAL 20 MINUTE, created_at) - INTERVAL 20 MINUTE * unnest(range(3)) AS start
+  FROM ({_ON_TIME.replace('FROM event', 'FROM execution')})) GROUP BY ALL"""
+
+
+@query("STA16_rate_window_stream", V.sql(_SLIDING, "execution"))
+def sta16_stream(spark, d):
+    """Tool runs of an organisation in sliding hours, every twenty minutes."""
+    e = V.execution(spark, d).select("id", "organization_id", "tool_type", "created_at")
+    return _windows(spark, e, ("organization_id", "tool_type"), "20 minutes")
 
 
 @query("SRC21_alert_payload", V.sql("SELECT tool_name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at DESC, id DESC) FILTER (WHERE r <= 20) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY tool_name ORDER BY created_at DESC, id DESC) AS r FROM event) GROUP BY tool_name", "event"))

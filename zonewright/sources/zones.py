@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,43 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("text").load(path).select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"))
 
 
+def read_zone_files(spark: SparkSession, path: str | list[str], tld: str = r"tld=([^/]+)/") -> DataFrame:
+    """(value, tld): the lines of zone files, gzipped or not, with the ending that stands in each file's path.
+
+    A compressed file can't be split: one task reads it, line by line, never whole.
+    """
+    rows = spark.read.format("text").load(path).select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"), F.regexp_extract("_metadata.file_path", tld, 1).alias("tld"))
+    return rows.filter("tld <> ''")
+
+
+def write_zone_files(lines: DataFrame, path: str) -> None:
+    """Lines (value, tld) as gzipped text, in a folder for each ending."""
+    lines.select("value", "tld").write.partitionBy("tld").option("compression", "gzip").text(path)
+
+
+def stage_buckets(names: DataFrame, path: str, buckets: int, bucket: Callable[[Column, int], Column]) -> None:
+    """Names in a folder for each hash bucket, so that a later step takes one at a time. Each is written by one task."""
+    names.withColumn("shard", bucket(F.col("name"), buckets)).repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, modified, bytes) of all files below a folder; none is opened."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+#: What a file loaded leaves behind: where it belongs, and how and when its load ended.
+CHECKPOINT = "source string, tld string, snapshot_date string, partition string, shard_key string, status string, loaded_at timestamp"
+
+
+def pending_files(files: DataFrame, checkpoints: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Files (source, tld, snapshot_date, partition, shard_key) that no run has completed within the last hours, whichever run it was."""
+    since = now - F.make_dt_interval(hours=F.lit(hours))
+    done = checkpoints.filter((F.col("status") == "completed") & (F.col("loaded_at") > since))
+    keys = ["source", "tld", "snapshot_date", "partition", "shard_key"]
+    return files.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
 def zone_names(lines: DataFrame, tld: Column) -> DataFrame:
     """Distinct owner names of a zone below tld: comments, wildcards and the apex are left out.
 

@@ -6,9 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DELTA = "name string, tld string, label string, added_day int"
 
@@ -89,17 +91,56 @@ def _make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
-def fold_touched(events: DataFrame, all_events: Callable[[], DataFrame], fold: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Recomputes the state of the matches that a batch of events touches."""
+#: Events of a match that its state is folded from, newest first.
+NEWEST = 200
+SIGNAL = "match_id long, code string, severity string, adjustment double"
 
-    def update(batch: DataFrame, epoch: int) -> None:
-        touched = batch.select("match_id").distinct()
-        write(fold(all_events().join(touched, "match_id", "left_semi")), epoch)
 
-    return events.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def newest_signals(events: DataFrame, newest: int = NEWEST) -> DataFrame:
+    """(match_id, code, severity, adjustment): the latest signal of each code among the newest events of every match that a batch touches.
+
+    The state of a match is those events themselves, at most `newest`: what comes late takes its place by time and id, what comes again is known
+    by its id, and what is older than all that are kept changes nothing. So the outcome doesn't depend on the order of arrival.
+    events: id, match_id, created_at (timestamp), code, severity, score_adjustment. Rows without match_id fold into a match of their own.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {e[1]: e for e in (json.loads(state.get[0]) if state.exists else [])}
+        for b in batches:
+            for e in zip(b["at"].tolist(), b["id"].tolist(), b["code"].tolist(), b["severity"].tolist(), b["score_adjustment"].tolist(), strict=True):
+                held.setdefault(e[1], list(e))
+        kept = sorted(held.values(), key=lambda e: (e[0], e[1]), reverse=True)[:newest]
+        state.update((json.dumps(kept),))
+        latest: dict[str, list] = {}
+        for e in kept:
+            latest.setdefault(e[2], e)
+        yield pd.DataFrame({"match_id": [key[0]] * len(latest), "code": list(latest), "severity": [e[3] for e in latest.values()], "adjustment": [e[4] for e in latest.values()]})
+
+    rows = events.select("match_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "code", "severity", "score_adjustment")
+    return rows.groupBy("match_id").applyInPandasWithState(fold, SIGNAL, "events string", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_into(rows: DataFrame, target: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Runs a streaming query over what is there; each batch's changed rows go to a folder of their own, which a repeated batch replaces."""
+    spark = rows.sparkSession
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        write_batch(derive(batch), target, stream, epoch)
+
+    with _settings(spark, STATE_STORE):
+        return rows.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_rows(spark: SparkSession, target: str, schema: str, keys: list[str]) -> DataFrame:
+    """What run_into has written: the row of each key from the last batch that changed it."""
+    rows = spark.read.schema(f"{schema}, stream string, batch long").parquet(target)
+    others = [c for c in rows.columns if c not in (*keys, "stream", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__x")).select(*keys, "__x.*")
 
 
-def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Events per tool and hour; rows later than the watermark are left out."""
-    w = F.window("created_at", width)
-    return events.withWatermark("created_at", late).groupBy("tool_name", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("tool_name", F.col("w.start").alias("start"), "n")
+def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour", slide: str | None = None, keys: tuple[str, ...] = ("tool_name",)) -> DataFrame:
+    """Events for each key and window, tumbling or sliding. An event whose window had ended before the newest event of earlier batches, less `late`,
+    comes too late and is left out; windows that ended before then leave the state."""
+    w = F.window("created_at", width, slide)
+    return events.withWatermark("created_at", late).groupBy(*keys, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("start"), "n")

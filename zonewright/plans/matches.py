@@ -63,25 +63,6 @@ def srt12(spark, d):
     return scan(spark, d).filter((F.col("attention_bucket") != "watchlist") & (_review() != "dismissed")).orderBy(F.desc("score_final"), "name", "brand_id").limit(50).select("brand_id", "name", "score_final")
 
 
-@query("STA15_fingerprint_trigger", with_scan(f"SELECT brand_id, name, sha256(name || '|' || risk_level) AS fingerprint, CASE WHEN {_SHARD} < 2 THEN true ELSE added_day < 20240124 END AS again FROM best"))
-def sta15(spark, d):
-    """Assess again where the fingerprint changed, was never taken, or is older than seven days."""
-    now = F.sha2(F.concat_ws("|", "name", "risk_level"), 256)
-    shard = L.stable_shard(F.col("name"), 4)
-    before = F.when(shard == 0, F.lit(None)).when(shard == 1, F.sha2(F.concat_ws("|", "name", F.lit("none")), 256)).otherwise(now)
-    old = (shard >= 2) & (F.datediff(F.lit(V.AS_OF).cast("date"), L.int_date(F.col("added_day"))) > 7)
-    return scan(spark, d).select("brand_id", "name", now.alias("fingerprint"), (before.isNull() | (before != now) | old).alias("again"))
-
-
-@query("STA20_review_actions", with_scan(f"SELECT brand_id, name, {_REVIEW_SQL} AS status, {_REVIEW_SQL} = 'dismissed' AS self_owned FROM best"))
-def sta20(spark, d):
-    """The latest action of each match wins; marking one as owned dismisses it."""
-    m = scan(spark, d).select("brand_id", "name")
-    actions = m.select("brand_id", "name", F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("new").alias("status")), F.struct(F.lit(2).alias("at"), _review().alias("status")))).alias("x"))
-    last = actions.groupBy("brand_id", "name").agg(F.max_by("x.status", "x.at").alias("status"))
-    return m.join(last, ["brand_id", "name"]).select("brand_id", "name", "status", (F.col("status") == "dismissed").alias("self_owned"))
-
-
 @query("FN20_search_final_score", _with_seeds("SELECT name, CASE CAST(added_day % 3 AS INTEGER) WHEN 0 THEN greatest(f, t) WHEN 1 THEN f ELSE t END AS score FROM (SELECT name, added_day, length(label) / 63.0 AS f, CASE WHEN starts_with(label, 'th') THEN 1.0 ELSE 0.0 END AS t FROM n)"))
 def fn20(spark, d):
     fuzzy, typo = F.length("label") / 63.0, F.when(F.startswith("label", F.lit("th")), 1.0).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators import candidates as C
+from ..operators.ranks import budget_rank
 from ..operators.suffixes import registrable_parts
 from . import views as V
 from .register import query
@@ -534,30 +535,29 @@ def jon08(spark, d):
     return V.brand(spark).select("brand_id").join(m, "brand_id", "left").groupBy("brand_id").agg(F.count("name").alias("matches"), F.count_if(F.col("attention_bucket") == "immediate_attention").alias("immediate"), F.max("score_final").alias("top_score"))
 
 
-_BUDGET = """t AS (SELECT brand_id, name, attention_bucket, row_number() OVER (PARTITION BY brand_id, attention_bucket = 'immediate_attention' ORDER BY CASE WHEN attention_bucket = 'immediate_attention' THEN 0 WHEN attention_bucket = 'defensive_gap' AND score_final >= 0.72 THEN 1 WHEN attention_bucket = 'defensive_gap' THEN 2 ELSE 3 END, act4 DESC, score_final DESC, name) AS r,
-  count(*) FILTER (WHERE attention_bucket = 'immediate_attention') OVER (PARTITION BY brand_id) AS n FROM (SELECT *, """ + _Q4.format("act") + """ AS act4 FROM best))"""
+_BUDGET = f"""a AS (SELECT brand_id, name, attention_bucket = 'immediate_attention' AS now, {_Q4.format("act")} AS act4, score_final, CASE WHEN {V._SHARD.format("name", 7)} = 0 OR {V._SHARD.format("name", 5)} = 0 THEN 9
+  WHEN attention_bucket = 'immediate_attention' THEN 0 WHEN added_day = 20240131 THEN 1 WHEN attention_bucket = 'defensive_gap' THEN 2 WHEN attention_bucket = 'watchlist' AND score_final > 0.55 THEN 3
+  WHEN {V._SHARD.format("name", 3)} = 0 OR added_day < 20240124 THEN 4 ELSE 5 END AS tier FROM best),
+t AS (SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY tier, act4 DESC NULLS LAST, score_final DESC, name) AS r FROM a),
+g AS (SELECT brand_id, name, CASE WHEN tier = 0 OR (tier < 9 AND r <= 50) THEN r END AS budget_rank FROM t)"""
 
 
-@query("WIN04_budget_rank", with_scan("SELECT 1").removesuffix(" SELECT 1") + f", {_BUDGET} SELECT brand_id, name, CAST(CASE WHEN attention_bucket = 'immediate_attention' THEN r WHEN r <= 50 - n THEN n + r END AS BIGINT) AS budget_rank FROM t")
-def win04(spark, d):
-    return budget_rank(scan(spark, d), 50).select("brand_id", "name", "budget_rank")
-
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The scan's matches by enrichment budget: a seventh are settled, a fifth dismissed, a third never enriched, the others when they were added."""
+    day, shard = L.int_date(F.col("added_day")), lambda n: L.stable_shard(F.col("name"), n)
+    m = scan(spark, d).withColumns({"auto_disposition": F.when(shard(7) == 0, "self_owned"), "disposition": F.when(shard(5) == 0, "dismissed").otherwise("inconclusive"), "first_detected": day, "last_enriched": F.when(shard(3) != 0, day)})
+    return budget_rank(m, 50, as_of())
 
-def budget_rank(matches: DataFrame, limit: int) -> DataFrame:
-    """budget_rank 1..n for matches that need attention at once, then others by tier up to `limit`; null beyond."""
-    from pyspark.sql import Window
 
-    now = F.col("attention_bucket") == "immediate_attention"
-    gap = F.col("attention_bucket") == "defensive_gap"
-    tier = F.when(now, 0).when(gap & (F.col("score_final") >= 0.72), 1).when(gap, 2).otherwise(3)
-    w = Window.partitionBy("brand_id", now).orderBy(tier, F.desc("actionability_score"), F.desc("score_final"), "name")
-    r = matches.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count_if(now).over(Window.partitionBy("brand_id")))
-    return r.withColumn("budget_rank", F.when(now, F.col("__r")).when(F.col("__r") <= limit - F.col("__n"), F.col("__n") + F.col("__r")).cast("long")).drop("__r", "__n")
+@query("WIN04_budget_rank", with_scan("SELECT 1").removesuffix(" SELECT 1") + f", {_BUDGET} SELECT * FROM g")
+def win04(spark, d):
+    return _ranked(spark, d).select("brand_id", "name", "budget_rank")
 
 
-@query("SRT11_ranked_fetch", with_scan("SELECT 1").removesuffix(" SELECT 1") + f", {_BUDGET} SELECT brand_id, name, CAST(b AS BIGINT) AS budget_rank FROM (SELECT brand_id, name, CASE WHEN attention_bucket = 'immediate_attention' THEN r WHEN r <= 50 - n THEN n + r END AS b FROM t) WHERE b <= 10")
+@query("SRT11_ranked_fetch", with_scan("SELECT 1").removesuffix(" SELECT 1") + f", {_BUDGET} SELECT * FROM g WHERE budget_rank <= 10")
 def srt11(spark, d):
-    return budget_rank(scan(spark, d), 50).filter("budget_rank <= 10").select("brand_id", "name", "budget_rank")
+    return _ranked(spark, d).filter("budget_rank <= 10").select("brand_id", "name", "budget_rank")
+
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

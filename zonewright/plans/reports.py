@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import lake as O
 from ..operators import reports as R
+from ..operators import reviews as W
 from ..sources import zones as Z
 from ..streaming import jobs as J
 from . import views as V
@@ -312,9 +313,13 @@ def _with_signals(select: str) -> str:
 
 
 def _last_signals(spark, d):
+    return _last_signals_of(V.event(spark, d))
+
+
+def _last_signals_of(events):
     """The latest signal of each code among a match's newest 200 events."""
     w = Window.partitionBy("match_id").orderBy(F.desc("created_at"), F.desc("id"))
-    top, o = V.event(spark, d).withColumn("n", F.row_number().over(w)).filter("n <= 200"), F.struct("created_at", "id")
+    top, o = events.withColumn("n", F.row_number().over(w)).filter("n <= 200"), F.struct("created_at", "id")
     return top.groupBy("match_id", "code").agg(F.max_by("severity", o).alias("severity"), F.max_by("score_adjustment", o).alias("adjustment"))
 
 
@@ -436,6 +441,58 @@ def fn26(spark, d):
     return _snapshots(spark, d).select("match_id", F.sha2(F.concat_ws("|", "codes", "risk", F.floor(F.col("score") * 10000 + 0.5).cast("string")), 256).alias("fingerprint"))
 
 
+_BUCKET_SQL = "CASE WHEN score >= 0.8 THEN 'immediate_attention' WHEN score >= 0.48 THEN 'defensive_gap' ELSE 'watchlist' END"
+_PRINT_SQL = "sha256(codes || '|' || risk || '|' || CAST(CAST(floor(score * 10000 + 0.5) AS BIGINT) AS VARCHAR))"
+_CUT = "2024-01-27"
+_EARLIER = f"{_EV}, {_SNAP}".replace("last_signal", "last_earlier").replace("signals", "earlier").replace("snap AS", "snap_earlier AS").replace("FROM event", "FROM event_earlier")
+
+
+def _fingerprints(spark, events):
+    s = _with_bucket(_snapshots_of(_last_signals_of(events)))
+    return s.select("match_id", "bucket", F.sha2(F.concat_ws("|", "codes", "risk", F.floor(F.col("score") * 10000 + 0.5).cast("string")), 256).alias("fingerprint"))
+
+
+@query(
+    "STA15_fingerprint_trigger",
+    _with_signals("SELECT 1").removesuffix(" SELECT 1")
+    + f""", {_SNAP}, event_earlier AS (SELECT * FROM event WHERE created_at < TIMESTAMP '{_CUT}'), {_EARLIER},
+seen AS (SELECT match_id, {_PRINT_SQL} AS seen, derived_at FROM snap_earlier JOIN (SELECT match_id, max(created_at) AS derived_at FROM event_earlier GROUP BY match_id) USING (match_id) WHERE match_id % 3 <> 0),
+now AS (SELECT match_id, {_BUCKET_SQL} AS bucket, {_PRINT_SQL} AS fingerprint FROM snap)
+SELECT n.match_id, bucket, fingerprint, bucket <> 'watchlist' AND (seen IS NULL OR seen <> fingerprint OR derived_at < {_NOW} - INTERVAL 7 DAY) AS again FROM now n LEFT JOIN seen s ON n.match_id = s.match_id""",
+)
+def sta15(spark, d):
+    """States from all events against assessments of two thirds of the matches some days before."""
+    e = V.event(spark, d)
+    earlier = e.filter(F.col("created_at") < F.lit(_CUT).cast("timestamp_ntz"))
+    derived = earlier.groupBy("match_id").agg(F.max("created_at").alias("derived_at"))
+    assessed = _fingerprints(spark, earlier).filter("match_id % 3 <> 0").join(derived, "match_id").withColumnRenamed("fingerprint", "seen")
+    return W.needs_assessment(_fingerprints(spark, e), assessed, now()).select("match_id", "bucket", "fingerprint", "again")
+
+
+_ACTIONS = """act AS (SELECT id AS action_id, match_id, created_at AS done, CASE WHEN k % 10 = 3 THEN 'owned' ELSE 'status' END AS action, (['new', 'dismissed', 'confirmed_threat', NULL, 'reviewing'])[k % 10 + 1] AS status,
+  CASE WHEN id % 4 <> 0 THEN 'user' || (match_id % 7) END AS reviewer, CASE WHEN id % 6 = 0 THEN 'note ' || id END AS notes, id % 2 = 0 AS add_to_profile FROM event WHERE k % 10 < 5)"""
+
+
+def _actions(spark, d):
+    """Half of the events as what reviewers did."""
+    k, e = F.col("k") % 10, V.event(spark, d).filter("k % 10 < 5")
+    return e.select(
+        F.col("id").alias("action_id"), "match_id", F.col("created_at").alias("at"), F.when(k == 3, "owned").otherwise("status").alias("action"), V._pick(("new", "dismissed", "confirmed_threat", None, "reviewing"), k).alias("status"),
+        F.when(F.col("id") % 4 != 0, F.concat(F.lit("user"), (F.col("match_id") % 7).cast("string"))).alias("reviewer"), F.when(F.col("id") % 6 == 0, F.concat(F.lit("note "), F.col("id").cast("string"))).alias("notes"), (F.col("id") % 2 == 0).alias("add_to_profile"),
+    )
+
+
+@query(
+    "STA20_review_actions",
+    V.sql("SELECT 1", "event").removesuffix(" SELECT 1")
+    + f""", {_ACTIONS} SELECT match_id, arg_max(CASE WHEN action = 'owned' THEN 'dismissed' ELSE status END, (done, action_id)) AS status, bool_or(action = 'owned') AS self_owned,
+  CASE WHEN bool_or(action = 'owned') THEN 'confirmed_owned' END AS ownership, CASE WHEN bool_or(action = 'owned') THEN 'self_owned' END AS auto_disposition, arg_max(reviewer, (done, action_id)) FILTER (WHERE action <> 'owned' AND reviewer IS NOT NULL) AS reviewed_by,
+  max(done) FILTER (WHERE action = 'owned' OR reviewer IS NOT NULL) AS reviewed_at, arg_max(notes, (done, action_id)) FILTER (WHERE action <> 'owned' AND notes IS NOT NULL) AS notes FROM act GROUP BY match_id""",
+)
+def sta20(spark, d):
+    return W.fold_actions(_actions(spark, d))
+
+
 @query("STR02_event_state_stream", SQL["JOB10_match_state"])
 def str02(spark, d):
     """Events arrive in two parts, the newer ones first and a third of them twice; the state of each match is that of the batch job."""

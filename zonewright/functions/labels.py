@@ -35,8 +35,12 @@ def trigrams(x: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the trigram sets; 0 where both are empty."""
-    both = F.struct(trigrams(a).alias("x"), trigrams(b).alias("y"))
-    sizes = once(both, lambda g: F.struct(F.size(F.array_intersect(g["x"], g["y"])).alias("both"), (F.size(g["x"]) + F.size(g["y"])).alias("all")))
+    return once(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), lambda g: set_similarity(g["x"], g["y"]))
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; 0 where both are empty."""
+    sizes = F.struct(F.size(F.array_intersect(x, y)).alias("both"), (F.size(x) + F.size(y)).alias("all"))
     return once(sizes, lambda n: F.when(n["all"] == 0, F.lit(0.0)).otherwise(n["both"] / (n["all"] - n["both"])))
 
 

@@ -276,8 +276,10 @@ def scored(candidates: DataFrame, seeds: DataFrame, as_of: Column, shown: Column
         s = S.signals(F.col("__shown"), F.col("seed_value"), F.col("keywords"), F.col("sim"), F.col("__plain"))
     else:
         s = S.signals(F.col("label"), F.col("seed_value"), F.col("keywords"), F.col("sim"))
-    base = L.round4(S.composite(s))
-    c = c.select("*", base.alias("base"), s.edit.alias("score_levenshtein"), s.brand.alias("score_brand_hit"), s.keyword.alias("score_keyword"), s.homograph.alias("score_homograph"), S.reasons(s).alias("reasons"))
+    # The signals become columns before rules use them, which is often.
+    c = c.select("*", s.trigram.alias("__t"), s.edit.alias("score_levenshtein"), s.brand.alias("score_brand_hit"), s.keyword.alias("score_keyword"), s.homograph.alias("score_homograph"), s.exact.alias("__x"))
+    s = S.Signals(*[F.col(x) for x in ("__t", "score_levenshtein", "score_brand_hit", "score_keyword", "score_homograph", "__x")])
+    c = c.select("*", L.round4(S.composite(s)).alias("base"), S.reasons(s).alias("reasons")).drop("__t", "__x")
     c = c.withColumn("score_final", L.round4(S.seeded_score(F.col("base"), F.col("base_weight"), F.col("channel_scope"))))
     c = c.withColumn("risk_level", S.seeded_risk(F.col("score_final"), F.col("reasons"), F.col("channel_scope")))
     c = c.withColumn("matched_channel", F.when(F.col("seed_type") == "domain_label", "registrable_domain").otherwise("associated_brand"))
@@ -295,9 +297,11 @@ def best_per_domain(matches: DataFrame) -> DataFrame:
 def brand_scan(names: DataFrame, seeds: DataFrame, as_of: Column, official: DataFrame | None = None, limit: int | None = None, variants: DataFrame | None = None) -> DataFrame:
     """All brands and endings in one job: fuzzy, typo and exact candidates, scored, above the brand's threshold,
     the best match of each name. variants: seed_value and variant, for the typo ring."""
-    plain = without_subdomains(names)
+    plain = without_subdomains(names).select("name", "tld", "label", "added_day")
     if official is not None:
         plain = plain.join(official, "name", "left_anti")
+    # Every ring reads the names: they are brought together once.
+    plain = Z.stored(plain, "scanned-names")
     fuzzy = seeds.filter(F.col("seed_type").isin("domain_label", "brand_primary", "brand_alias", "brand_phrase")).select("seed_value").distinct()
     others = seeds.filter(~F.col("seed_type").isin("domain_label", "brand_primary", "brand_alias", "brand_phrase")).select("seed_value").distinct()
     ring = trigram_candidates(plain, fuzzy).unionByName(substring_candidates(plain, fuzzy))

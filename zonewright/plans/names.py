@@ -42,7 +42,7 @@ _LIMIT = "CASE WHEN length({0}) <= 5 THEN 0.55 WHEN length({0}) <= 8 THEN 0.45 E
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every plain name with every brand: five brands."""
-    return C.without_subdomains(V.zone_today(spark, d)).crossJoin(F.broadcast(V.brand(spark)))
+    return C.without_subdomains(V.zone_today(spark, d)).crossJoin(C.few(V.brand(spark)))
 
 
 _PAIRS = "p AS (SELECT z.*, b.* FROM zone_today z, brand b WHERE NOT contains(label, '.'))"
@@ -54,7 +54,10 @@ def _with_pairs(select: str) -> str:
 
 @query("FN01_trigram_similarity", _with_pairs(f"SELECT name, brand_id, {_sim('label', 'brand_label')} AS sim FROM p"))
 def fn01(spark, d):
-    return _pairs(spark, d).select("name", "brand_id", L.trigram_similarity(F.col("label"), F.col("brand_label")).alias("sim"))
+    """The set of a name is made once, not for each brand."""
+    names = C.without_subdomains(V.zone_today(spark, d)).select("name", L.trigrams(F.col("label")).alias("x"))
+    brands = V.brand(spark).select("brand_id", L.trigrams(F.col("brand_label")).alias("y"))
+    return names.crossJoin(C.few(brands)).select("name", "brand_id", L.set_similarity(F.col("x"), F.col("y")).alias("sim"))
 
 
 @query("FN02_levenshtein", _with_pairs("SELECT name, brand_id, CAST(levenshtein(label, brand_label) AS INTEGER) AS distance FROM p"))
@@ -447,7 +450,7 @@ def gen08(spark, d):
 
 @query("JON19_brand_tld_cross", V.sql("SELECT brand_id, tld FROM brand, (SELECT DISTINCT tld FROM zone_today)", "zone_today", "brand"))
 def jon19(spark, d):
-    return V.zone_today(spark, d).select("tld").distinct().crossJoin(F.broadcast(V.brand(spark).select("brand_id")))
+    return V.zone_today(spark, d).select("tld").distinct().crossJoin(C.few(V.brand(spark).select("brand_id")))
 
 
 @query("FLT11_effective_tlds", V.sql("SELECT brand_id, t.tld FROM brand b, (SELECT DISTINCT tld FROM zone_today) t WHERE brand_id % 2 = 0 OR t.tld = 'com'", "zone_today", "brand"))
@@ -455,7 +458,7 @@ def flt11(spark, d):
     """An empty scope stands for all endings."""
     scope = F.when(F.col("brand_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("com")))
     b, t = V.brand(spark).select("brand_id", scope.alias("scope")), V.zone_today(spark, d).select("tld").distinct()
-    return t.join(F.broadcast(b), (F.size("scope") == 0) | F.array_contains("scope", F.col("tld"))).select("brand_id", "tld")
+    return t.join(C.few(b), (F.size("scope") == 0) | F.array_contains("scope", F.col("tld"))).select("brand_id", "tld")
 
 
 _SCAN = f"""m0 AS (SELECT u.name, u.tld, u.label, u.added_day, u.seed_value, u.sim AS trigram, s.seed_type, s.channel_scope, s.base_weight, s.brand_id, s.brand_label AS owner, s.keywords, s.noise_mode, s.seed_value AS brand_label FROM u JOIN seed s ON u.seed_value = s.seed_value),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from zonewright.functions import labels as L
 from zonewright.operators import candidates as C
+from zonewright.operators.postings import Postings
 
 NAMES = "name string, tld string, label string, added_day int"
 
@@ -49,6 +50,35 @@ def test_trigram_join(spark, broadcast):
     assert all(abs(want[r.name, r.seed_value] - r.sim) < 1e-12 for r in got)
 
 
+def test_posting_lists_follow_the_days(spark, tmp_path, broadcast):
+    rng = np.random.default_rng(10)
+    every, seeds = words(rng, 900), words(rng, 80)
+    first, second, gone = every[:600], every[600:], every[::7]
+    index = Postings.create(zone(spark, first), str(tmp_path / "index"))
+    index.add(zone(spark, first), 1)
+    index.add(zone(spark, second), 2)
+    index.add(zone(spark, second), 2)
+    index.remove(zone(spark, gone), 3)
+    # One that was gone comes back.
+    index.add(zone(spark, gone[:5]), 4)
+    left = (set(every) - set(gone)) | set(gone[:5])
+    s = spark.createDataFrame([(x,) for x in seeds], "seed_value string")
+    got = Postings(spark, index.path, index.least).candidates(s).collect()
+    want = {(f"{x}.com", y) for x in left for y in seeds if similarity(x, y) >= threshold(y)}
+    assert len(got) == len(want) > 100 and {(r.name, r.seed_value) for r in got} == want
+    assert index.candidates(s.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        index.candidates(s, F.lit(0.1))
+
+
+def test_a_search_opens_the_folders_of_its_trigrams(spark, tmp_path):
+    index = Postings.create(zone(spark, words(np.random.default_rng(11), 500)), str(tmp_path / "index"))
+    index.add(zone(spark, words(np.random.default_rng(11), 500)), 1)
+    found = index.candidates(spark.createDataFrame([("paybank",)], "seed_value string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_trigram_join_without_rows(spark):
     z, none = zone(spark, ["abc"]), spark.createDataFrame([], "seed_value string")
     assert C.trigram_candidates(z, none).collect() == [] and C.substring_candidates(z, none).collect() == []

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators import candidates as C
+from ..operators import lake as O
+from ..operators.postings import Postings
 from ..operators.ranks import budget_rank
 from ..operators.suffixes import registrable_parts
+from ..sources import zones as Z
 from . import views as V
-from .register import query
+from .register import SQL, query
 
 # Neighbouring keys of each letter.
 KEYS = {
@@ -358,6 +361,17 @@ def jon05(spark, d):
     return C.trigram_candidates(names, _seeds(spark, d).select("seed_value").distinct()).select("name", "seed_value", "sim")
 
 
+@query("JON05_trigram_postings", SQL["JON05_trigram_similarity_join"])
+def jon05_postings(spark, d):
+    """The same from posting lists of yesterday's names, to which today's delta is added and those gone are noted."""
+    today, yesterday = (C.without_subdomains(z(spark, d)) for z in (V.zone_today, V.zone_yesterday))
+    index = Postings.create(yesterday, Z.scratch(spark, "postings"))
+    index.add(yesterday, 1)
+    index.add(O.added(today, yesterday), 2)
+    index.remove(O.removed(today, yesterday), 2)
+    return index.candidates(_seeds(spark, d).select("seed_value")).select("name", "seed_value", "sim")
+
+
 @query("JON06_substring_join", _with_seeds("SELECT n.name, s.seed_value FROM n JOIN (SELECT DISTINCT seed_value FROM seed) s ON contains(n.label, s.seed_value)"))
 def jon06(spark, d):
     names = C.without_subdomains(V.zone_today(spark, d))

@@ -1,5 +1,6 @@
 """Brute force and edge cases for operators on documents."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -151,56 +152,96 @@ def test_rare_toxic_words_count(spark):
     assert sum(r.predicted for r in got if r.doc_id % 8) < 0.02 * len(got)
 
 
-def test_models_against_brute_force(spark, monkeypatch):
-    """Interpolated bigrams, continuation counts and shared backoff, by dictionaries."""
+def test_models_against_brute_force(spark):
+    """Interpolated bigrams, continuation counts, shared backoff and mixture by dictionaries and loops, with the shipped constants."""
     import zonewright.llm.toxicity as T
 
-    monkeypatch.setattr(T, "EVIDENCE", 2.0)
-    monkeypatch.setattr(T, "PAIR_EVIDENCE", 2.0)
     rng = np.random.default_rng(15)
     texts = []
-    for i in range(60):
-        w = [int(x) for x in rng.integers(1, 40, 25)]
+    for i in range(240):
+        w = [int(x) for x in rng.integers(1, 60, 25)]
+        at = sorted(int(x) for x in rng.choice(23, 2, replace=False))
         if i % 3 == 0:
-            at = int(rng.integers(20))
-            w[at : at + 3] = [100 + i % 4, 7, 8]  # a word that marks the class, and a pair of plain words
+            w[at[0]], w[at[1]], w[at[1] + 1] = 100 + i % 4, 7, 8  # a word that marks the class, and a pair of plain words
+        else:
+            w[at[0]], w[at[1] + 1] = 7, 8
         texts.append((int(i % 3 == 0), w))
     got = T._models(T._pairs(spark.createDataFrame(texts, "t int, h array<long>")))
 
     runs = {(t, z, a, b) for t, w in texts for z, a, b in zip([0, 0, *w], [0, *w], w, strict=False)}
     d = [Counter((a, b) for t, z, a, b in runs if t == c) for c in (0, 1)]
     n = [Counter(b for a, b in d[c]) for c in (0, 1)]
-    kinds = set(n[0]) | set(n[1])
-
-    def marks(x, of, least):
-        return x[1] / of[1] > 2 * x[0] / of[0] and 2 * sum(k * np.log(k / (sum(x) * o / sum(of))) for k, o in zip(x, of, strict=True) if k) > least
+    kinds, pairs = sorted(set(n[0]) | set(n[1])), sorted(set(d[0]) | set(d[1]))
 
     def discount(count):
         ones, twos = (sum(v == k for v in count.values()) for k in (1, 2))
         return ones / (ones + 2 * twos) if ones and twos else 0.75
 
+    def beta(x, y):
+        return math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+
+    def marks(x, shares, width):
+        """Chance of each of x's counts to mark a class, and the likelihood of all."""
+        odds, large = [], []
+        for (k0, k1), s in zip(x, shares, strict=True):
+            large.append(beta(k1 + s * width, k0 + (1 - s) * width) - beta(s * width, (1 - s) * width))
+            odds.append(math.exp(beta(k1 + 0.5, k0 + 0.5) - beta(0.5, 0.5) - large[-1]))
+        prior = 0.01
+        for _ in range(3000):
+            prior = (1 + sum(prior * o / (prior * o + 1 - prior) for o in odds)) / (len(odds) + 2)
+        chance = [prior * o / (prior * o + 1 - prior) for o in odds]
+        return chance, sum(g + math.log(1 - prior + prior * o) for g, o in zip(large, odds, strict=True))
+
     total = [sum(x.values()) for x in n]
-    own = {w for w in kinds if marks([n[0][w], n[1][w]], total, 2.0)}
-    off = [{w: min(n[c][w], discount(n[c])) if w in own else n[c][w] for w in kinds} for c in (0, 1)]
-    mass = sum(sum(o.values()) for o in off) + 0.5 * (len(kinds) + 1)
-    back = [sum(off[c].values()) / total[c] for c in (0, 1)]
-    word = lambda c, w: (n[c][w] - off[c].get(w, 0)) / total[c] + back[c] * (sum(o.get(w, 0) for o in off) + 0.5) / mass
-    both = [sum(x.values()) for x in d]
-    pairs = {p for p in set(d[0]) | set(d[1]) if not own & set(p) and marks([d[0][p], d[1][p]], both, 2.0)}
-    assert own and (7, 8) in pairs and len(got.words) == len(own) and len(got.pairs) == len(pairs)
-    taken = lambda c, p: max(0, d[c][p] - discount(d[c])) if p in pairs else 0
-    context = lambda c, a: sum(v for p, v in d[c].items() if p[0] == a)
+    share = [total[1] / sum(total)] * len(kinds)
+    given = [(n[0][w], n[1][w]) for w in kinds]
+    width = max(np.geomspace(10, 1e6, 26), key=lambda v: marks(given, share, v)[1])
+    chance = dict(zip(kinds, marks(given, share, width)[0], strict=True))
+    own = [{w: max(0, n[c][w] - discount(n[c])) * chance[w] for w in kinds} for c in (0, 1)]
+    left = Counter()
+    for c in (0, 1):
+        left.update({w: n[c][w] - own[c][w] for w in kinds})
+    back = [1 - sum(own[c].values()) / total[c] for c in (0, 1)]
+
+    def word(c, w):
+        return own[c].get(w, 0) / total[c] + back[c] * (left[w] + 0.5) / (sum(left.values()) + 0.5 * (len(kinds) + 1))
+
+    context = [Counter() for _ in d]
+    for c in (0, 1):
+        for (a, _), k in d[c].items():
+            context[c][a] += k
+    part = sum(context[1].values()) / (sum(context[0].values()) + sum(context[1].values()))
+
+    def expected(a, b):
+        odds = (context[1][a] + part) / (context[0][a] + 1 - part) * word(1, b) / word(0, b)
+        return odds / (1 + odds)
+
+    weight = dict(zip(pairs, marks([(d[0][p], d[1][p]) for p in pairs], [expected(*p) for p in pairs], width)[0], strict=True))
+    taken = [{p: max(0, d[c][p] - discount(d[c])) * weight[p] for p in pairs} for c in (0, 1)]
 
     def p_of(c, a, b):
-        if not any(p[0] == a for p in pairs):
-            return word(c, b)
-        here = max(1, context(c, a))
-        rest = max(1e-6, 1 - sum(taken(c, p) for p in pairs if p[0] == a) / here)
-        return max(1e-12, taken(c, (a, b)) / here + rest * word(c, b))
+        here = max(1, context[c][a])
+        rest = 1 - sum(v for p, v in taken[c].items() if p[0] == a) / here
+        return taken[c].get((a, b), 0) / here + rest * word(c, b)
 
-    for w in [w for _, w in texts[:20]] + [[7, 8, 999], [], [8]]:
+    assert len(got.words) == len(kinds) + 1 and len(got.pairs) == len(pairs) and min(chance.values()) > 0
+    assert chance[100] > 0.9 and weight[7, 8] > 0.9 and chance[8] < 0.5
+    for w in [w for _, w in texts[:20]] + [[7, 8, 999], [999, 7], [], [8]]:
         want = sum(np.log(p_of(1, a, b) / p_of(0, a, b)) for a, b in zip([0, *w], w, strict=False)) / max(1, len(w))
-        assert abs(got.differences(np.array(w, np.uint64), np.array([len(w)]))[0] - want) < 1e-9
+        assert abs(got.differences(np.array(w, np.uint64), np.array([len(w)]))[0] - want) < 1e-6
+    # Probabilities of all words and of any other, behind a word of either class, sum to one.
+    for c in (0, 1):
+        assert abs(sum(p_of(c, 7, b) for b in [*kinds, -1]) - 1) < 1e-9
+
+
+def test_toxicity_learns_whole_texts_within_its_bound(spark):
+    """Texts that don't fit are left out as a whole; where no text fits, every score is the class's share."""
+    from zonewright.llm.toxicity import Model, learn
+
+    rows = [(i, ("calm " if i % 2 else "rude ") * (5000 if i == 2 else 20), "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(400)], "doc_id long, toxic int")
+    assert isinstance(learn(docs_of(spark, rows), labels, max_words=4500), Model)
+    assert 0.4 < learn(docs_of(spark, rows), labels, max_words=10) < 0.6
 
 
 def test_toxic_pairs_of_plain_words(spark):

@@ -3,21 +3,29 @@
 Each class has an interpolated bigram model over word hashes. A pair counts as often as it follows different words, so
 that copies and shared passages count once. From its count an absolute discount is taken, and what the discounts of
 a context free goes to the class's continuation model: there a word counts as often as it follows different words,
-less a discount again, and what that frees goes to one backoff model shared by both classes. Discounts come from the counts of counts, n1 / (n1 + 2 n2), of each class and order.
+less a discount again, and what that frees goes to one backoff model that both classes share. Discounts come from
+the counts of counts of each class and order, n1 / (n1 + 2 n2).
 
-Classes are tied where they can't be told apart: only words, and pairs of other words, that the likelihood ratio
-shows to mark toxic texts have counts of their own; all others give all their counts to the next model, in both
-classes. A text's toxic and ordinary log-likelihoods are divided by its length; their difference, through a logistic
-curve fitted on labelled texts that the counts don't hold, is the score.
+Every word and every pair keeps counts of its own. How much of them, beyond the discount, is the chance that its class
+share is another than that of words at large, given its counts in both classes; rare or undecided ones lean on the
+shared counts instead. That chance is from a mixture fitted to the counts of counts of both classes: the class share of
+a word at large comes from a beta distribution about the classes' own, as wide as topics and languages make it,
+that of a word that marks a class from Beta(1/2, 1/2). Width and mixture are the likeliest; no threshold is set. For
+a pair, the share to expect is that of its first word as a context times what the class model says of its second.
 
-The learning sample is bounded: about `max_docs` texts of each class at most, chosen by a hash of doc_id. The curve is
-weighted back to the classes' true shares. Counting is done by Spark; sums and the words and pairs that mark toxic
-texts come to the driver and are broadcast, whatever the texts' length.
+A text's toxic and ordinary log-likelihoods are divided by its length; their difference, through a logistic
+curve, is the score. The curve is fitted on a quarter of the labelled texts by counts of the others; the models that
+score count them all.
+
+The learning sample is bounded: about `max_docs` texts of each class at most, chosen by a hash of doc_id, and of these,
+in the hash's order, whole texts as long as a class's words stay within `max_words`. The curve is weighted back to
+the classes' true shares. Spark counts; the counted pairs, no more than the sample has words, come to the driver,
+and the model that is broadcast has 12 bytes for each of them and 24 for each word.
 
 Defined results: null or empty text has difference 0, and its score is the curve's value there; a doc_id
 that is null or has no label is only scored; of several labels of one doc_id the highest counts, null
 ones don't; repeated rows are learnt and scored as often as they come; with labels of one class alone, or none, every
-score is that class's share; extra columns are carried along.
+score is that class's share, as it is where no text of a class fits the bounds; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -34,9 +42,12 @@ from .common import read, stored, word_hashes
 
 MAX_DOCS = 2500
 THRESHOLD = 0.7
-#: The least likelihood ratio statistics of a toxic word (chance of 0.001) and of a toxic pair (there are more of
-#: them, so 0.0001), and how many times the ordinary rate either has at least.
-EVIDENCE, PAIR_EVIDENCE, RATIO = 11.0, 16.0, 2.0
+#: Words of the learning sample in each class at most.
+MAX_WORDS = 1_250_000
+#: Shape of the class shares of words that mark a class.
+SLAB = 0.5
+#: Widths that are tried for the class shares of words at large, as the total count a beta distribution stands for.
+_WIDTHS = np.geomspace(10.0, 1e6, 26)
 #: Texts of a batch that are scored at a time.
 _TEXTS = 256
 
@@ -48,19 +59,18 @@ def fold(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Both classes' probabilities of what they are told apart by; index 0 is ordinary, 1 toxic.
+    """Logs of how much likelier the toxic class makes what it has seen.
 
-    words: hashes that mark toxic texts, sorted. backoff: the mass that the continuation model leaves to the shared
-    one, from which all other words come. contexts: first words of the pairs that mark toxic texts, sorted, with
-    the mass that is left to the continuation model behind them. pairs: keys of those pairs, sorted."""
+    words: hashes of all words, sorted, with 0 for a text's start. word: of each by the continuation models. context: of
+    what each leaves, as a context, to those. pairs: places of both words as one number, sorted. pair: of each by
+    the bigram models. unseen: of any other word."""
 
     words: np.ndarray
-    word_p: np.ndarray
-    backoff: np.ndarray
-    contexts: np.ndarray
-    context_rest: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
     pairs: np.ndarray
-    pair_p: np.ndarray
+    pair: np.ndarray
+    unseen: float
     slope: float = 1.0
     offset: float = 0.0
     low: float = 0.0
@@ -68,21 +78,19 @@ class Model:
 
     def differences(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood a word, of texts that end at `ends` in h."""
-        ratio = lambda p: np.log(p[1] / p[0])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        each = np.full(len(h), float(ratio(self.backoff)))
-        if len(self.words) and len(h):
-            at, hit = _found(self.words, h)
-            each = np.where(hit, ratio(self.word_p)[at], each)
-        if len(self.pairs) and len(h):
-            before = np.concatenate([h[:1], h[:-1]])
-            before[starts[ends > starts]] = 0
-            at, behind = _found(self.contexts, before)
-            each = np.where(behind, each + ratio(self.context_rest)[at], each)
-            place = np.flatnonzero(behind)
-            at, hit = _found(self.pairs, _pair_key(before[place], h[place]))
-            each[place[hit]] = ratio(self.pair_p)[at[hit]]
-        total = np.concatenate([[0.0], np.cumsum(each)])
+        total = np.zeros(len(h) + 1)
+        if len(h):
+            at, known = _found(self.words, h)
+            before, behind = np.concatenate([at[:1], at[:-1]]), np.concatenate([known[:1], known[:-1]])
+            first = starts[ends > starts]
+            before[first], behind[first] = np.searchsorted(self.words, np.uint64(0)), True
+            each = np.where(known, self.word[at], self.unseen) + np.where(behind, self.context[before], 0.0)
+            place = np.flatnonzero(known & behind)
+            if len(self.pairs):
+                of, hit = _found(self.pairs, before[place] * len(self.words) + at[place])
+                each[place[hit]] = self.pair[of[hit]]
+            np.cumsum(each, out=total[1:])
         return (total[ends] - total[starts]) / np.maximum(1, ends - starts)
 
     def scores(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -96,11 +104,6 @@ def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == h
 
 
-def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-
-
 def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts in a row, and where each text ends."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,17 +117,38 @@ def _by_slices(work: Callable[[np.ndarray, np.ndarray], np.ndarray], h: pa.Array
     return pa.array(np.concatenate([work(*_flat(h.slice(at, _TEXTS))) for at in range(0, len(h), _TEXTS)] or [np.zeros(0)]))
 
 
-def _evidence(n: list[Column], of: list[float]) -> Column:
-    """Likelihood ratio statistic of a word's or pair's counts against the classes' totals; 0 unless it marks toxic texts."""
-    both = n[0] + n[1]
-    term = lambda c: F.when(n[c] > 0, n[c] * F.log(n[c] / (both * of[c] / (of[0] + of[1])))).otherwise(0.0)
-    return F.when(n[1] / of[1] > RATIO * n[0] / of[0], 2 * (term(0) + term(1))).otherwise(0.0)
+def _discounts(counts: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
+    """n1 / (n1 + 2 n2) of each class's counts, each of which stands `times` times; 0.75 where there are none of either."""
+    ones, twos = (((counts == k) * times).sum(1) for k in (1, 2))
+    return np.where((ones > 0) & (twos > 0), ones / np.maximum(ones + 2 * twos, 1), 0.75)[:, None]
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function, by Stirling's series eight places further on."""
+    x = np.asarray(x, float)
+    y = x + 8
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(np.prod([x + k for k in range(8)], axis=0))
+
+
+def _betaln(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _lgamma(a) + _lgamma(b) - _lgamma(np.add(a, b))
 
 
-def _discounts(table: DataFrame, columns: list[str]) -> np.ndarray:
-    """n1 / (n1 + 2 n2) of each class's counts; 0.75 where there are none of either."""
-    ones = table.agg(*[F.count(F.when(F.col(c) == k, 1)).cast("double").alias(f"{c}{k}") for c in columns for k in (1, 2)]).first()
-    return np.array([ones[f"{c}1"] / (ones[f"{c}1"] + 2 * ones[f"{c}2"]) if ones[f"{c}1"] and ones[f"{c}2"] else 0.75 for c in columns])
+def _marking(counts: np.ndarray, share: np.ndarray | float, width: float, times: np.ndarray | int = 1) -> tuple[np.ndarray, float]:
+    """The chance that each pair of counts comes from a class share of its own, rather than from one about `share`,
+    and the log-likelihood of all. The prior chance is the likeliest, with one count of each kind beside the given."""
+    large = _betaln(counts[1] + share * width, counts[0] + (1 - share) * width) - _betaln(share * width, (1 - share) * width)
+    own = _betaln(counts[1] + SLAB, counts[0] + SLAB) - _betaln(SLAB, SLAB)
+    against = np.exp(np.clip(large - own, -500, 500))
+    kinds, prior = float((times * np.ones(len(against))).sum()), 0.01
+    for _ in range(200):
+        chance = prior / (prior + (1 - prior) * against)
+        last, prior = prior, (float((times * chance).sum()) + 1) / (kinds + 2)
+        if abs(last - prior) <= 1e-9 * prior:
+            break
+    chance = prior / (prior + (1 - prior) * against)
+    return chance, float((times * (large + np.log(1 - prior + prior / against))).sum())
 
 
 def _hashes(table: pa.Table, column: str) -> np.ndarray:
@@ -136,53 +160,47 @@ def _pairs(counting: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     runs = F.arrays_zip(F.concat(F.array(none, none), "h").alias("z"), F.concat(F.array(none), "h").alias("a"), F.col("h").alias("b"))
     runs = counting.select("t", F.inline(runs).alias("z", "a", "b")).filter(F.col("b").isNotNull()).distinct()
-    return stored(runs.groupBy("a", "b").agg(*[F.count(F.when(F.col("t") == c, 1)).alias(f"d{c}") for c in (0, 1)]), "toxicity-pairs")
+    return runs.groupBy("a", "b").agg(*[F.count(F.when(F.col("t") == c, 1)).alias(f"d{c}") for c in (0, 1)])
 
 
 def _models(pairs: DataFrame) -> Model | None:
     """Both classes' models from (a, b, d0, d1): how many different words stand in each class before the pair of word a,
     which is 0 at a text's start, and word b."""
-    words = stored(pairs.groupBy("b").agg(*[F.count(F.when(F.col(f"d{c}") > 0, 1)).alias(f"n{c}") for c in (0, 1)]), "toxicity-words")
-    sums = words.agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(f"n{c}").cast("double").alias(f"n{c}") for c in (0, 1)]).first()
-    total = np.array([sums["n0"] or 0.0, sums["n1"] or 0.0])
+    table = pairs.toArrow()
+    a, b = _hashes(table, "a"), _hashes(table, "b")
+    seen = np.stack([table.column(f"d{c}").to_numpy().astype(float) for c in (0, 1)])
+    del table
+    h = np.unique(np.concatenate([[np.uint64(0)], a, b]))
+    a, b = np.searchsorted(h, a), np.searchsorted(h, b)
+    add = lambda place, x: np.stack([np.bincount(place, row, len(h)) for row in x])
+    counts = add(b, seen > 0)
+    total = counts.sum(1, keepdims=True)
     if not total.all():
         return None
-    own = words.filter(_evidence([F.col("n0"), F.col("n1")], total.tolist()) > EVIDENCE).orderBy("b").toArrow()
-    counts = np.stack([own.column(f"n{c}").to_numpy().astype(float) for c in (0, 1)])
-    # What the discounts of its own words leave each class; all other words leave all.
-    left = np.minimum(counts, _discounts(words, ["n0", "n1"])[:, None])
-    backoff = (total - (counts - left).sum(1)) / total
-    mass = total.sum() - (counts - left).sum() + 0.5 * (sums["kinds"] + 1)
-    shared = lambda n: (n + 0.5) / mass
-    word_p = (counts - left) / total[:, None] + backoff[:, None] * shared(left.sum(0))
-    order = np.argsort(h := _hashes(own, "b"))
-    none = Model(h[order], word_p[:, order], np.maximum(backoff, 1e-6), *[np.zeros(s, t) for s, t in ((0, np.uint64), ((2, 0), float)) * 2])
-
-    runs = pairs.agg(*[F.sum(f"d{c}").cast("double") for c in (0, 1)]).first()
-    marked = pairs.filter(_evidence([F.col("d0"), F.col("d1")], list(runs)) > PAIR_EVIDENCE)
-    marked = marked.join(words.select("b", F.col("n0").alias("w0"), F.col("n1").alias("w1")), "b").toArrow()
-    a, b = _hashes(marked, "a"), _hashes(marked, "b")
-    plain = ~np.isin(a, h) & ~np.isin(b, h)
-    if not plain.any():
-        return none
-    a, b = a[plain], b[plain]
-    seen = np.stack([marked.column(f"d{c}").to_numpy().astype(float)[plain] for c in (0, 1)])
-    kinds = np.unique(a)
-    spark = pairs.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in kinds.view(np.int64)], "a long")
-    behind = pairs.join(F.broadcast(wanted), "a").groupBy("a").agg(*[F.sum(f"d{c}").cast("double").alias(f"d{c}") for c in (0, 1)]).toArrow()
-    place = np.argsort(_hashes(behind, "a"))
-    context = np.stack([behind.column(f"d{c}").to_numpy()[place] for c in (0, 1)])
-    of = np.searchsorted(kinds, a)
-    taken = np.maximum(seen - _discounts(pairs, ["d0", "d1"])[:, None], 0)
-    freed = np.stack([np.bincount(of, x, len(kinds)) for x in taken])
-    rest = 1 - freed / np.maximum(context, 1)
-    lower = backoff[:, None] * shared(np.stack([marked.column(f"w{c}").to_numpy().astype(float)[plain] for c in (0, 1)]).sum(0))
-    pair_p = taken / np.maximum(context, 1)[:, of] + rest[:, of] * lower
-    none.contexts, none.context_rest = kinds, np.maximum(rest, 1e-6)
-    order = np.argsort(keys := _pair_key(a, b))
-    none.pairs, none.pair_p = keys[order], np.maximum(pair_p, 1e-12)[:, order]
-    return none
+    # Words of the same counts are judged once.
+    real = counts.sum(0) > 0
+    kinds, which, times = np.unique(counts[:, real], axis=1, return_inverse=True, return_counts=True)
+    share = float(total[1, 0] / total.sum())
+    width = max(_WIDTHS, key=lambda w: _marking(kinds, share, w, times)[1])
+    marks = np.zeros(len(h))
+    marks[real] = _marking(kinds, share, width, times)[0][which.ravel()]
+    own = np.maximum(counts - _discounts(kinds, times), 0) * marks
+    left = counts - own
+    backoff = np.maximum(left.sum(1, keepdims=True) / total, 1e-9)
+    word_p = own / total + backoff * (left.sum(0) + 0.5) / (left.sum() + 0.5 * (real.sum() + 1))
+    word = np.log(word_p[1] / word_p[0])
+
+    context = add(a, seen)
+    every = context.sum(1)
+    odds = np.log((context[1] + every[1] / every.sum()) / (context[0] + every[0] / every.sum()))
+    expected = np.clip(1 / (1 + np.exp(-(odds[a] + word[b]))), 1e-6, 1 - 1e-6)
+    own = np.maximum(seen - _discounts(seen), 0) * _marking(seen, expected, width)[0]
+    rest = np.maximum(1 - add(a, own) / np.maximum(context, 1), 1e-9)
+    pair_p = own / np.maximum(context, 1)[:, a] + rest[:, a] * word_p[:, b]
+    key = a * len(h) + b
+    order = np.argsort(key)
+    pair = np.log(pair_p[1] / pair_p[0]).astype(np.float32)
+    return Model(h, word, np.log(rest[1] / rest[0]), key[order], pair[order], float(np.log(backoff[1, 0] / backoff[0, 0])))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float, float]:
@@ -208,7 +226,7 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, f
     return best[1:]
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model | float:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model | float:
     """The model, or the only score where labels of both classes are missing.
 
     labels: doc_id, toxic; only rows whose fold isn't 1 are looked at.
@@ -226,7 +244,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     # Ids of the bounded sample.
     chosen = known.filter(draw < keep).select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("t"))
     part = F.pmod(F.xxhash64(F.lit(1), F.col("__id").cast("string")), F.lit(4)) == 0
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("t", part.alias("curve"), word_hashes(F.col("text")).alias("h")), "toxicity-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    sample = stored(sample.select("t", draw.alias("draw"), part.alias("curve"), word_hashes(F.col("text")).alias("h")), "toxicity-sample")
+    sizes = sample.groupBy("t", "draw").agg(F.sum(F.size("h")).alias("n")).orderBy("draw", "t").collect()
+    room, over = [max_words, max_words], []
+    for r in sizes:
+        if r["n"] <= room[r["t"]]:
+            room[r["t"]] -= r["n"]
+        else:
+            over.append((r["t"], r["draw"]))
+    if over:
+        skipped = docs.sparkSession.createDataFrame(over, "t int, draw double")
+        sample = sample.join(F.broadcast(skipped), ["t", "draw"], "left_anti")
 
     share = count[1] / (count[0] + count[1])
     counting = sample.filter(~F.col("curve"))
@@ -242,7 +271,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     if len(set(t.tolist())) < 2:
         return share
     weight = np.where(t == 1, count[1] / most[1], count[0] / most[0])
-    model.slope, model.offset, model.low, model.high = _curve(d, t.astype(float), weight)
+    curve = _curve(d, t.astype(float), weight)
+    model = _models(_pairs(sample))
+    model.slope, model.offset, model.low, model.high = curve
     return model
 
 

@@ -48,6 +48,8 @@ MAX_WORDS = 1_250_000
 SLAB = 0.5
 #: Widths that are tried for the class shares of words at large, as the total count a beta distribution stands for.
 _WIDTHS = np.geomspace(10.0, 1e6, 26)
+#: Pairs that are judged at a time, which bounds the driver's memory.
+_SLICE = 100_000
 #: Texts of a batch that are scored at a time.
 _TEXTS = 256
 
@@ -128,7 +130,10 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     y = x + 8
     series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return series - np.log(np.prod([x + k for k in range(8)], axis=0))
+    product = x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return series - np.log(product)
 
 
 def _betaln(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,9 +143,13 @@ def _betaln(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _marking(counts: np.ndarray, share: np.ndarray | float, width: float, times: np.ndarray | int = 1) -> tuple[np.ndarray, float]:
     """The chance that each pair of counts comes from a class share of its own, rather than from one about `share`,
     and the log-likelihood of all. The prior chance is the likeliest, with one count of each kind beside the given."""
-    large = _betaln(counts[1] + share * width, counts[0] + (1 - share) * width) - _betaln(share * width, (1 - share) * width)
-    own = _betaln(counts[1] + SLAB, counts[0] + SLAB) - _betaln(SLAB, SLAB)
-    against = np.exp(np.clip(large - own, -500, 500))
+    share = np.broadcast_to(share, counts.shape[1])
+    large, against = np.empty(counts.shape[1]), np.empty(counts.shape[1])
+    for at in range(0, len(large), _SLICE):
+        s, n = share[at : at + _SLICE] * width, counts[:, at : at + _SLICE]
+        here = _betaln(n[1] + s, n[0] + width - s) - _betaln(s, width - s)
+        large[at : at + _SLICE] = here
+        against[at : at + _SLICE] = np.exp(np.clip(here - _betaln(n[1] + SLAB, n[0] + SLAB) + _betaln(SLAB, SLAB), -500, 500))
     kinds, prior = float((times * np.ones(len(against))).sum()), 0.01
     for _ in range(200):
         chance = prior / (prior + (1 - prior) * against)
@@ -160,7 +169,7 @@ def _pairs(counting: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     runs = F.arrays_zip(F.concat(F.array(none, none), "h").alias("z"), F.concat(F.array(none), "h").alias("a"), F.col("h").alias("b"))
     runs = counting.select("t", F.inline(runs).alias("z", "a", "b")).filter(F.col("b").isNotNull()).distinct()
-    return runs.groupBy("a", "b").agg(*[F.count(F.when(F.col("t") == c, 1)).alias(f"d{c}") for c in (0, 1)])
+    return runs.groupBy("a", "b").agg(*[F.count(F.when(F.col("t") == c, 1)).cast("int").alias(f"d{c}") for c in (0, 1)])
 
 
 def _models(pairs: DataFrame) -> Model | None:

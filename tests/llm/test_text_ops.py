@@ -405,6 +405,46 @@ def test_hubs_have_components(spark, monkeypatch):
     assert got == {i: 0 for i in [*range(40), 50, 200]} | {100 + i: 100 for i in range(31)}
 
 
+@pytest.mark.parametrize("hub", [1, 1000])
+def test_common_prefixes(spark, monkeypatch, hub):
+    """A group of 60 near copies beside pairs: with hub 1 its prefixes are common ones, the pairs' aren't."""
+    import zonewright.llm.ngram_join as J
+
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:i] + [f"v{i}"] + base[i + 1 :]) for i in range(0, 300, 5)]
+    texts += [" ".join([f"p{g}w{i}" for i in range(100)] + [f"end{k}"]) for g in range(20) for k in range(2)]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(grams) if j != i) for i, a in enumerate(grams)]
+    monkeypatch.setattr(J, "HUB", hub)
+    got = jaccard_classes(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    want = [(i, 0 if i < 60 else i - i % 2, n) for i, n in enumerate(links)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
+def test_recall_in_families():
+    """A document at 0.8 of another that has five copies at 0.995: in the trees nearly all find a partner, whichever it is."""
+    from zonewright.llm.ngram_join import DEPTH, RECALL, THRESHOLD, TREES, _walk, prefix_depth
+
+    rng, m, groups, size = np.random.default_rng(13), TREES * DEPTH, 400, 7
+    shortest, lost = prefix_depth(), 0
+
+    def like(sig, similarity):
+        return np.where(rng.random(m) < similarity, sig, rng.integers(0, 256, m)).astype(np.uint8)
+
+    for _ in range(groups):
+        first = rng.integers(0, 256, m).astype(np.uint8)
+        sig = np.stack([first, *[like(first, 0.995) for _ in range(size - 2)], like(first, 0.8)])
+        found = False
+        for t in range(TREES):
+            branch = sig[:, t * DEPTH : (t + 1) * DEPTH]
+            order = np.lexsort(branch.T[::-1])
+            subtree = np.unique(branch[order][:, :shortest], axis=0, return_inverse=True)[1].ravel()
+            a, b = _walk(sig[order], branch[order], subtree, np.full(size, -1), shortest, THRESHOLD, RECALL, 166)
+            found |= bool(((order[a] == size - 1) | (order[b] == size - 1)).any())
+        lost += not found
+    assert lost <= 0.01 * groups
+
+
 def test_walk_stops_where_all_is_alike():
     from zonewright.llm.ngram_join import DEPTH, TREES, _walk, met
 

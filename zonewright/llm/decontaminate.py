@@ -37,7 +37,7 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 def _hits(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int, all_docs: bool) -> DataFrame:
     """(doc_id, text_hash, n, pos, k, items): a row per document and window that it shares with the benchmark;
-    with all_docs also a row per document with k = 0 and no items.
+    with all_docs also a row per row of docs with k = 0 and no items.
 
     The hash set is broadcast while its estimated size stays below broadcast_bytes; a larger one is
     joined by a shuffle on the hash, with both sides salted so that a common passage is split.
@@ -50,11 +50,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int, a
     bench = bench.select("key", F.col("gram").alias("bgram"), F.col("bk").alias("k"), "items")
 
     scanned = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), words(F.col("text")).alias("w"))
-    if all_docs:
+    carried = all_docs and size <= broadcast_bytes
+    if carried:
         # A row of its own carries every document through the join, at position -1.
         bench = bench.unionByName(benchmark.sparkSession.createDataFrame([(0, "", 0, [])], "key long, bgram string, k int, items array<string>"))
     scanned = scanned.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    shortest, own = (lengths[0] if lengths else n), -1 if all_docs else 0
+    shortest, own = (lengths[0] if lengths else n), -1 if carried else 0
     # Positions from which a window fits.
     places = F.sequence(F.lit(own), F.greatest(F.size("w") - shortest, F.lit(own)))
     rows = scanned.select("doc_id", "text_hash", "w", "h", F.explode(places).alias("at"))
@@ -78,7 +79,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int, a
         met = keys.join(bench.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
     # Two prefix tests are an equality that the planner leaves out of the join's keys: words are compared only where hashes agree.
     same = F.startswith(F.col("bgram"), gram) & F.startswith(gram, F.col("bgram"))
-    return met.filter(same).select("doc_id", "text_hash", "n", (at + 1).alias("pos"), "k", "items")
+    hits = met.filter(same).select("doc_id", "text_hash", "n", (at + 1).alias("pos"), "k", "items")
+    if not all_docs or carried:
+        return hits
+    # No document goes through the shuffle of hashes only to be counted.
+    none = F.array().cast("array<string>").alias("items")
+    return hits.unionByName(scanned.select("doc_id", "text_hash", F.size("w").alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("k"), none))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

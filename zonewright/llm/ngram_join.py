@@ -154,8 +154,14 @@ def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), prefix)
     # One narrow row for each set and tree; only those that share the shortest prefix get their signature back.
     rows = sets.select("sid", prefixes.alias("p")).select("sid", F.posexplode("p").alias("tree", "prefix"))
-    keys = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = rows.join(keys, "prefix").join(sets, "sid")
+    counted = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members"))
+    # Rows of common prefixes, of which there are a thousand at most, stay where they are.
+    limit = max(HUB, -(-sets.count() * TREES // 1000))
+    hot = counted.filter(F.col("members") > limit).select("prefix", F.col("members").alias("hot"))
+    tagged = rows.join(F.broadcast(hot), "prefix", "left")
+    rest = tagged.filter("hot IS NULL").drop("hot").join(counted.filter(F.col("members").between(2, limit)), "prefix")
+    known = rest.unionByName(tagged.filter("hot IS NOT NULL").withColumnRenamed("hot", "members"))
+    shared = known.join(sets, "sid")
     # A subtree with many members is cut into blocks, and every pair of its blocks meets.
     blocks = F.ceil(F.col("members") / F.lit(PREFIX_BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")

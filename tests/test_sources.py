@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonewright.functions import labels as L
+from zonewright.operators import lake as O
 from zonewright.operators.suffixes import registrable_parts
 from zonewright.sources import zones as Z
 
@@ -54,6 +55,25 @@ def test_files_are_listed_unopened(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in rows} >= {"broken.parquet"} and all(r.bytes > 0 and r.modified for r in rows)
 
 
+def test_partial_loads(spark, tmp_path):
+    added, removed, target = (str(tmp_path / n) for n in ("added", "removed", "target"))
+    spark.createDataFrame([(f"{n}.{t}", n, t) for n in "ab" for t in ("com", "net", "org")] + [(None, None, "com")], O.ADDED_FILE).write.partitionBy("tld").parquet(added)
+    report = lambda: {r.tld: (r.added_loaded, r.removed_loaded, r.status, r.recovery_type) for r in O.load_delta_files(spark, added, removed, target, 20240131).collect()}
+    gone = lambda: sorted((r.name, r.removed_day) for r in spark.read.parquet(f"{target}/domain_removed").collect())
+    assert report() == {t: (2, 0, "ok", None) for t in ("com", "net", "org")}
+    days = [("x.com", "20240130", "com"), ("y.com", None, "com"), ("x.net", "20240130", "net"), ("y.net", "soon", "net"), ("x.org", "20240130", "org"), ("x.de", "20240130", "de")]
+    spark.createDataFrame(days, O.REMOVED_FILE).write.partitionBy("tld").parquet(removed)
+    (tmp_path / "removed" / "tld=org" / "broken.parquet").write_bytes(b"no parquet")
+    want = {"com": (2, 2, "ok", None), "net": (2, 2, "recovered", "removed_sanitised_retry"), "org": (2, 0, "partial", "removed_unrecoverable"), "de": (0, 1, "ok", None)}
+    rows = [("x.com", 20240130), ("x.de", 20240130), ("x.net", 20240131), ("y.com", 20240131), ("y.net", 20240131)]
+    for _ in range(2):
+        assert report() == want and gone() == rows
+    # Once the file is mended the rest comes, and nothing twice.
+    (tmp_path / "removed" / "tld=org" / "broken.parquet").unlink()
+    assert report()["org"] == (2, 1, "ok", None) and gone() == sorted([*rows, ("x.org", 20240130)])
+    assert spark.read.parquet(f"{target}/domain").count() == 6
+
+
 RULES = ["com", "br", "com.br", "*.ck", "!www.ck", "uk", "co.uk", "github.io", "io", "*.compute.example", "// note", "", " net  extra"]
 
 

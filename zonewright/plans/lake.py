@@ -94,6 +94,35 @@ def src13(spark, d):
     return O.load_delta(t.select("name", "tld"), y, F.lit(20240131))
 
 
+@query(
+    "SRC13_delta_load_recovery",
+    V.sql(
+        f"""SELECT tld, coalesce(a.n, 0) AS added_loaded, CASE WHEN tld = 'org' THEN 0 ELSE coalesce(r.n, 0) END AS removed_loaded,
+  CASE WHEN tld = 'org' THEN 'partial' WHEN odd THEN 'recovered' ELSE 'ok' END AS status,
+  CASE WHEN tld = 'org' THEN 'removed_unrecoverable' WHEN odd THEN 'removed_sanitised_retry' END AS recovery_type,
+  CASE WHEN tld <> 'org' THEN CASE WHEN odd THEN r.n ELSE nulls END END AS of_today
+FROM (SELECT tld, count(*) AS n FROM zone_today ANTI JOIN zone_yesterday USING (name) GROUP BY tld) a
+FULL JOIN (SELECT tld, count(*) AS n, count(*) FILTER (shard = 0) AS nulls, bool_or(tld = 'net' AND shard = 1) AS odd
+  FROM (SELECT tld, {V._SHARD.format("name", 8)} AS shard FROM zone_yesterday ANTI JOIN zone_today USING (name)) GROUP BY tld) r USING (tld)""",
+        *_Z,
+    ),
+)
+def src13_recovery(spark, d):
+    """A day's files of which one ending has days that are no numbers, and another a file that is no Parquet; loaded twice."""
+    today, before = _both(spark, d)
+    files = Z.scratch(spark, "delta-files")
+    O.added(today, before).select("name", "label", "tld").write.partitionBy("tld").parquet(f"{files}/added")
+    shard = L.stable_shard(F.col("name"), 8)
+    text = F.when(shard == 0, None).when((F.col("tld") == "net") & (shard == 1), "unknown").otherwise("20240130")
+    O.removed(today, before).select("name", text.alias("removed_day"), "tld").write.partitionBy("tld").parquet(f"{files}/removed")
+    spark.createDataFrame([("no parquet", "org")], "value string, tld string").write.mode("append").partitionBy("tld").text(f"{files}/removed")
+    target = Z.scratch(spark, "loaded")
+    for _ in range(2):
+        report = O.load_delta_files(spark, f"{files}/added", f"{files}/removed", target, 20240131)
+    gone = spark.read.schema("name string, removed_day int, loaded_day int, tld string").parquet(f"{target}/domain_removed")
+    return report.join(gone.groupBy("tld").agg(F.count_if(F.col("removed_day") == F.col("loaded_day")).alias("of_today")), "tld", "left")
+
+
 _RESUME_AT = "2024-01-28 12:00:00"
 
 

@@ -85,13 +85,15 @@ def raw_names(lines: DataFrame) -> DataFrame:
     return rows.groupBy("domain_norm").agg(F.min("domain_raw").alias("domain_raw")).withColumn("domain_raw_b64", F.base64(F.encode("domain_raw", "ISO-8859-1")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return base.getFileSystem(spark._jsc.hadoopConfiguration()).exists(base)
+
+
 def lenient_read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Parquet with exactly the given columns: missing ones are null, a missing path is an empty table."""
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    base = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not base.getFileSystem(spark._jsc.hadoopConfiguration()).exists(base):
-        return spark.createDataFrame([], st)
-    return spark.read.schema(st).parquet(path)
+    return spark.read.schema(st).parquet(path) if exists(spark, path) else spark.createDataFrame([], st)
 
 
 def write_lake(df: DataFrame, path: str, *keys: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -33,11 +33,20 @@ def normalized_domain(x: Column) -> Column:
     return F.rtrim(F.lower(F.trim(x)), F.lit("."))
 
 
-def _first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """For each key the row of lowest order."""
-    others = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("first"))
-    return first.select(*keys, *[F.col("first")[c].alias(c) for c in others])
+def _by_brand(rows: DataFrame, items: Column) -> DataFrame:
+    """(brand_id, items): one row for each brand, with the items of all its rows.
+
+    The rows are dealt out before anything is made of them: a small file is one task's, and what is made of its rows is many times larger.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "brand_id").select("brand_id", items.alias("items"))
+    return dealt.groupBy("brand_id").agg(F.flatten(F.collect_list("items")).alias("items"))
+
+
+def _firsts(items: Column, keys: tuple[str, ...]) -> Column:
+    """The first of each key among items, structs of the keys, then what they are ordered by; nothing leaves the row."""
+    key = lambda x: F.struct(*[x[k] for k in keys])
+    return L.once(F.array_sort(items), lambda s: F.filter(s, lambda x, i: (i == 0) | ~key(F.get(s, i - 1)).eqNullSafe(key(x))))
 
 
 def combo_seeds(brands: DataFrame, most: int = MOST_COMBOS) -> DataFrame:
@@ -49,15 +58,22 @@ def combo_seeds(brands: DataFrame, most: int = MOST_COMBOS) -> DataFrame:
     words = F.array_distinct(F.concat(F.array(*map(F.lit, S.RISK_WORDS)), F.col("keywords"), F.array(*map(F.lit, SUFFIXES))))
     put = lambda value, kind, a, b: F.struct(L.brand_text(value).alias("seed_value"), F.lit(kind).alias("seed_type"), (a * 1000 + b).alias("at"))
     # Cores go before words: a number for the core, one for the word, one for the order of the two.
-    pairs = F.flatten(F.transform("cores", lambda core, i: F.flatten(F.transform(words, lambda w, j: F.array(put(F.concat(core, w), "combo_brand_keyword", i, 2 * j), put(F.concat(w, core), "combo_keyword_brand", i, 2 * j + 1))))))
+    pairs = L.once(words, lambda ws: F.flatten(F.transform("cores", lambda core, i: F.flatten(F.transform(ws, lambda w, j: F.array(put(F.concat(core, w), "combo_brand_keyword", i, 2 * j), put(F.concat(w, core), "combo_keyword_brand", i, 2 * j + 1)))))))
     led = F.flatten(F.transform("cores", lambda core, i: F.transform(F.array(*map(F.lit, PREFIXES)), lambda w, j: put(F.concat(w, core), "combo_keyword_brand", i + 1000, j))))
-    rows = brands.select("brand_id", F.inline(F.concat(pairs, led))).filter(F.length("seed_value") >= 3)
-    rows = _first(rows, ["brand_id", "seed_value", "seed_type"], "at")
-    place = F.row_number().over(Window.partitionBy("brand_id").orderBy("at"))
-    rows = rows.withColumn("place", place).filter(F.col("place") <= most)
+    made = F.filter(F.concat(pairs, led), lambda x: F.length(x["seed_value"]) >= 3)
+    first = F.transform(_firsts(F.col("items"), ("seed_value", "seed_type")), lambda x: F.struct(x["at"], x["seed_value"], x["seed_type"]))
+    rows = _by_brand(brands, made).select("brand_id", F.posexplode(F.slice(F.array_sort(first), 1, most)).alias("place", "s"))
+    rows = rows.select("brand_id", "s.seed_value", "s.seed_type", (F.col("place") + 1).alias("place"))
     return rows.select("brand_id", "seed_value", "seed_type", S.choose(WEIGHTS, F.col("seed_type"), OTHER_WEIGHT).alias("base_weight"), "place")
 
 
+def _first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """For each key the row of lowest order."""
+    others = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("first"))
+    return first.select(*keys, *[F.col("first")[c].alias(c) for c in others])
+
+
 def alias_inputs(brands: DataFrame) -> DataFrame:
     """(brand_id, value, normalized, type): primary name, aliases, phrases and keywords, the first of each normal form and type."""
     kinds = (("brand_primary", F.array("primary")), ("brand_alias", F.col("aliases")), ("brand_phrase", F.col("phrases")), ("support_keyword", F.col("keywords")))
@@ -152,9 +168,9 @@ def model_seeds(replies: DataFrame, most: int) -> DataFrame:
     """(brand_id, seed_value, seed_type, base_weight, place) from JSON replies (brand_id, reply): normalised, three letters or
     more, unknown types as llm_combo, the first of each value, at most `most`."""
     seeds = F.from_json("reply", "seeds array<struct<seed_value string, seed_type string>>")["seeds"]
-    rows = replies.select("brand_id", F.posexplode(seeds).alias("at", "s"))
-    kind = F.when(F.col("s.seed_type").isin(*MODEL_TYPES), F.col("s.seed_type")).otherwise("llm_combo")
-    rows = rows.select("brand_id", L.brand_text(F.col("s.seed_value")).alias("seed_value"), kind.alias("seed_type"), "at").filter(F.length("seed_value") >= 3)
-    rows = _first(rows, ["brand_id", "seed_value"], "at")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("brand_id").orderBy("at"))).filter(F.col("place") <= most)
+    kind = lambda x: F.when(x["seed_type"].isin(*MODEL_TYPES), x["seed_type"]).otherwise("llm_combo")
+    made = F.transform(seeds, lambda x, i: F.struct(L.brand_text(x["seed_value"]).alias("seed_value"), i.alias("at"), kind(x).alias("seed_type")))
+    first = F.transform(_firsts(F.col("items"), ("seed_value",)), lambda x: F.struct(x["at"], x["seed_value"], x["seed_type"]))
+    rows = _by_brand(replies, F.filter(made, lambda x: F.length(x["seed_value"]) >= 3)).select("brand_id", F.posexplode(F.slice(F.array_sort(first), 1, most)).alias("place", "s"))
+    rows = rows.select("brand_id", "s.seed_value", "s.seed_type", (F.col("place") + 1).alias("place"))
     return rows.select("brand_id", "seed_value", "seed_type", S.choose(WEIGHTS, F.col("seed_type"), OTHER_WEIGHT).alias("base_weight"), "place")

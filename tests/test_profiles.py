@@ -53,3 +53,11 @@ def test_model_seeds_by_brand(spark):
     got = sorted(tuple(r) for r in P.model_seeds(df, 3).collect())
     assert got == [(1, "buyme", "llm_combo", 0.72, 3), (1, "second", "llm_combo", 0.72, 1), (1, "shop", "llm_semantic", 0.58, 2)]
     assert dealt_first(P.model_seeds(df, 3))
+
+
+def test_alias_inputs_by_brand(spark):
+    rows = [(1, " Pay ", ["pay", "PAY", None, "!"], None, ["x", "X"]), (1, None, ["y", " pay"], ["pay"], []), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "brand_id int, primary string, aliases array<string>, phrases array<string>, keywords array<string>")
+    got = sorted(tuple(r) for r in P.alias_inputs(df).collect())
+    assert got == [(1, "Pay", "pay", "brand_primary"), (1, "pay", "pay", "brand_alias"), (1, "pay", "pay", "brand_phrase"), (1, "x", "x", "support_keyword"), (1, "y", "y", "brand_alias")]
+    assert dealt_first(P.alias_inputs(df))

@@ -67,24 +67,16 @@ def combo_seeds(brands: DataFrame, most: int = MOST_COMBOS) -> DataFrame:
     return rows.select("brand_id", "seed_value", "seed_type", S.choose(WEIGHTS, F.col("seed_type"), OTHER_WEIGHT).alias("base_weight"), "place")
 
 
-def _first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """For each key the row of lowest order."""
-    others = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("first"))
-    return first.select(*keys, *[F.col("first")[c].alias(c) for c in others])
-
-
 def alias_inputs(brands: DataFrame) -> DataFrame:
     """(brand_id, value, normalized, type): primary name, aliases, phrases and keywords, the first of each normal form and type."""
     kinds = (("brand_primary", F.array("primary")), ("brand_alias", F.col("aliases")), ("brand_phrase", F.col("phrases")), ("support_keyword", F.col("keywords")))
     none = F.array().cast("array<string>")
 
     def typed(n: int, kind: str, values: Column) -> Column:
-        return F.transform(F.coalesce(values, none), lambda x, i: F.struct(F.trim(x).alias("value"), L.brand_text(F.trim(x)).alias("normalized"), F.lit(kind).alias("type"), (i + 10_000 * n).alias("at")))
+        return F.transform(F.coalesce(values, none), lambda x, i: F.struct(L.brand_text(F.trim(x)).alias("normalized"), F.lit(kind).alias("type"), (i + 10_000 * n).alias("at"), F.trim(x).alias("value")))
 
-    made = F.concat(*[typed(n, kind, values) for n, (kind, values) in enumerate(kinds)])
-    rows = brands.select("brand_id", F.inline(made)).filter(F.length("normalized") > 0)
-    return _first(rows, ["brand_id", "normalized", "type"], "at").select("brand_id", "value", "normalized", "type")
+    made = F.filter(F.concat(*[typed(n, kind, values) for n, (kind, values) in enumerate(kinds)]), lambda x: F.length(x["normalized"]) > 0)
+    return _by_brand(brands, made).select("brand_id", F.inline(_firsts(F.col("items"), ("normalized", "type")))).select("brand_id", "value", "normalized", "type")
 
 
 def profile_seeds(domains: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -61,3 +61,14 @@ def test_alias_inputs_by_brand(spark):
     got = sorted(tuple(r) for r in P.alias_inputs(df).collect())
     assert got == [(1, "Pay", "pay", "brand_primary"), (1, "pay", "pay", "brand_alias"), (1, "pay", "pay", "brand_phrase"), (1, "x", "x", "support_keyword"), (1, "y", "y", "brand_alias")]
     assert dealt_first(P.alias_inputs(df))
+
+
+def test_profile_seeds_are_dealt_before_repeats_are_sought(spark):
+    domains = spark.createDataFrame([(1, "www.pay.com"), (1, "WWW.Pay.com."), (1, "pay.com.br"), (2, None)], "brand_id int, domain string")
+    aliases = spark.createDataFrame([(1, "Pay", "pay", "brand_primary"), (1, "pay", "pay", "brand_alias")], "brand_id int, value string, normalized string, type string")
+    seeds = P.profile_seeds(domains, aliases)
+    plan = plan_of(seeds)
+    assert "REPARTITION_BY_NUM" in plan and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
+    got = sorted((r.seed_type, r.seed_value, r.channel_scope) for r in seeds.collect())
+    assert got == [("brand_alias", "pay", "associated_brand"), ("brand_primary", "pay", "both"), ("domain_label", "pay", "registrable_domain"), ("hostname_stem", "pay.com", "certificate_hostname"), ("official_domain", "pay.com.br", "certificate_hostname"), ("official_domain", "www.pay.com", "certificate_hostname")]
+    assert seeds.count() == 6

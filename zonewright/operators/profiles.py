@@ -88,7 +88,9 @@ def profile_seeds(domains: DataFrame, aliases: DataFrame) -> DataFrame:
     seed = lambda value, kind, channel: F.struct(value.alias("seed_value"), F.lit(kind).alias("seed_type"), F.lit(channel).alias("channel_scope"))
     made = F.array(seed(L.brand_text(L.registrable_label(d)), "domain_label", "registrable_domain"), seed(d, "official_domain", "certificate_hostname"), seed(L.hostname_stem(d), "hostname_stem", "certificate_hostname"))
     channel = F.when(F.col("type") == "brand_primary", "both").otherwise("associated_brand")
-    rows = domains.select("brand_id", F.inline(made)).unionByName(aliases.select("brand_id", F.col("normalized").alias("seed_value"), F.col("type").alias("seed_type"), channel.alias("channel_scope")))
+    n = int(domains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out before repeats are looked for, as alias_inputs deals brands: a brand's seeds lie together, and no task meets those of a whole file.
+    rows = domains.repartition(n, "brand_id").select("brand_id", F.inline(made)).unionByName(aliases.select("brand_id", F.col("normalized").alias("seed_value"), F.col("type").alias("seed_type"), channel.alias("channel_scope")))
     rows = rows.filter(F.length("seed_value") > 0).distinct()
     return rows.withColumn("base_weight", S.choose(WEIGHTS, F.col("seed_type"), OTHER_WEIGHT))
 

@@ -57,3 +57,14 @@ def test_queries_on_encoded_names(spark, sf_dir):
     attacks = [r for r in q["JOB03_ring_c_punycode"](spark, sf_dir).collect() if r.score_homograph == 1.0]
     assert attacks and all(r.matched_rule in ("homograph", "typo_candidate") for r in attacks)
     assert q["GEN04_homograph_seeds"](spark, sf_dir).count() > 0
+
+
+def test_each_word_is_encoded_once(spark, sf_dir, monkeypatch):
+    """What encodes words stands above the distinct, and nothing that is read later encodes them again."""
+    written = []
+    real = search.Z.stored
+    monkeypatch.setattr(search.Z, "stored", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    zone = search.zone_idn(spark, sf_dir)
+    plan = dict(written)["encoded-words"]
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+    assert "documents" not in zone._jdf.queryExecution().executedPlan().toString()

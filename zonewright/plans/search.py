@@ -11,6 +11,7 @@ from ..functions import scores as S
 from ..operators import candidates as C
 from ..operators import profiles as P
 from ..operators.search import Search, search_page, search_results
+from ..sources import zones as Z
 from . import views as V
 from .names import _BOUND, _CLOSE, _LIMIT, _NEAR, _PLAIN, _Q4, _TYPO, KEYS, _seeds, _sim, _with_seeds, as_of
 from .register import query
@@ -24,7 +25,8 @@ def word(spark: SparkSession, d: str) -> DataFrame:
 
 def zone_idn(spark: SparkSession, d: str) -> DataFrame:
     """Names with encoded labels: the documents' words beyond ASCII, and the brands in look-alike letters."""
-    words = word(spark, d).select(I.idna_encode(F.col("word")).alias("label"))
+    # Encoded before the filter looks at it, which Spark would else move below distinct: every occurrence of a word would be encoded.
+    words = Z.stored(word(spark, d).select(I.idna_encode(F.col("word")).alias("label")), "encoded-words")
     rows = words.unionByName(C.homograph_seeds(V.brand(spark), I.LOOKALIKES, 10**6).select(F.col("seed_value").alias("label"))).filter(F.startswith("label", F.lit("xn--"))).distinct()
     tld = F.element_at(F.array(*map(F.lit, V.TLDS)), L.stable_shard(F.col("label"), 4) + 1)
     rows = rows.withColumn("tld", tld).withColumn("name", F.concat_ws(".", "label", "tld"))

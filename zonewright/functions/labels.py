@@ -126,7 +126,8 @@ def normalized_levenshtein(label: Column, brand: Column) -> Column:
 def brand_boundary(label: Column, brand: Column) -> Column:
     """brand occurs in label with something else than a letter on one side at least."""
     quoted = F.concat(F.lit("\\Q"), brand, F.lit("\\E"))
-    return F.when(F.length(brand) == 0, F.lit(False)).otherwise(F.regexp_like(label, F.concat(F.lit(r"(?<!\p{L})"), quoted, F.lit("|"), quoted, F.lit(r"(?!\p{L})"))))
+    # A pattern is made for a label that holds the brand alone.
+    return F.when(F.length(brand) == 0, F.lit(False)).otherwise(F.contains(label, brand) & F.regexp_like(label, F.concat(F.lit(r"(?<!\p{L})"), quoted, F.lit("|"), quoted, F.lit(r"(?!\p{L})"))))
 
 
 def residual(label: Column, brand: Column) -> Column:
@@ -139,9 +140,11 @@ def residual_tokens(label: Column, brand: Column) -> Column:
 
 def keyword_hits(label: Column, brand: Column, keywords: Column) -> Column:
     """How many keywords are a token left beside the brand, or part of it when longer than four letters."""
-    text, tokens = residual(label, brand), F.regexp_extract_all(residual(label, brand), F.lit("[a-z0-9]+"), F.lit(0))
-    key = lambda k: F.trim(F.lower(k))
-    return F.size(F.filter(keywords, lambda k: (F.length(key(k)) > 0) & (F.array_contains(tokens, key(k)) | ((F.length(key(k)) > 4) & F.contains(text, key(k))))))
+    keys = F.transform(keywords, lambda k: F.trim(F.lower(k)))
+    # Text, then tokens, are computed once for a label: within the filter they would be for every keyword.
+    held = lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"), keys.alias("keys"))
+    found = lambda h: F.size(F.filter(h["keys"], lambda k: (F.length(k) > 0) & (F.array_contains(h["tokens"], k) | ((F.length(k) > 4) & F.contains(h["text"], k)))))
+    return once(residual(label, brand), lambda x: once(held(x), found))
 
 
 def stable_shard(x: Column, n: int) -> Column:

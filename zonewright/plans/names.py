@@ -123,8 +123,11 @@ def _with_signals(select: str) -> str:
 
 
 def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, S.Signals]:
-    p = _pairs(spark, d)
-    s = S.signals(F.col("label"), F.col("brand_label"), F.col("keywords"), L.trigram_similarity(F.col("label"), F.col("brand_label")))
+    """The trigrams of a name are made once, not for each brand."""
+    names = C.without_subdomains(V.zone_today(spark, d)).select("name", "label", L.trigrams(F.col("label")).alias("gx"))
+    brands = V.brand(spark).select("brand_id", "brand_label", "keywords", L.trigrams(F.col("brand_label")).alias("gy"))
+    p = names.crossJoin(C.few(brands))
+    s = S.signals(F.col("label"), F.col("brand_label"), F.col("keywords"), L.set_similarity(F.col("gx"), F.col("gy")))
     p = p.select("name", "brand_id", s.trigram.alias("t"), s.edit.alias("e"), s.brand.alias("b"), s.keyword.alias("k"), s.homograph.alias("h"), s.exact.alias("x"))
     return p, S.Signals(*[F.col(c) for c in "tebkhx"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zonewright.functions import labels as L
 from zonewright.plans import catalogue
 
-SCORES = ("FN11_composite_score",)
+SCORES = ("FN11_composite_score", "FN13_reasons")
 
 
 def plan_of(df):
@@ -21,7 +21,7 @@ def test_tokens_are_cut_once_for_a_pair(spark, sf_dir, name):
     assert plan_of(catalogue.queries()[name](spark, sf_dir)).count("regexp_extract_all") == 2
 
 
-@pytest.mark.parametrize("name", ("FN11_composite_score",))
+@pytest.mark.parametrize("name", ("FN11_composite_score", "FN13_reasons"))
 def test_trigrams_of_a_name_stand_below_the_pairs(spark, sf_dir, name):
     plan = plan_of(catalogue.queries()[name](spark, sf_dir))
     assert plan.index("BroadcastNestedLoopJoin") < plan.index("transform(sequence(1, (length(") and "array_distinct" not in plan[: plan.index("BroadcastNestedLoopJoin")]

@@ -15,7 +15,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", SCORES)
+@pytest.mark.parametrize("name", (*SCORES, "FN09_keyword_hits"))
 def test_tokens_are_cut_once_for_a_pair(spark, sf_dir, name):
     """Beside one list of keywords each: not once more for every keyword and use."""
     assert plan_of(catalogue.queries()[name](spark, sf_dir)).count("regexp_extract_all") == 2

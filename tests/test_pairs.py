@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zonewright.functions import labels as L
 from zonewright.plans import catalogue
 
-SCORES = ("FN11_composite_score", "FN13_reasons", "FN16_matched_rule", "FN14_seeded_score", "FN15_seeded_risk", "FN12_risk_level")
+SCORES = ("FN11_composite_score", "FN13_reasons", "FN16_matched_rule", "FN14_seeded_score", "FN15_seeded_risk", "FN12_risk_level", "FN10_keyword_score")
 
 
 def plan_of(df):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonewright.functions import labels as L
+from zonewright.functions import scores as S
 from zonewright.plans import catalogue
 
 SCORES = ("FN11_composite_score", "FN13_reasons", "FN16_matched_rule", "FN14_seeded_score", "FN15_seeded_risk", "FN12_risk_level", "FN10_keyword_score")
@@ -27,6 +28,26 @@ def test_trigrams_of_a_name_stand_below_the_pairs(spark, sf_dir, name):
     assert plan.index("BroadcastNestedLoopJoin") < plan.index("transform(sequence(1, (length(") and "array_distinct" not in plan[: plan.index("BroadcastNestedLoopJoin")]
 
 
+@pytest.mark.parametrize("name", ("FN16_matched_rule",))
+def test_what_a_name_has_of_its_own_stands_below_the_pairs(spark, sf_dir, name):
+    """Look-alikes, risk words and channels: by name or brand, not by pair."""
+    plan = plan_of(catalogue.queries()[name](spark, sf_dir))
+    pairs = plan[: plan.index("BroadcastNestedLoopJoin")]
+    assert not any(x in pairs for x in ("translate(", "md5(", "account"))
+
+
+def test_signals_of_columns_at_hand(spark):
+    labels = ["thatin", "th4tin", "THATIN", "pay-thatin", "thatinlogin", "login", "my-bank", "authatin", "auth-thatin", "b4nk.thatin", "", None]
+    rows = [(x, b, k) for x in labels for b in ("thatin", "th4tin", "", None) for k in (["login", " Pay "], [], None)]
+    df = spark.createDataFrame(rows, "x string, b string, k array<string>")
+    x, b, k, t = F.col("x"), F.col("b"), F.col("k"), F.lit(0.5)
+    plain, base = L.unmasked(x), L.unmasked(b)
+    fields = lambda s: F.struct(s.edit, s.brand, s.keyword, s.homograph, s.exact)
+    for r in df.select("x", "b", "k", fields(S.signals(x, b, k, t)).alias("whole"), fields(S.signals(x, b, k, t, plain, base, S.risk_words(plain))).alias("held"), L.normalized_levenshtein(x, b).alias("edit"), L.keyword_hits(plain, base, F.array(*map(F.lit, S.RISK_WORDS))).alias("risk"), L.keyword_hits(plain, base, k).alias("own")).collect():
+        assert r.whole == r.held and r.whole[0] == r.edit
+        assert r.whole[2] == (1.0 if r.own is None else min(1.0, r.risk * 0.3 + r.own * 0.2))
+
+
 def test_hits_and_boundaries_of_odd_labels(spark):
     labels = ["pay", "my-pay", "pay-login", "loginpay", "xbankx", "a.b+c", "(x", "", None, "épay", "payé", "PAYlogin"]
     lists = [["login", " Pay ", ""], [], ["bank", "a", None], None]

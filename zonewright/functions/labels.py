@@ -140,11 +140,17 @@ def residual_tokens(label: Column, brand: Column) -> Column:
 
 def keyword_hits(label: Column, brand: Column, keywords: Column) -> Column:
     """How many keywords are a token left beside the brand, or part of it when longer than four letters."""
-    keys = F.transform(keywords, lambda k: F.trim(F.lower(k)))
-    # Text, then tokens, are computed once for a label: within the filter they would be for every keyword.
-    held = lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"), keys.alias("keys"))
-    found = lambda h: F.size(F.filter(h["keys"], lambda k: (F.length(k) > 0) & (F.array_contains(h["tokens"], k) | ((F.length(k) > 4) & F.contains(h["text"], k)))))
-    return once(residual(label, brand), lambda x: once(held(x), found))
+    tidy = F.transform(keywords, lambda k: F.trim(F.lower(k)))
+    return F.when(F.size(keywords) == 0, 0).otherwise(tidy_keyword_hits(label, brand, tidy))
+
+
+def tidy_keyword_hits(label: Column, brand: Column, keys: Column) -> Column:
+    """keyword_hits of keywords in lower case without outer blanks."""
+    # A keyword that is a token is in the text too. Few are, and tokens are cut for their texts alone, and once for all of them.
+    likely = lambda x: F.filter(keys, lambda k: (F.length(k) > 0) & F.contains(x, k))
+    cut = lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))
+    found = lambda x, ks: once(cut(x), lambda tokens: F.size(F.filter(ks, lambda k: (F.length(k) > 4) | F.array_contains(tokens, k))))
+    return F.when(F.size(keys) == 0, 0).otherwise(once(residual(label, brand), lambda x: once(likely(x), lambda ks: F.when(F.size(ks) == 0, 0).otherwise(found(x, ks)))))
 
 
 def stable_shard(x: Column, n: int) -> Column:

@@ -49,16 +49,24 @@ class Signals:
     exact: Column
 
 
-def signals(label: Column, brand: Column, keywords: Column, trigram: Column, plain: Column | None = None) -> Signals:
-    """plain: the label with look-alikes replaced, where ASCII ones aren't all."""
-    base, edit = L.unmasked(brand), L.normalized_levenshtein(label, brand)
+def risk_words(plain: Column) -> Column:
+    """The RISK_WORDS that a label without look-alikes holds: none but these can be left beside a brand."""
+    held = F.filter(F.array(*map(F.lit, RISK_WORDS)), lambda w: F.contains(plain, w))
+    return F.when(F.rlike(plain, F.lit("|".join(RISK_WORDS))), held).otherwise(F.array().cast("array<string>"))
+
+
+def signals(label: Column, brand: Column, keywords: Column, trigram: Column, plain: Column | None = None, base: Column | None = None, risky: Column | None = None) -> Signals:
+    """plain: the label with look-alikes replaced, where ASCII ones aren't all or it is at hand; base: the brand so; risky: risk_words(plain), where at hand."""
+    if base is None:
+        base = L.unmasked(brand)
     if plain is None:
         plain = L.unmasked(label)
-    else:
-        edit = F.greatest(L.closeness(label, brand), L.closeness(plain, base))
-    risky = L.keyword_hits(plain, base, F.array(*map(F.lit, RISK_WORDS)))
+    homograph = L.closeness(plain, base)
+    # Most labels and brands hold no look-alike: one distance is both.
+    edit = F.when((label == plain) & (brand == base), homograph).otherwise(F.greatest(L.closeness(label, brand), homograph))
+    risk = L.tidy_keyword_hits(plain, base, F.array(*map(F.lit, RISK_WORDS)) if risky is None else risky)
     own = L.keyword_hits(plain, base, keywords)
-    return Signals(trigram, edit, L.brand_boundary(plain, base).cast("double"), F.least(F.lit(1.0), risky * 0.3 + own * 0.2), L.closeness(plain, base), label == brand)
+    return Signals(trigram, edit, L.brand_boundary(plain, base).cast("double"), F.least(F.lit(1.0), risk * 0.3 + own * 0.2), homograph, label == brand)
 
 
 def composite(s: Signals) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -122,13 +122,21 @@ def _with_signals(select: str) -> str:
     return _with_pairs("SELECT 1").removesuffix(" SELECT 1") + f", {_SIGNALS} " + select
 
 
+_CHANNELS = ("registrable_domain", "certificate_hostname", "associated_brand", "both", "other")
+
+
+def _channel(name: Column) -> Column:
+    return V._pick(_CHANNELS, L.stable_shard(name, 5))
+
+
 def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, S.Signals]:
-    """The trigrams of a name are made once, not for each brand."""
-    names = C.without_subdomains(V.zone_today(spark, d)).select("name", "label", L.trigrams(F.col("label")).alias("gx"))
-    brands = V.brand(spark).select("brand_id", "brand_label", "keywords", L.trigrams(F.col("brand_label")).alias("gy"))
+    """What a name or a brand has of its own is made once, not for each pair: trigrams, the label without look-alikes, its risk words."""
+    names = C.without_subdomains(V.zone_today(spark, d)).withColumn("plain", L.unmasked(F.col("label")))
+    names = names.select("name", "label", "plain", L.trigrams(F.col("label")).alias("gx"), S.risk_words(F.col("plain")).alias("risky"), _channel(F.col("name")).alias("channel"))
+    brands = V.brand(spark).select("brand_id", "brand_label", "keywords", L.unmasked(F.col("brand_label")).alias("base"), L.trigrams(F.col("brand_label")).alias("gy"))
     p = names.crossJoin(C.few(brands))
-    s = S.signals(F.col("label"), F.col("brand_label"), F.col("keywords"), L.set_similarity(F.col("gx"), F.col("gy")))
-    p = p.select("name", "brand_id", s.trigram.alias("t"), s.edit.alias("e"), s.brand.alias("b"), s.keyword.alias("k"), s.homograph.alias("h"), s.exact.alias("x"))
+    s = S.signals(F.col("label"), F.col("brand_label"), F.col("keywords"), L.set_similarity(F.col("gx"), F.col("gy")), F.col("plain"), F.col("base"), F.col("risky"))
+    p = p.select("name", "brand_id", "channel", s.trigram.alias("t"), s.edit.alias("e"), s.brand.alias("b"), s.keyword.alias("k"), s.homograph.alias("h"), s.exact.alias("x"))
     return p, S.Signals(*[F.col(c) for c in "tebkhx"])
 
 
@@ -156,7 +164,6 @@ def fn13(spark, d):
     return p.select("name", "brand_id", F.array_join(S.reasons(s), ",").alias("reasons"))
 
 
-_CHANNELS = ("registrable_domain", "certificate_hostname", "associated_brand", "both", "other")
 _SEEDED = f"""g AS (SELECT *, (['registrable_domain','certificate_hostname','associated_brand','both','other'])[{V._SHARD.format('name', 5)} + 1] AS channel FROM f),
 h AS (SELECT *, {_Q4.format("least(1.0, (" + _Q4.format('score') + ") * CAST(0.70 AS DOUBLE) + CAST(0.9 AS DOUBLE) * CAST(0.20 AS DOUBLE) + CASE channel WHEN 'registrable_domain' THEN CAST(1.00 AS DOUBLE) WHEN 'certificate_hostname' THEN CAST(0.85 AS DOUBLE) WHEN 'both' THEN CAST(0.90 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) END * CAST(0.10 AS DOUBLE))")} AS seeded,
   CASE WHEN channel = 'certificate_hostname' THEN CAST(0.02 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS more FROM g)"""
@@ -172,7 +179,7 @@ def fn14(spark, d):
 
 def _seeded(spark: SparkSession, d: str) -> DataFrame:
     p, s = _signals(spark, d)
-    p = p.withColumn("channel", V._pick(_CHANNELS, L.stable_shard(F.col("name"), 5))).withColumn("why", S.reasons(s))
+    p = p.withColumn("why", S.reasons(s))
     return p.withColumn("seeded", L.round4(S.seeded_score(L.round4(S.composite(s)), F.lit(0.9), F.col("channel"))))
 
 

@@ -28,7 +28,7 @@ def test_trigrams_of_a_name_stand_below_the_pairs(spark, sf_dir, name):
     assert plan.index("BroadcastNestedLoopJoin") < plan.index("transform(sequence(1, (length(") and "array_distinct" not in plan[: plan.index("BroadcastNestedLoopJoin")]
 
 
-@pytest.mark.parametrize("name", ("FN16_matched_rule", "FN14_seeded_score"))
+@pytest.mark.parametrize("name", ("FN16_matched_rule", "FN14_seeded_score", "FN15_seeded_risk"))
 def test_what_a_name_has_of_its_own_stands_below_the_pairs(spark, sf_dir, name):
     """Look-alikes, risk words and channels: by name or brand, not by pair."""
     plan = plan_of(catalogue.queries()[name](spark, sf_dir))

@@ -94,3 +94,28 @@ def test_known_seeds_and_look_alikes_row_by_row(spark, sf_dir):
                 far = max(len(plain), len(base))
                 assert abs(r.score_homograph - (1 - edits(plain, base) / far if far else 0)) < 1e-9
                 assert ("homograph_attack" in r.reasons) <= (r.score_homograph >= 0.95)
+
+
+def test_far_names_are_paired_twice_whatever_their_distance(spark, monkeypatch):
+    """Counted, then put in order; not anew for each step of a growing reach."""
+    n = spark.createDataFrame([(f"{'b' * (20 + i % 9)}{i}.com", "com", f"{'b' * (20 + i % 9)}{i}", i % 3) for i in range(90)], "name string, tld string, label string, added_day int")
+    b = spark.createDataFrame([(1, "aaa"), (2, "a" * 30)], "brand_id int, brand_label string")
+    made = []
+    real = C.Z.stored
+    monkeypatch.setattr(C.Z, "stored", lambda df, name: made.append(name) or real(df, name))
+    got = {(r.brand_id, r.name) for r in C.nearest_by_edits(n, b, lambda t: F.lit(20)).collect()}
+    rows = n.collect()
+    assert got == {(i, x) for i, brand in ((1, "aaa"), (2, "a" * 30)) for _, _, x in sorted((edits(r.label, brand), -r.added_day, r.name) for r in rows)[:20]}
+    assert made.count("nearest") == 1
+
+
+def test_encoded_labels_as_the_codec_has_them():
+    def whole(label):
+        try:
+            return label.encode("idna").decode("ascii")
+        except UnicodeError:
+            return ""
+
+    parts = [chr(i) for i in range(0xA0, 0x3100, 7)] + ["a", "ss", "ß", "́", "­", "。", "ا", "xn--"]
+    labels = [x + y for x in parts for y in ("", "b", "́")] + ["é" * k for k in (40, 56, 57, 58, 59, 60, 63, 64)]
+    assert [I._encode(x) for x in labels] == [whole(x) for x in labels]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import stringprep
 import unicodedata
+from encodings.idna import dots, nameprep
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +21,20 @@ LOOKALIKES = {
 _TABLE = str.maketrans(dict(zip(*L.LOOKALIKES, strict=True)) | LOOKALIKES)
 
 
+@functools.lru_cache(1 << 16)
+def _plain(c: str) -> bool:
+    """Whether a character stays as it is when a label is prepared, and asks for no check of its neighbours but normal form."""
+    try:
+        return nameprep(c) == stringprep.map_table_b2(c) == c and not stringprep.in_table_d1(c) and not dots.match(c)
+    except UnicodeError:
+        return False
+
+
 def _encode(label: str) -> str:
+    # What the codec makes of most labels, without preparing each character anew; it does the others.
+    if not label.isascii() and not label.startswith("xn--") and all(map(_plain, label)) and unicodedata.ucd_3_2_0.normalize("NFKC", label) == label:
+        encoded = "xn--" + label.encode("punycode").decode("ascii")
+        return encoded if len(encoded) < 64 else ""
     try:
         return label.encode("idna").decode("ascii")
     except UnicodeError:

@@ -7,7 +7,6 @@ of their number. Labels with a dot are sub-domains and never scanned.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ from ..sources import zones as Z
 FEW, FEW_BYTES = 100_000, 32 << 20
 #: Counts of trigrams are kept in so many slots.
 SLOTS = 1 << 14
-#: How many ways the names of one ending and length are dealt, and the steps by which the nearest names are sought.
-DEALT, STEPS = 16, (4, 8, 12, 16, 24, 40)
+#: How many ways the names of one ending and length are dealt.
+DEALT = 16
 #: Seeds that are tried on every name rather than looked up.
 TRIED = 32
 
@@ -149,44 +148,48 @@ def encoded_candidates(names: DataFrame, brands: DataFrame) -> DataFrame:
 def nearest_by_edits(names: DataFrame, brands: DataFrame, limit: Callable[[Column], Column]) -> DataFrame:
     """For each brand and ending the names whose labels are nearest to the brand's by edit distance, then the newest, up to the ending's limit.
 
-    Exact, and without a pair of everything: two texts are at least as far apart as their lengths. Step by step the reach
-    grows; names of lengths within reach are joined by ending and length (a hot one dealt DEALT ways) and held against the brand by a
-    distance that gives up beyond the reach. Where so many are found within it, all that could be nearer have been seen, and that
-    brand and ending is done; only the others go on to the next step. The last step reaches as far as any length.
+    Exact, and without a pair of everything: two texts are at least as far apart as their lengths, and at most as the longer
+    is long. So counts of names by ending and length tell a reach within which enough are found for sure. Names of lengths
+    within reach are joined by ending and length (a hot one dealt DEALT ways) and held against the brand by a distance that gives up
+    beyond the reach: first they are only counted, by distance and day, which tells where the list ends; then those up to
+    there are joined again and put in order, each deal by itself before all together.
 
     names: name, tld, label, added_day and more; brands: brand_id, brand_label and more. Names without a label or brands without one find nothing.
     Rows that agree in distance, day and name are taken in any order.
     """
     held = names.filter(F.col("label").isNotNull()).withColumn("__n", F.length("label")).withColumn("__deal", F.pmod(F.xxhash64("name"), F.lit(DEALT)).cast("int"))
     held = Z.stored(held, "names-by-length")
-    # One row for each ending; the longest label ends the search.
-    endings = held.groupBy("tld").agg(F.max("__n").alias("longest"), F.min("__n").alias("shortest"))
     b = brands.filter(F.col("brand_label").isNotNull()).withColumn("__b", F.length("brand_label"))
-    seen = endings.agg(F.max("longest").alias("n"), F.collect_set("tld").alias("tlds")).first()
-    widest = b.agg(F.max("__b").alias("n")).first().n
-    if seen.n is None or widest is None:
+    # No more than one row for each ending and length, one number for each length of a brand.
+    lengths = held.groupBy("tld", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = [r[0] for r in b.select("__b").distinct().collect()]
+    if not sizes:
         return held.withColumn("distance", F.lit(0)).join(b, F.lit(False)).drop("__n", "__deal", "__b")
-    todo = b.withColumn("tld", F.explode(F.array(*map(F.lit, seen.tlds))))
-    within = [r for r in STEPS if r < max(seen.n, widest)] + [max(seen.n, widest)]
-    parts = []
-    for step, reach in enumerate(within):
-        lengths = F.sequence(F.greatest(F.col("__b") - reach, F.lit(0)), F.col("__b") + reach)
-        asked = todo.withColumn("__n", F.explode(lengths)).join(F.broadcast(endings), "tld").filter(F.col("__n").between(F.col("shortest"), F.col("longest"))).drop("shortest", "longest")
-        asked = asked.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-        near = held.join(asked, ["tld", "__n", "__deal"]).withColumn("distance", F.levenshtein("label", "brand_label", reach)).filter("distance >= 0")
-        place = F.row_number().over(Window.partitionBy("brand_id", "tld").orderBy("distance", F.desc("added_day"), "name"))
-        found = Z.stored(near.withColumn("__r", place).filter(F.col("__r") <= limit(F.col("tld"))).drop("__n", "__deal", "__b"), "nearest")
-        if step == len(within) - 1:
-            parts.append(found)
-            break
-        # The last of a full list says that it is full; no more than one row for each brand and ending.
-        full = found.filter(F.col("__r") == limit(F.col("tld"))).select("brand_id", "tld")
-        parts.append(found.join(full, ["brand_id", "tld"], "left_semi"))
-        todo = Z.stored(todo.join(full, ["brand_id", "tld"], "left_anti"), "nearest-left")
-        if todo.isEmpty():
-            break
+    far = lengths.withColumn("__b", F.explode(F.array(*map(F.lit, sizes)))).withColumn("__far", F.greatest("__n", "__b"))
+    far = far.withColumn("__sure", F.sum("__c").over(Window.partitionBy("tld", "__b").orderBy("__far")))
+    reach = far.groupBy("tld", "__b").agg(F.coalesce(F.min(F.when(F.col("__sure") >= limit(F.col("tld")), F.col("__far"))), F.max("__far")).alias("__reach"))
+    todo = b.join(F.broadcast(reach), "__b")
+
+    def within(asked: DataFrame) -> DataFrame:
+        """Names no further than __reach from the brands that ask."""
+        asked = asked.withColumn("__n", F.explode(F.sequence(F.greatest(F.col("__b") - F.col("__reach"), F.lit(0)), F.col("__b") + F.col("__reach"))))
+        asked = asked.join(F.broadcast(lengths.select("tld", "__n")), ["tld", "__n"]).withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+        return held.join(asked, ["tld", "__n", "__deal"]).withColumn("distance", F.expr("levenshtein(label, brand_label, __reach)")).filter("distance >= 0")
+
+    counts = within(todo).groupBy("brand_id", "tld", "distance", "added_day").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy("brand_id", "tld").orderBy("distance", F.desc("added_day")))
+    kept = counts.withColumn("__upto", upto).filter(F.col("__upto") - F.col("__c") < limit(F.col("tld")))
+    # The last distance and day that are needed: one row for each brand and ending.
+    last = kept.groupBy(F.col("brand_id").alias("__i"), F.col("tld").alias("__t")).agg(F.max_by(F.struct("distance", "added_day"), "__upto").alias("__last"))
+    last = Z.stored(last, "nearest-last")
+    asked = todo.join(last, F.col("brand_id").eqNullSafe(F.col("__i")) & (F.col("tld") == F.col("__t"))).drop("__i", "__t").withColumn("__reach", F.col("__last.distance"))
+    day = F.col("__last.added_day")
+    near = within(asked).filter((F.col("distance") < F.col("__reach")) | day.isNull() | (F.col("added_day") >= day)).drop("__last", "__reach")
+    for keys in (["brand_id", "tld", "__deal"], ["brand_id", "tld"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", F.desc("added_day"), "name"))
+        near = near.withColumn("__r", place).filter(F.col("__r") <= limit(F.col("tld")))
     columns = [*names.columns, *[c for c in brands.columns if c not in names.columns], "distance"]
-    return reduce(DataFrame.unionByName, parts).select(*columns)
+    return Z.stored(near.select(*columns), "nearest")
 
 
 def seed_limit(seeds: int) -> int:

@@ -19,8 +19,10 @@ from .register import query
 
 def word(spark: SparkSession, d: str) -> DataFrame:
     """Different words beyond ASCII, in lower case, of the documents."""
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")
-    return V.table(spark, d, "documents").select(words).filter(F.length("word") < F.octet_length("word")).distinct()
+    # A word's ASCII beginning, a letter beyond, the rest: ASCII words are passed over, not made.
+    pattern = r"(?<![a-z0-9])[a-z0-9]*+[\p{L}\p{N}&&[^\x00-\x7F]][\p{L}\p{N}]*+"
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("word")
+    return V.table(spark, d, "documents").select(words).distinct()
 
 
 def zone_idn(spark: SparkSession, d: str) -> DataFrame:

@@ -122,3 +122,15 @@ def test_similarity_to_one_text(spark):
     for text in ("google", "--", "a"):
         rows = d.select(L.trigram_similarity_to(F.col("x"), text), L.trigram_similarity(F.col("x"), F.lit(text))).collect()
         assert all(a == b for a, b in rows)
+
+
+def test_postings_cut_each_snapshot_from_the_texts_once(spark, sf_dir, monkeypatch):
+    from zonewright.operators.postings import Postings
+    from zonewright.plans import catalogue
+
+    seen = []
+    for step in ("add", "remove"):
+        real = getattr(Postings, step)
+        monkeypatch.setattr(Postings, step, lambda self, names, day, real=real: seen.append(names._jdf.queryExecution().toString()) or real(self, names, day))
+    catalogue.queries()["JON05_trigram_postings"](spark, sf_dir)
+    assert len(seen) == 3 and not any("documents.parquet" in p or "text#" in p for p in seen)

@@ -374,7 +374,8 @@ def jon05(spark, d):
 @query("JON05_trigram_postings", SQL["JON05_trigram_similarity_join"])
 def jon05_postings(spark, d):
     """The same from posting lists of yesterday's names, to which today's delta is added and those gone are noted."""
-    today, yesterday = (C.without_subdomains(z(spark, d)) for z in (V.zone_today, V.zone_yesterday))
+    # Each snapshot is read three times: once is enough to cut it from the texts.
+    today, yesterday = (Z.stored(C.without_subdomains(z(spark, d)), "snapshot") for z in (V.zone_today, V.zone_yesterday))
     index = Postings.create(yesterday, Z.scratch(spark, "postings"))
     index.add(yesterday, 1)
     index.add(O.added(today, yesterday), 2)

@@ -36,6 +36,39 @@ def test_what_a_name_has_of_its_own_stands_below_the_pairs(spark, sf_dir, name):
     assert not any(x in pairs for x in ("translate(", "md5(", "account"))
 
 
+@pytest.mark.parametrize("name", ("FN14_seeded_score",))
+def test_a_pair_meets_no_sets_and_one_distance_twice(spark, sf_dir, name):
+    """Of trigrams only the brand's few are looked for in a name's text; of distances that of the plain texts is made once."""
+    plan = plan_of(catalogue.queries()[name](spark, sf_dir))
+    pairs = plan[: plan.index("BroadcastNestedLoopJoin")]
+    assert "array_intersect" not in pairs and pairs.count("levenshtein(") == 2
+
+
+def test_trigrams_are_counted_in_padded_words(spark):
+    words = ["thatin", "aaaa", "abcabc", "ananas", "a", "", "-", "-a", "a-b", "that.that", "TH4TIN", "at  in", "é", "thé", " t", "x" * 63, None]
+    df = spark.createDataFrame([(x, y) for x in words for y in words], "x string, y string")
+    w, gs = L.padded(F.col("x")), L.trigrams(F.col("y"))
+    found = L.counted_similarity(L.padded_shared(w, gs), L.padded_count(w), F.size(gs))
+    for r in df.select("x", "y", L.padded_count(w).alias("n"), found.alias("sim"), L.trigram_similarity(F.col("x"), F.col("y")).alias("old")).collect():
+        if r.x is None or r.y is None:
+            assert r.sim is None and r.old is None
+            continue
+        a, b = set(L.trigrams_of(r.x)), set(L.trigrams_of(r.y))
+        assert r.n == len(a) and r.sim == r.old == (len(a & b) / len(a | b) if a | b else 0.0)
+
+
+def test_keywords_with_blanks_around_a_brand(spark):
+    """The blank in a brand's place counts for them."""
+    rows = [(x, b, k) for x in ("logpayin", "log in", "login", "payin", None) for b in ("pay", "", None) for k in (["log in"], ["in", "log in", None], ["log in", ""], [])]
+    df = spark.createDataFrame(rows, "x string, b string, k array<string>")
+    for r in df.select("x", "b", "k", L.keyword_hits(F.col("x"), F.col("b"), F.col("k")).alias("n")).collect():
+        if None in (r.x, r.b):
+            assert r.n == 0
+            continue
+        text = r.x.replace(r.b, " ") if r.b else r.x
+        assert r.n == sum(bool(k) and (k in re.findall("[a-z0-9]+", text) or (len(k) > 4 and k in text)) for k in r.k)
+
+
 def test_signals_of_columns_at_hand(spark):
     labels = ["thatin", "th4tin", "THATIN", "pay-thatin", "thatinlogin", "login", "my-bank", "authatin", "auth-thatin", "b4nk.thatin", "", None]
     rows = [(x, b, k) for x in labels for b in ("thatin", "th4tin", "", None) for k in (["login", " Pay "], [], None)]

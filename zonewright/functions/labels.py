@@ -28,9 +28,32 @@ def trigrams(x: Column) -> Column:
 
     The padded words stand in one text; of its windows only those between two words end with two blanks.
     """
-    words = F.concat(F.lit("  "), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "   "), F.lit(" "))
-    windows = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))
-    return F.array_distinct(F.filter(once(words, windows), lambda g: ~F.endswith(g, F.lit("  "))))
+    return once(padded(x), padded_trigrams)
+
+
+def padded(x: Column) -> Column:
+    """The padded words of trigrams()."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "   "), F.lit(" "))
+
+
+def padded_trigrams(w: Column) -> Column:
+    windows = F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))
+    return F.array_distinct(F.filter(windows, lambda g: ~F.endswith(g, F.lit("  "))))
+
+
+def padded_count(w: Column) -> Column:
+    """How many trigrams padded words have: of one word without a repeat they are all its windows, and none is made."""
+    return F.when(F.contains(w, F.lit("   ")) | F.rlike(w, F.lit(r"(?=(...)).+\1")), F.size(padded_trigrams(w))).otherwise(F.length(w) - 2)
+
+
+def padded_shared(w: Column, grams: Column) -> Column:
+    """How many of a set of trigrams padded words have: those that their text holds."""
+    return F.size(F.filter(grams, lambda g: F.contains(w, g)))
+
+
+def counted_similarity(both: Column, x: Column, y: Column) -> Column:
+    """Jaccard similarity of sets of x and y, of which both have so many; 0 where both are empty."""
+    return F.when(x + y == 0, F.lit(0.0)).otherwise(both / (x + y - both))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -140,17 +163,22 @@ def residual_tokens(label: Column, brand: Column) -> Column:
 
 def keyword_hits(label: Column, brand: Column, keywords: Column) -> Column:
     """How many keywords are a token left beside the brand, or part of it when longer than four letters."""
-    tidy = F.transform(keywords, lambda k: F.trim(F.lower(k)))
-    return F.when(F.size(keywords) == 0, 0).otherwise(tidy_keyword_hits(label, brand, tidy))
+    return F.when(F.size(keywords) == 0, 0).otherwise(tidy_keyword_hits(label, brand, tidy_keywords(keywords)))
+
+
+def tidy_keywords(keywords: Column) -> Column:
+    """In lower case without outer blanks."""
+    return F.transform(keywords, lambda k: F.trim(F.lower(k)))
 
 
 def tidy_keyword_hits(label: Column, brand: Column, keys: Column) -> Column:
-    """keyword_hits of keywords in lower case without outer blanks."""
+    """keyword_hits of tidy_keywords."""
     # A keyword that is a token is in the text too. Few are, and tokens are cut for their texts alone, and once for all of them.
     likely = lambda x: F.filter(keys, lambda k: (F.length(k) > 0) & F.contains(x, k))
     cut = lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0))
     found = lambda x, ks: once(cut(x), lambda tokens: F.size(F.filter(ks, lambda k: (F.length(k) > 4) | F.array_contains(tokens, k))))
-    return F.when(F.size(keys) == 0, 0).otherwise(once(residual(label, brand), lambda x: once(likely(x), lambda ks: F.when(F.size(ks) == 0, 0).otherwise(found(x, ks)))))
+    none = (F.size(keys) == 0) | ~F.exists(keys, lambda k: (F.length(k) > 0) & F.contains(residual(label, brand), k))
+    return F.when(none, 0).otherwise(once(residual(label, brand), lambda x: once(likely(x), lambda ks: F.when(F.size(ks) == 0, 0).otherwise(found(x, ks)))))
 
 
 def stable_shard(x: Column, n: int) -> Column:

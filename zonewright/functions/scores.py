@@ -55,17 +55,18 @@ def risk_words(plain: Column) -> Column:
     return F.when(F.rlike(plain, F.lit("|".join(RISK_WORDS))), held).otherwise(F.array().cast("array<string>"))
 
 
-def signals(label: Column, brand: Column, keywords: Column, trigram: Column, plain: Column | None = None, base: Column | None = None, risky: Column | None = None) -> Signals:
-    """plain: the label with look-alikes replaced, where ASCII ones aren't all or it is at hand; base: the brand so; risky: risk_words(plain), where at hand."""
+def signals(label: Column, brand: Column, keywords: Column, trigram: Column, plain: Column | None = None, base: Column | None = None, risky: Column | None = None, keys: Column | None = None, homograph: Column | None = None) -> Signals:
+    """plain: the label with look-alikes replaced, where ASCII ones aren't all or it is at hand; base: the brand so; risky: risk_words(plain), keys: tidy_keywords(keywords), homograph: closeness(plain, base), where at hand."""
     if base is None:
         base = L.unmasked(brand)
     if plain is None:
         plain = L.unmasked(label)
-    homograph = L.closeness(plain, base)
+    if homograph is None:
+        homograph = L.closeness(plain, base)
     # Most labels and brands hold no look-alike: one distance is both.
     edit = F.when((label == plain) & (brand == base), homograph).otherwise(F.greatest(L.closeness(label, brand), homograph))
     risk = L.tidy_keyword_hits(plain, base, F.array(*map(F.lit, RISK_WORDS)) if risky is None else risky)
-    own = L.keyword_hits(plain, base, keywords)
+    own = L.keyword_hits(plain, base, keywords) if keys is None else L.tidy_keyword_hits(plain, base, keys)
     return Signals(trigram, edit, L.brand_boundary(plain, base).cast("double"), F.least(F.lit(1.0), risk * 0.3 + own * 0.2), homograph, label == brand)
 
 

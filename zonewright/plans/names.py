@@ -130,12 +130,14 @@ def _channel(name: Column) -> Column:
 
 
 def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, S.Signals]:
-    """What a name or a brand has of its own is made once, not for each pair: trigrams, the label without look-alikes, its risk words."""
-    names = C.without_subdomains(V.zone_today(spark, d)).withColumn("plain", L.unmasked(F.col("label")))
-    names = names.select("name", "label", "plain", L.trigrams(F.col("label")).alias("gx"), S.risk_words(F.col("plain")).alias("risky"), _channel(F.col("name")).alias("channel"))
-    brands = V.brand(spark).select("brand_id", "brand_label", "keywords", L.unmasked(F.col("brand_label")).alias("base"), L.trigrams(F.col("brand_label")).alias("gy"))
-    p = names.crossJoin(C.few(brands))
-    s = S.signals(F.col("label"), F.col("brand_label"), F.col("keywords"), L.set_similarity(F.col("gx"), F.col("gy")), F.col("plain"), F.col("base"), F.col("risky"))
+    """What a name or a brand has of its own is made once, not for each pair: the number of trigrams and their text, the label without look-alikes, its risk words."""
+    names = C.without_subdomains(V.zone_today(spark, d)).withColumn("plain", L.unmasked(F.col("label"))).withColumn("padded", L.padded(F.col("label")))
+    names = names.select("name", "label", "plain", "padded", L.padded_count(F.col("padded")).alias("n"), S.risk_words(F.col("plain")).alias("risky"), _channel(F.col("name")).alias("channel"))
+    brands = V.brand(spark).select("brand_id", "brand_label", "keywords", L.tidy_keywords(F.col("keywords")).alias("keys"), L.unmasked(F.col("brand_label")).alias("base"), L.trigrams(F.col("brand_label")).alias("gy"))
+    # What the scores use more than once is a column of its own.
+    p = names.crossJoin(C.few(brands)).withColumn("both", L.padded_shared(F.col("padded"), F.col("gy"))).withColumn("close", L.closeness(F.col("plain"), F.col("base")))
+    trigram = L.counted_similarity(F.col("both"), F.col("n"), F.size("gy"))
+    s = S.signals(F.col("label"), F.col("brand_label"), F.col("keywords"), trigram, F.col("plain"), F.col("base"), F.col("risky"), F.col("keys"), F.col("close"))
     p = p.select("name", "brand_id", "channel", s.trigram.alias("t"), s.edit.alias("e"), s.brand.alias("b"), s.keyword.alias("k"), s.homograph.alias("h"), s.exact.alias("x"))
     return p, S.Signals(*[F.col(c) for c in "tebkhx"])
 

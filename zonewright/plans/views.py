@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def token(spark: SparkSession, d: str) -> DataFrame:
-    words = F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("label")
+    # Of text in lower case, as [^a-z0-9]+; it takes fewer steps for each character.
+    words = F.explode(F.split(F.lower("text"), r"\P{Alnum}+")).alias("label")
     return table(spark, d, "documents").select("doc_id", words).filter(F.length("label").between(3, 63))
 
 

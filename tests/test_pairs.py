@@ -36,7 +36,7 @@ def test_what_a_name_has_of_its_own_stands_below_the_pairs(spark, sf_dir, name):
     assert not any(x in pairs for x in ("translate(", "md5(", "account"))
 
 
-@pytest.mark.parametrize("name", ("FN14_seeded_score",))
+@pytest.mark.parametrize("name", ("FN14_seeded_score", "FN15_seeded_risk"))
 def test_a_pair_meets_no_sets_and_one_distance_twice(spark, sf_dir, name):
     """Of trigrams only the brand's few are looked for in a name's text; of distances that of the plain texts is made once."""
     plan = plan_of(catalogue.queries()[name](spark, sf_dir))
@@ -44,6 +44,18 @@ def test_a_pair_meets_no_sets_and_one_distance_twice(spark, sf_dir, name):
     assert "array_intersect" not in pairs and pairs.count("levenshtein(") == 2
 
 
+def test_seeded_risk_makes_no_list_of_reasons(spark, sf_dir):
+    assert "exact_label_match" not in plan_of(catalogue.queries()["FN15_seeded_risk"](spark, sf_dir))
+
+
+def test_seeded_risk_of_conditions_is_that_of_reasons(spark):
+    rows = [(t, b, k, h, x, y, c) for t in (0.0, 1.0) for b in (0.0, 1.0) for k in (0.0, 0.3, None) for h in (0.5, 0.95, 1.0, None) for x in (True, False, None) for y in (0.5, 0.57, 0.59, 0.61, 0.65, 0.79) for c in ("certificate_hostname", "both")]
+    df = spark.createDataFrame(rows, "t double, b double, k double, h double, x boolean, y double, c string")
+    s = S.Signals(*map(F.col, "thbkhx"))
+    risks = [S.seeded_risk(F.col("y"), why, F.col("c")) for why in (S.reasons(s), S.conditions(s))]
+    assert df.filter(~risks[0].eqNullSafe(risks[1])).count() == 0
+
+
 def test_trigrams_are_counted_in_padded_words(spark):
     words = ["thatin", "aaaa", "abcabc", "ananas", "a", "", "-", "-a", "a-b", "that.that", "TH4TIN", "at  in", "é", "thé", " t", "x" * 63, None]
     df = spark.createDataFrame([(x, y) for x in words for y in words], "x string, y string")

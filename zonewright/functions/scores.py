@@ -79,14 +79,19 @@ def risk_level(s: Signals, score: Column) -> Column:
     return F.when(s.exact & (s.keyword == 0), "high").when(named | (score >= 0.9), "critical").when(score >= 0.72, "high").when(score >= 0.5, "medium").otherwise("low")
 
 
+def conditions(s: Signals) -> dict[str, Column]:
+    """The reasons, in order, and when they hold."""
+    return {
+        "exact_label_match": s.exact,
+        "typosquatting": ~s.exact & (s.edit >= 0.75) & (s.trigram >= 0.45),
+        "brand_containment": (s.brand >= 1) & ~s.exact,
+        "risky_keywords": s.keyword > 0,
+        "homograph_attack": ~s.exact & (s.homograph >= 0.95) & (s.homograph > s.trigram),
+    }
+
+
 def reasons(s: Signals) -> Column:
-    found = present(
-        (s.exact, "exact_label_match"),
-        (~s.exact & (s.edit >= 0.75) & (s.trigram >= 0.45), "typosquatting"),
-        ((s.brand >= 1) & ~s.exact, "brand_containment"),
-        (s.keyword > 0, "risky_keywords"),
-        (~s.exact & (s.homograph >= 0.95) & (s.homograph > s.trigram), "homograph_attack"),
-    )
+    found = present(*[(cond, name) for name, cond in conditions(s).items()])
     return F.when(F.size(found) == 0, F.array(F.lit("lexical_similarity"))).otherwise(found)
 
 
@@ -94,9 +99,10 @@ def seeded_score(base: Column, weight: Column, channel: Column) -> Column:
     return F.least(F.lit(1.0), base * 0.70 + weight * 0.20 + choose(CHANNELS, channel, OTHER_CHANNEL) * 0.10)
 
 
-def seeded_risk(score: Column, why: Column, channel: Column) -> Column:
+def seeded_risk(score: Column, why: Column | dict[str, Column], channel: Column) -> Column:
+    """why: the reasons, or conditions() where signals are at hand."""
     more = F.when(channel == "certificate_hostname", 0.02).otherwise(0.0)
-    has = lambda x: F.array_contains(why, x)
+    has = lambda x: why[x] if isinstance(why, dict) else F.array_contains(why, x)
     return (
         F.when(has("exact_label_match") & (score >= 0.78), "high")
         .when(has("homograph_attack") & has("risky_keywords") & (score >= more + 0.60), "critical")

@@ -193,7 +193,9 @@ def _seeded(spark: SparkSession, d: str) -> DataFrame:
   WHEN seeded >= more + CAST(0.55 AS DOUBLE) THEN 'medium' ELSE 'low' END AS risk FROM h""",
 )
 def fn15(spark, d):
-    return _seeded(spark, d).select("name", "brand_id", S.seeded_risk(F.col("seeded"), F.col("why"), F.col("channel")).alias("risk"))
+    """From the conditions: no list of reasons is made for a pair."""
+    s = S.Signals(*[F.col(c) for c in "tebkhx"])
+    return _seeded(spark, d).select("name", "brand_id", S.seeded_risk(F.col("seeded"), S.conditions(s), F.col("channel")).alias("risk"))
 
 
 _RULE = """CASE WHEN list_contains(why, 'exact_label_match') THEN 'exact_label_match' WHEN list_contains(why, 'homograph_attack') THEN 'homograph' WHEN list_contains(why, 'typosquatting') THEN 'typo_candidate'
